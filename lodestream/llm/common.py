@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """A row is known by its id and a fingerprint of its text: rows that repeat both are one
-    document, rows that share an id but not a text stay apart. Nulls are values like others."""
-    return F.col(id_col), F.xxhash64(F.col(text_col))
+def with_small(left: DataFrame, right: DataFrame, key: str, most_rows: int = 2_000_000) -> DataFrame:
+    """Inner join; ``right`` (a key and a few numbers a row) is broadcast if counted below
+    ``most_rows``, else both sides are shuffled and AQE splits what is skewed."""
+    return left.join(F.broadcast(right) if right.count() <= most_rows else right, key)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

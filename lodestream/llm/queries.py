@@ -10,14 +10,54 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality
-from .common import table
+from . import bpe, decontaminate, language_id, line_dedup, quality, secrets, toxicity
+from .common import table, with_small
 
 
 def _sha(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
+def _is(value) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = bpe.public_tokenizer()
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tok), tok)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(ids.cast("binary")).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("__base", "__spans")}
+    counts = [F.size(F.filter(F.col("__base.rank"), _is(k))).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(secrets.PATTERNS)]
+    return found.select("doc_id", *counts, _sha(joined["__base"].cast("binary")).alias("base_sha256"), joined["__spans"].alias("spans"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _fold(5) == 0
+    net = language_id.fit(docs.where(~held_out))
+    return language_id.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = _fold(3) == 1
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train = with_small(docs.where(~held_out), labels, "doc_id")
+    model = toxicity.fit(train, "text", "toxic", half="crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 0")
+    score = F.col("__toxic")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), _sha(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"))
@@ -39,8 +79,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
+    "op5_secrets": op5_secrets,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
