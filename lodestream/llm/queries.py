@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, secrets, toxicity
+from . import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality, secrets, toxicity
 from .common import table, with_small
 
 
@@ -38,6 +38,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(ids.cast("binary")).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_text.train_labeller())
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(docs))
@@ -86,6 +91,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
+    "op4_html_text": op4_html_text,
     "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
