@@ -67,7 +67,7 @@ def pieces(batch: pa.RecordBatch, text_col: int, most: int) -> Iterator[pa.Recor
         at = to
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 4 << 20, text_col: int = -1) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 2 << 20, text_col: int = -1) -> DataFrame:
     """``f`` over slices of bounded text size; a slice gives a batch or None."""
 
     def run(batches):

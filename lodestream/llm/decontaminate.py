@@ -204,7 +204,7 @@ def _one_pass(df: DataFrame, held, wide: pa.DataType, schema) -> DataFrame:
     def run(batches):
         f = _pass(held.value, wide)
         for batch in batches:
-            for part in C.pieces(batch, batch.schema.names.index("__text"), 8 << 20) if batch.num_rows else ():
+            for part in C.pieces(batch, batch.schema.names.index("__text"), 2 << 20) if batch.num_rows else ():
                 yield f(part)
 
     return df.mapInArrow(run, schema)

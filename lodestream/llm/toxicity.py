@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, half: str) -> Model:
         for batch in batches:
             kinds = batch.column(0).to_numpy(zero_copy_only=False)
             for k in np.unique(kinds):
-                for part in C.pieces(batch.filter(pa.array(kinds == k)), 1, 8 << 20):
+                for part in C.pieces(batch.filter(pa.array(kinds == k)), 1, 2 << 20):
                     counts[k] += np.bincount(grams(part.column(1))[0], minlength=SIZE)
         for k in range(4):
             at = np.flatnonzero(counts[k])
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, half: str) -> Model:
     def histogram(batches):
         out = np.zeros((2, BINS), np.int64)
         for batch in batches:
-            for part in C.pieces(batch, 1, 8 << 20) if batch.num_rows else ():
+            for part in C.pieces(batch, 1, 2 << 20) if batch.num_rows else ():
                 kinds = part.column(0).to_numpy(zero_copy_only=False)
                 for k in np.unique(kinds):
                     x = normalised(halves.value[1 - k % 2], part.filter(pa.array(kinds == k)).column(1))
