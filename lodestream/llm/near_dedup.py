@@ -210,3 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = classes.select("d1", "d2", "n", "c").join(joined, "c", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "c").alias("component"))
     out = sketch.select("id", "d1", "d2", "n_shingles").join(roots, ["d1", "d2", "n_shingles"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one with the least id.
+
+    Of rows that repeat an id one stays; rows without an id all stay; other columns are kept."""
+    found = near_duplicates(docs, id_col, text_col, words, percent)
+    stay = found.groupBy("id").agg(F.min("component").alias("least")).where("id = least").select(F.col("id").alias("__id"))
+    own = docs.join(stay, F.col(id_col) == F.col("__id")).drop("__id").dropDuplicates([id_col])
+    return own.unionByName(docs.where(F.col(id_col).isNull()))
