@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Fixed values of the hash functions and of the feature space.
 MURMUR_C1, MURMUR_C2, MURMUR_N = 0xCC9E2D51, 0x1B873593, 0xE6546B64
@@ -73,9 +74,13 @@ def feature_hash(name: str, namespace: str = "", bits: int = DEFAULT_BITS, value
     return h & ((1 << bits) - 1)
 
 
-@F.pandas_udf("long")
-def murmur3_column(value: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series(murmur3_many([(v or "").encode() for v in value], seed.to_numpy(np.int64).astype(np.uint64)).astype(np.int64))
+def murmur3_column(value: Column, seed: Column) -> Column:
+    """murmur3 of a string column with a seed column, in Arrow batches."""
+
+    def run(v: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series(murmur3_many([(x or "").encode() for x in v], s.to_numpy(np.int64).astype(np.uint64)).astype(np.int64))
+
+    return F.pandas_udf(run, LongType())(value, seed)
 
 
 def interact(a: Column, b: Column, bits: int = DEFAULT_BITS) -> Column:
