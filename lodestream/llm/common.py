@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +28,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows that Spark hands to Python at once while a table of long rows is written: an Arrow batch
+#: stands in an executor's memory several times over, outside its heap.
+ARROW_ROWS = "1000"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
     so a lost executor costs a reread and never a recomputation of what came before."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ARROW_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -57,28 +69,54 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, text_col: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each (a longer row is one slice)."""
-    _, off = text_bytes(batch.column(text_col))
+def pieces(rows, text, most: int = 2 << 20):
+    """(rows, texts) slices with about ``most`` bytes of text each; a longer row is a slice of its own."""
+    _, off = text_bytes(text)
     at = 0
-    while at < batch.num_rows:
+    while at < len(text):
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-        yield batch.slice(at, to - at)
+        yield rows.slice(at, to - at), text.slice(at, to - at)
         at = to
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 2 << 20, text_col: int = -1) -> DataFrame:
-    """``f`` over slices of bounded text size; a slice gives a batch or None."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = 2 << 20, text_col: int = -1) -> DataFrame:
+    """``f`` over slices of a bounded amount of text; ``df`` has columns of the operator's own."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text_col % batch.num_columns, most) if batch.num_rows else ():
-                if (out := f(part)) is not None:
-                    yield out
+            for part, _ in pieces(batch, batch.column(text_col % batch.num_columns), most) if batch.num_rows else ():
+                yield f(part)
 
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``docs`` as the one column ``row``, so that none can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The columns of ``row`` with the results after them; a result takes the place of a column of its name."""
+    own = [F.col("row").getField(c).alias(c) for c in columns if c.lower() not in {k.lower() for k in results}]
+    return df.select(*own, *[v.alias(k) for k, v in results.items()])
+
+
+def map_docs(docs: DataFrame, text_col: str, f: Callable[[pa.Array], list[pa.Array]], results: str, most: int = 2 << 20) -> DataFrame:
+    """``docs`` with result columns (a DDL string) that ``f`` makes from slices of the text column."""
+    src = packed(docs)
+    out = StructType.fromDDL(results)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(0)
+            for own, text in pieces(rows, rows.field(at), most) if batch.num_rows else ():
+                yield pa.RecordBatch.from_arrays([own, *f(text)], ["row", *(x.name for x in out)])
+
+    made = src.mapInArrow(run, StructType([*src.schema.fields, *out.fields]))
+    return unpacked(made, docs.columns, **{x.name: F.col(x.name) for x in out})
+
+
 #: Bytes to lower case for A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
