@@ -25,6 +25,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from . import common as C
 
@@ -122,8 +123,9 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty text
     give an empty array; texts are encoded whole; rows that repeat stay apart; an empty table
-    gives an empty one. Other columns are carried along, whatever their names."""
+    gives an empty one. Other columns are carried along, but for one that has the name ``ids_col``."""
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c == ids_col and c != text_col])
     words = hot_words(docs, text_col, tokenizer.pattern, hot, sample_docs)
     ids = [tokenizer.encode_word(w) for w in words]
     held = spark.sparkContext.broadcast((tokenizer, words, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.array([i for x in ids for i in x], np.int32)))
@@ -135,7 +137,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
         tok, words, _, _ = held.value
         table, part, block = {w: i for i, w in enumerate(words)}, TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for piece in C.pieces(batch, at, BLOCK_BYTES) if batch.num_rows else ():
+            for piece, _ in C.pieces(batch, batch.column(at), BLOCK_BYTES) if batch.num_rows else ():
                 local: dict[str, int] = {}
                 codes, counts = [], []
                 for text in piece.column(at).to_pylist():
@@ -186,7 +188,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
         yield from flush()
 
     schema = docs.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if i != at else f"`{ids_col}` array<int>" for i, f in enumerate(schema))
+    fields = StructType([StructField(ids_col, ArrayType(IntegerType())) if i == at else f for i, f in enumerate(schema)])
 
     def reassemble(rows: pa.Table) -> pa.Table:
         _, words, hot_off, hot_flat = held.value
@@ -230,8 +232,9 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", bytes_col:
     for token, rank in tokenizer.ranks.items():
         tokens[rank] = token
     held = df.sparkSession.sparkContext.broadcast((np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), np.frombuffer(b"".join(tokens), np.uint8)))
+    df = df.drop(*[c for c in df.columns if c == bytes_col])
     at = df.columns.index(ids_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{bytes_col}` binary"])
+    schema = StructType([*df.schema.fields, StructField(bytes_col, BinaryType())])
 
     def run(batches):
         off, data = held.value

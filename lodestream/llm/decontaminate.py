@@ -142,16 +142,16 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 
 
 def _pass(block: TestBlock, wide: pa.DataType):
-    """Rows are (text, n_words, spans, items so far): this block's matches are added."""
+    """Rows are (row, n_words, spans, items so far): this block's matches are added."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first, _, where, which = shard_matches(batch.column("__text"), block)
+    def run(batch: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
+        first, _, where, which = shard_matches(text, block)
         row = np.searchsorted(first, where, "right") - 1
         order = np.argsort(row, kind="stable")
         where, which, row = where[order], which[order], row[order]
         bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+        spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
         for i in np.unique(row):
             a, b = bounds[i], bounds[i + 1]
             start = where[a:b] - first[i]
@@ -159,16 +159,15 @@ def _pass(block: TestBlock, wide: pa.DataType):
             both = _merged(np.concatenate([start, [x for x, _ in old]]).astype(int), np.concatenate([start + block.sizes[which[a:b]], [y for _, y in old]]).astype(int))
             spans[i] = [{"start": x, "end": y} for x, y in both]
             items[i] = sorted({*items[i], *(block.ids[k] for w in np.unique(which[a:b]) for k in block.items[w])})
-        cols = {"__n_words": pa.array(np.diff(first), pa.int64()), "__spans": pa.array(spans, span), "__items": pa.array(items, pa.list_(wide))}
-        return pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(first), pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(wide))], names=["row", "n_words", "spans", "items"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
+def _blocks(benchmark: DataFrame, block_words: int):
     """Bounded lists of (id, text), streamed; an item longer than a block is a block of its own."""
     ids, texts, words = [], [], 0
-    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL AND i IS NOT NULL").toLocalIterator():
+    for row in benchmark.where("t IS NOT NULL AND i IS NOT NULL").toLocalIterator():
         n = len(row["t"]) // 2 + 1
         if ids and words + n > block_words:
             yield ids, texts
@@ -188,30 +187,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     are, with every column they have."""
     wide = pa.int64() if benchmark.schema[item_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     kind = "long" if wide == pa.int64() else "string"
-    out = docs.withColumn("__n_words", F.lit(0).cast("long")).withColumn("__spans", F.expr("CAST(array() AS array<struct<start:int,end:int>>)")).withColumn("__items", F.expr(f"CAST(array() AS array<{kind}>)"))
-    out = out.withColumn("__text", F.col(text_col))
-    schema = out.schema
-    bench = benchmark.withColumn(item_col, F.col(item_col).cast(kind))
-    for k, (ids, texts) in enumerate(_blocks(bench, item_col, item_text_col, block_words)):
+    none = lambda t: F.expr(f"CAST(array() AS array<{t}>)")
+    out = C.packed(docs, F.lit(0).cast("long").alias("n_words"), none("struct<start:int,end:int>").alias("spans"), none(kind).alias("items"))
+    bench = benchmark.select(F.col(item_col).cast(kind).alias("i"), F.col(item_text_col).alias("t"))
+    for k, (ids, texts) in enumerate(_blocks(bench, block_words)):
         if k:
             out = C.cut(out, "decontaminate")  # one pass at a time holds one block
         held = docs.sparkSession.sparkContext.broadcast(_block(ids, texts, window))
-        out = _one_pass(out, held, wide, schema)
-    return out.drop("__text")
+        out = _one_pass(out, held, wide, docs.columns.index(text_col))
+    return C.unpacked(out, docs.columns, __n_words=F.col("n_words"), __spans=F.col("spans"), __items=F.col("items"))
 
 
-def _one_pass(df: DataFrame, held, wide: pa.DataType, schema) -> DataFrame:
+def _one_pass(df: DataFrame, held, wide: pa.DataType, at: int) -> DataFrame:
     def run(batches):
         f = _pass(held.value, wide)
         for batch in batches:
-            for part in C.pieces(batch, batch.schema.names.index("__text"), 2 << 20) if batch.num_rows else ():
-                yield f(part)
+            for part, text in C.pieces(batch, batch.column("row").field(at)) if batch.num_rows else ():
+                yield f(part, text)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 10) -> DataFrame:
     """``docs`` without those in which a window of a test item stands."""
     found = find_contamination(docs, benchmark, text_col, item_col, window=window)
-    return found.where(F.size("__spans") == 0).select(*docs.columns)
+    return found.where(F.size("__spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -19,7 +19,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -385,18 +384,14 @@ def extract(pages: DataFrame, net: Labeller, html_col: str = "html", text_col: s
     Null, empty or textless html gives an empty text; html is read whole, however long; every row
     is read alone and every other column stays; an empty table gives an empty one."""
     held = pages.sparkSession.sparkContext.broadcast(net)
-    rest = [c for c in pages.columns if c not in (html_col, text_col)]
-    src = pages.select(*rest, F.col(html_col).alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1]), f"`{html_col}` string, `{text_col}` string"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        source = batch.column(batch.num_columns - 1)
+    def run(source: pa.Array) -> list[pa.Array]:
         read = [leaf_blocks(x) if x else [] for x in source.to_pylist()]
         main = label_blocks(held.value, read)
         texts, at = [], 0
         for blocks in read:
             texts.append("\n\n".join(b.text for b, ok in zip(blocks, main[at : at + len(blocks)], strict=True) if ok))
             at += len(blocks)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names[:-1], html_col, text_col])
+        return [pa.array(texts, pa.string())]
 
-    return C.map_batches(src, run, schema, most=1 << 20)
+    return C.map_docs(pages, html_col, run, f"`{text_col}` string", most=1 << 20)

@@ -202,21 +202,17 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     Only the text is looked at. Null, empty or letterless text is ``und`` with score 0, as is
     everything where there is no network; ties go to the language first in sorted order; rows
     that repeat get equal answers; every row and column stays."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(net)  # a few thousand numbers
-    src = docs.withColumn("__text", F.col(text_col))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__lang string, __score double"])
+    held = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(texts: pa.Array) -> list[pa.Array]:
         net = held.value
-        texts = batch.column(batch.num_columns - 1)
-        lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+        lang, score = ["und"] * len(texts), np.zeros(len(texts))
         if net:
             p = predict_rows(net, texts)
             best = p.argmax(1)
             for i, text in enumerate(texts.to_pylist()):
                 if text and _LETTER.search(text):
                     lang[i], score[i] = net.langs[best[i]], min(1.0, p[i, best[i]])
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "__lang", "__score"])
+        return [pa.array(lang, pa.string()), pa.array(score)]
 
-    return C.map_batches(src, run, schema)
+    return C.map_docs(docs, text_col, run, "__lang string, __score double")

@@ -158,8 +158,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the text that is left, and two more columns, ``__n_lines`` and ``__n_dropped``.
 
     All rows and columns of ``docs`` stay; a text that loses nothing stays as it is (null too)."""
-    maps = keep_bitmaps(docs, id_col, text_col, min_docs, min_chars).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("n_dropped").alias("__gone"), F.col("keep").alias("__keep"))
-    joined = docs.withColumn("__own", F.xxhash64(text_col)).join(maps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left")
-    left = F.pandas_udf(_apply, "string")(F.col(text_col), F.col("__keep"))
-    lines = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))), F.lit(0)) + 1
-    return joined.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines.cast("long").alias("__n_lines"), F.coalesce("__gone", F.lit(0)).cast("long").alias("__n_dropped"))
+    maps = keep_bitmaps(docs, id_col, text_col, min_docs, min_chars)
+    src = C.packed(docs, F.col(f"`{id_col}`").alias("own"), F.xxhash64(f"`{text_col}`").alias("print"), F.col(f"`{text_col}`").alias("text"))
+    joined = src.join(maps, F.col("own").eqNullSafe(F.col("id")) & (F.col("print") == F.col("fp")), "left")
+    left = F.pandas_udf(_apply, "string")(F.col("text"), F.col("keep"))
+    lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    results = {text_col: left, "__n_lines": lines.cast("long"), "__n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long")}
+    out = C.unpacked(joined, docs.columns, **results)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("__n_lines", "__n_dropped")], "__n_lines", "__n_dropped")

@@ -218,5 +218,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Of rows that repeat an id one stays; rows without an id all stay; other columns are kept."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
     stay = found.groupBy("id").agg(F.min("component").alias("least")).where("id = least").select(F.col("id").alias("__id"))
-    own = docs.join(stay, F.col(id_col) == F.col("__id")).drop("__id").dropDuplicates([id_col])
-    return own.unionByName(docs.where(F.col(id_col).isNull()))
+    src = C.packed(docs, F.col(f"`{id_col}`").alias("own"))
+    kept = src.join(stay, F.col("own") == F.col("__id")).dropDuplicates(["own"]).unionByName(src.where("own IS NULL"), allowMissingColumns=True)
+    return C.unpacked(kept, docs.columns)

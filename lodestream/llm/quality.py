@@ -102,19 +102,15 @@ def score_quality(docs: DataFrame, text_col: str = "text", limits: dict[int, flo
     ``__coverage``: for each n of ``limits`` the share of word characters inside n-grams that
     stand twice or more, then the share inside lines that stood before. Null or empty text has no
     words, covers nothing and is ok; rows are judged alone, repeated ones alike; other columns
-    stay as they are."""
+    stay as they are, but for one with a result's name, which the result replaces."""
     limits = NGRAM_LIMITS if limits is None else limits
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    src = docs.withColumn("__text", docs[text_col])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"__{x} long" for x in own), "__coverage array<double>, __ok boolean"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = measure(batch.column("__text"), tuple(limits))
+    def run(text: pa.Array) -> list[pa.Array]:
+        m = measure(text, tuple(limits))
         whole = np.maximum(m["word_chars"], 1)
         shares = np.stack([*(m[f"coverage_{k}"] / whole for k in limits), m["line_coverage"] / whole], 1)
         ok = (shares <= np.array([*limits.values(), line_limit])).all(1)
-        cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-        new = [*(pa.array(m[x], pa.int64()) for x in own), C.list_array(shares.ravel(), np.full(len(ok), shares.shape[1]), pa.float64()), pa.array(ok)]
-        return pa.RecordBatch.from_arrays([*cols, *new], [*batch.schema.names[:-1], *(f"__{x}" for x in own), "__coverage", "__ok"])
+        return [*(pa.array(m[x], pa.int64()) for x in own), C.list_array(shares.ravel(), np.full(len(ok), shares.shape[1]), pa.float64()), pa.array(ok)]
 
-    return C.map_batches(src, run, schema)
+    return C.map_docs(docs, text_col, run, ", ".join([*(f"__{x} long" for x in own), "__coverage array<double>, __ok boolean"]))

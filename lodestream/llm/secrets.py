@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: The fixed patterns (kind, pattern, group that must be long enough, characters it must have).
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = (("assign", ASSIGN, 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
@@ -31,6 +33,15 @@ LEAST = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{{{LEAST},}}"
 #: Ordinary identifiers to learn from: whole runs of letters and underscores.
 ORDINARY = r"(?<![A-Za-z0-9+/_=])[A-Za-z_]{12,}(?![A-Za-z0-9+/_=])"
+#: Labelled samples that every model starts from, each counted SAMPLE_WEIGHT times.
+SAMPLES = """
+configuration_value current_user_name request_handler response_status default_timeout connection_string
+maximumRetryCount isAuthenticated getDisplayName applicationContext databaseConnection serializeToString
+internationalization responsibilities characteristics understanding representation communication
+Verantwortung Geschwindigkeit Zusammenarbeit Wissenschaft responsabilidad comunicacion desarrollo
+developpement gouvernement environnement connaissance https/www/example/index/articles/archive
+""".split()
+SAMPLE_WEIGHT = 4
 #: Least mean log-likelihood ratio a transition (nats).
 THRESHOLD = 1.0
 
@@ -58,8 +69,8 @@ def _spans(matches: Column, rank: int, kind: str, least: int) -> Column:
 
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__t`` (the text, null as empty) and ``__base``, the fixed patterns' spans by start and kind."""
-    out = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    """(row, __t, __base): all columns packed, the text (null as empty), the fixed patterns' spans by start and kind."""
+    out = packed(docs, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t"))
     for kind, pattern, group, _ in PATTERNS:
         pattern = _FAST.get(kind, pattern)
         out = out.withColumn(f"__{kind}", F.when(F.col("__t").rlike(pattern), _matches(F.col("__t"), pattern, group)))
@@ -87,7 +98,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000) ->
     ``sample_docs`` documents chosen by a hash of the text, which bounds the labelled sample.
 
     Counts start from a prior: random strings are uniform over the alphabet (weight 20 a state),
-    identifiers as frequent as their letters. Without samples the ratios are those of the priors."""
+    identifiers as frequent as their letters, and both start from SAMPLES."""
     n = docs.count()
     few = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     if n > sample_docs:
@@ -99,6 +110,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000) ->
     counts = [[0.0] * STATES**2 for _ in range(2)]
     for row in pairs.groupBy("y", "k").agg(F.count("*").alias("n")).collect():  # at most 2 STATES^2 rows
         counts[row["y"]][row["k"]] = float(row["n"])
+    for word in SAMPLES:
+        codes = [ALPHABET.find(c) + 1 for c in word]
+        for a, b in zip(codes, codes[1:], strict=False):
+            counts[0][a * STATES + b] += SAMPLE_WEIGHT
     total = sum(counts[0])
     column = [sum(counts[0][a * STATES + b] for a in range(STATES)) for b in range(STATES)]
     often = [(c + 1) / (total + STATES) for c in column]
@@ -119,7 +134,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     kind ``random``, which never touch one of the fixed patterns.
 
     Null and empty text has no spans; texts are scanned whole; rows that repeat give equal spans;
-    an empty table gives an empty one; every row and column stays."""
+    an empty table gives an empty one; every row and column stays, but for one with a result's name."""
     model = F.array(*[F.lit(x) for x in ratios])
     out = base_spans(docs, text_col)
     found = F.regexp_extract_all(F.col("__t"), F.lit(CANDIDATE), F.lit(0))
@@ -133,4 +148,4 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     spans = F.coalesce(_spans(F.col("__random"), len(PATTERNS), "random", 1), F.expr(f"CAST(array() AS array<{_SPAN}>)"))
     out = out.withColumn("__random", spans)
     apart = F.filter("__random", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return out.withColumn("__spans", F.array_sort(F.concat("__base", apart))).drop("__random", "__t")
+    return unpacked(out, docs.columns, __base=F.col("__base"), __spans=F.array_sort(F.concat("__base", apart)))

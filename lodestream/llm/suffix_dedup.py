@@ -160,7 +160,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in C.pieces(batch, 1, block_bytes) if batch.num_rows else ():
+            for part, _ in C.pieces(batch, batch.column(1), block_bytes) if batch.num_rows else ():
                 raw, off = C.text_bytes(part.column(1))
                 packed = pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), part.column(2)], ["id", "n", "none"])
                 sink = pa.BufferOutputStream()
@@ -196,10 +196,12 @@ def _bits(answers: pa.Table, stage: int) -> np.ndarray:
 def _seeds(block: _Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct names of the sampled suffixes, sorted; which stand in several documents of the block."""
     at = np.flatnonzero(block.flags)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     names, docs = block.names[at], block.doc[at]
     order = np.lexsort((docs, names))
     names, docs = names[order], docs[order]
-    edge = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     last = np.append(edge[1:], len(names)) - 1
     return names[edge], docs[edge] != docs[last]
 

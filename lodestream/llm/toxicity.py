@@ -120,8 +120,9 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, half: str) -> Model:
         for batch in batches:
             kinds = batch.column(0).to_numpy(zero_copy_only=False)
             for k in np.unique(kinds):
-                for part in C.pieces(batch.filter(pa.array(kinds == k)), 1, 2 << 20):
-                    counts[k] += np.bincount(grams(part.column(1))[0], minlength=SIZE)
+                own = batch.filter(pa.array(kinds == k)).column(1)
+                for text, _ in C.pieces(own, own):
+                    counts[k] += np.bincount(grams(text)[0], minlength=SIZE)
         for k in range(4):
             at = np.flatnonzero(counts[k])
             for a in range(0, len(at), 100_000):
@@ -136,7 +137,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, half: str) -> Model:
     def histogram(batches):
         out = np.zeros((2, BINS), np.int64)
         for batch in batches:
-            for part in C.pieces(batch, 1, 2 << 20) if batch.num_rows else ():
+            for part, _ in C.pieces(batch, batch.column(1)) if batch.num_rows else ():
                 kinds = part.column(0).to_numpy(zero_copy_only=False)
                 for k in np.unique(kinds):
                     x = normalised(halves.value[1 - k % 2], part.filter(pa.array(kinds == k)).column(1))
@@ -158,13 +159,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__toxic`` (0 to 1). Null or empty text has two word bounds and gets the
     score of no evidence; texts are read whole; repeated rows score alike; other columns stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.withColumn("__text", F.col(text_col))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__toxic double"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(texts: pa.Array) -> list[pa.Array]:
         m = held.value
-        x = normalised(m.difference, batch.column(batch.num_columns - 1))
-        p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -500, 500)))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "__toxic"])
+        x = normalised(m.difference, texts)
+        return [pa.array(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -500, 500))))]
 
-    return C.map_batches(src, run, schema)
+    return C.map_docs(docs, text_col, run, "__toxic double")
