@@ -67,10 +67,9 @@ class Tournament(OneAgainstAll):
                         rest.append(a)
                         continue
                     m = self._meet(bracket, a, b)
-                    first = m.predict(idx, val) > 0
                     if truth in (a, b):
                         m.learn(idx, val, 1.0 if truth == a else -1.0, weight)
-                        first = truth == a  # training follows the truth up its bracket
+                    first = m.predict(idx, val) > 0
                     rest.append(a if first else b)
                     out.append(b if first else a)
                 entrants = rest
@@ -79,10 +78,11 @@ class Tournament(OneAgainstAll):
         winner = losers[0]
         for rival in losers[1:]:
             if rival != winner:
-                m = self._meet(99, min(winner, rival), max(winner, rival))
-                winner = min(winner, rival) if m.predict(idx, val) > 0 else max(winner, rival)
-                if truth in (winner, rival):
-                    m.learn(idx, val, 1.0 if truth == min(winner, rival) else -1.0, weight)
+                a, b = sorted((winner, rival))
+                m = self._meet(self.errors + 1, a, b)
+                if truth in (a, b):
+                    m.learn(idx, val, 1.0 if truth == a else -1.0, weight)
+                winner = a if m.predict(idx, val) > 0 else b
         return winner
 
     def predict(self, idx, val):
