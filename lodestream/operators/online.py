@@ -144,7 +144,7 @@ class GD(Kernel):
         n = 1 << self.bits
         self.w, self.adapt, self.norm = np.zeros(n), np.zeros(n), np.zeros(n)
         self.total_weight, self.norm_sum, self.t = 0.0, 0.0, self.initial_t
-        self.seen_low, self.seen_high = math.inf, -math.inf
+        self.seen_low, self.seen_high = 0.0, 0.0
 
     def _raw(self, idx, val) -> float:
         w = self.w[idx]
