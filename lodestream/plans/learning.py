@@ -202,7 +202,7 @@ def large_action_space(spark, sf):
 def search_sequence(spark, sf):
     """Roles of conversation turns as sequences, labelled by learning to search; one policy for each of 8 groups."""
     roles = ("assistant", "system", "user")
-    c = table(spark, sf, "conversations").select(F.pmod(F.xxhash64("conv_id"), F.lit(8)).cast("int").alias("g"), "conv_id", "turn", "role", F.slice(T.tokens(F.col("text")), 1, 1 << 20).alias("w"))
+    c = table(spark, sf, "conversations").select(F.pmod(F.xxhash64("conv_id"), F.lit(8)).cast("int").alias("g"), "conv_id", "turn", "role", T.tokens(F.col("text")).alias("w"))
 
     def fold(rows: pa.Table) -> pa.Table:
         from ..functions.hashing import murmur3_many
