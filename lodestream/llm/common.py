@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,6 +27,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not (own := os.environ.get("LODESTREAM_SCRATCH")):
         own = os.environ["LODESTREAM_SCRATCH"] = tempfile.mkdtemp(prefix="lodestream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
