@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = C.cut(sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("c"), F.first("sig").alias("sig")), "near-classes")
     pairs = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, crowd, percent), "near-pairs")
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    texts = C.cut(src.withColumnRenamed("id", "c").join(ends, "c", "left_semi").groupBy("c").agg(F.min("text").alias("text")), "near-texts")
+    texts = C.cut(C.with_small(src.withColumnRenamed("id", "c"), ends, "c").groupBy("c").agg(F.min("text").alias("text")), "near-texts")
     best = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     sure = C.cut(_confirm(best, texts, words, percent), "near-links")
     joined = components(sure)
