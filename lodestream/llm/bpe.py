@@ -118,7 +118,7 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids", hot: int = 1 << 17, sample_docs: int = 8192) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids", hot: int = 1 << 18, sample_docs: int = 1 << 15) -> DataFrame:
     """``docs`` with ``text_col`` replaced by ``ids_col``, array<int>, in its place.
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty text
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
 
         def _back(block, js, flat):
             packed = np.concatenate([np.array([[j, len(x)] for j, x in zip(js, flat, strict=True)], np.int32).ravel(), np.array([i for x in flat for i in x], np.int32)])
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(js)], pa.int32()), pa.array([zstandard.compress(packed.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary())], ["block", "n", "data", "carried"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(js)], pa.int32()), pa.array([_planes(packed)], pa.binary()), pa.nulls(1, pa.binary())], ["block", "n", "data", "carried"])
 
         for batch in batches:
             whole = np.flatnonzero(batch.column(2).to_numpy() < 0)
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
             if n < 0:
                 whole = (data, carried)
                 continue
-            packed = np.frombuffer(zstandard.decompress(data), np.int32)
+            packed = _unplanes(data)
             tail_j.append(packed[: 2 * n : 2]), tail_n.append(packed[1 : 2 * n : 2]), tail_flat.append(packed[2 * n :])
         codes = _unplanes(whole[0])
         carried = pa.ipc.open_stream(whole[1]).read_all().combine_chunks()
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
             begin = np.empty(len(j), np.int64)
             length = np.empty(len(j), np.int64)
             begin[j], length[j] = np.cumsum(n) - n + len(flat), n
-            start, size, flat = np.concatenate([start, begin]), np.concatenate([size, length]), np.concatenate([flat, *tail_flat])
+            start, size, flat = np.concatenate([start, begin]), np.concatenate([size, length]), np.concatenate([flat, *tail_flat]).astype(np.int32)
         many = size[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.cumsum(many)
         ids = flat[np.repeat(start[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)] if len(codes) else np.zeros(0, np.int32)
@@ -233,6 +233,7 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", bytes_col:
         tokens[rank] = token
     held = df.sparkSession.sparkContext.broadcast((np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), np.frombuffer(b"".join(tokens), np.uint8)))
     df = df.drop(*[c for c in df.columns if c == bytes_col])
+    C.small_batches(df.sparkSession)
     at = df.columns.index(ids_col)
     schema = StructType([*df.schema.fields, StructField(bytes_col, BinaryType())])
 

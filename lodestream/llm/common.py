@@ -31,9 +31,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Rows that Spark hands to Python at once while a table of long rows is written: an Arrow batch
-#: stands in an executor's memory several times over, outside its heap.
-ARROW_ROWS = "1000"
+#: Most rows that Spark may hand to Python at once: an Arrow batch of long rows stands in an
+#: executor's memory several times over, outside its heap.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ARROW_ROWS if it is larger. What an operator returns
+    runs later, in that session, so the setting has to stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -41,13 +49,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs a reread and never a recomputation of what came before."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ARROW_ROWS)
-    try:
-        df.write.option("compression", "zstd").parquet(at)
-    finally:
-        spark.conf.set(key, before)
+    small_batches(spark)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -84,6 +87,7 @@ def pieces(rows, text, most: int = 2 << 20):
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = 2 << 20, text_col: int = -1) -> DataFrame:
     """``f`` over slices of a bounded amount of text; ``df`` has columns of the operator's own."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -106,6 +110,7 @@ def unpacked(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
 
 def map_docs(docs: DataFrame, text_col: str, f: Callable[[pa.Array], list[pa.Array]], results: str, most: int = 2 << 20) -> DataFrame:
     """``docs`` with result columns (a DDL string) that ``f`` makes from slices of the text column."""
+    small_batches(docs.sparkSession)
     src = packed(docs)
     out = StructType.fromDDL(results)
     at = docs.columns.index(text_col)

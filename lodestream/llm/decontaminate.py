@@ -185,6 +185,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     one window. Null or empty text has no words; items with null text or id match nothing; equal
     rows are judged alike; an empty table on either side gives no matches. Rows are kept as they
     are, with every column they have."""
+    C.small_batches(docs.sparkSession)
     wide = pa.int64() if benchmark.schema[item_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     kind = "long" if wide == pa.int64() else "string"
     none = lambda t: F.expr(f"CAST(array() AS array<{t}>)")
