@@ -3,10 +3,14 @@
 Suffixes get names for their first 2, 4, 8 and 16 bytes by doubling inside a block of documents
 (a name is a 64-bit fingerprint of the pair of names at offset 0 and at the growing offset, so
 that equal strings have equal names everywhere). At 16 bytes Spark sorts the pairs of name and
-position, packed by block, and reranks: a suffix whose name is unique is out. The pair of the
-names at offsets 0 and 34 - with those between - ranks what is left at the threshold, 50 bytes,
-in a second sort. A suffix whose 50-byte name also stands in a document with a smaller id marks
-50 bytes of its own document.
+position, packed by block, and reranks: a suffix whose name is unique is out. Pairs of names at
+growing offsets then rank what is left: first the neighbourhoods of the suffixes that are not
+unique (all bytes that a 50-byte string around one may cover), where one that stands in a
+document with a smaller id settles all its strings at once, then each 50-byte string that is
+still open. A string that also stands in a document with a smaller id marks its 50 bytes.
+
+A settled string needs no rank: the least document with its neighbourhood has the same string
+and is not settled by it, so it asks, and its id is the least that matters.
 
 The first sort needs only sampled suffixes: of every 35 neighbouring 16-byte strings the one
 with the least name, which every 50-byte string contains and which is the same wherever that
@@ -20,6 +24,7 @@ so a string that a third of all documents share costs one entry a block.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from uuid import uuid4
 
 import numpy as np
@@ -206,13 +211,55 @@ def _seeds(block: _Block) -> tuple[np.ndarray, np.ndarray]:
     return names[edge], docs[edge] != docs[last]
 
 
-def _candidates(block: _Block, answers: pa.Table) -> np.ndarray:
-    """Where strings begin whose least sampled suffix isn't unique."""
+@dataclass
+class _Candidates:
+    """Runs of neighbouring strings with one and the same least sampled suffix, which isn't unique:
+    first and last byte where a string begins, and whether the neighbourhood of the suffix, every
+    byte that one of the run's strings may cover, lies in the document (``known``) with its name."""
+
+    first: np.ndarray
+    last: np.ndarray
+    known: np.ndarray
+    name: np.ndarray
+    doc: np.ndarray
+
+    def strings(self, which: np.ndarray) -> np.ndarray:
+        """Where the strings of some runs begin."""
+        first, many = self.first[which], (self.last - self.first + 1)[which]
+        return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def _candidates(block: _Block, answers: pa.Table) -> _Candidates:
     names, several = _seeds(block)
     again = names[several | _bits(answers, 1)]
-    turn = np.flatnonzero(np.concatenate([[True], block.least[1:] != block.least[:-1]])) if len(block.least) else np.zeros(0, np.int64)
-    found = np.isin(block.least[turn], again)
-    return np.flatnonzero(np.repeat(found, np.diff(np.append(turn, len(block.least)))) & block.whole[: len(block.least)])
+    n, width = len(block.least), block.length - SEED + 1
+    turn = np.flatnonzero(np.concatenate([[True], block.least[1:] != block.least[:-1]])) if n else np.zeros(0, np.int64)
+    least = block.least[turn] if n else np.zeros(0, np.uint64)
+    found = np.isin(least, again) & (least != ~np.uint64(0))
+    first, last, least = turn[found], (np.append(turn[1:], n) - 1)[found], least[found]
+    samples = np.flatnonzero(block.flags)
+    if not len(first) or not len(samples):
+        none = np.zeros(0, np.int64)
+        return _Candidates(none, none, none.astype(bool), none.astype(np.uint64), none)
+    at = samples[np.minimum(np.searchsorted(samples, last), len(samples) - 1)]
+    left = at - width + 1
+    # The suffix serves the whole run, and its neighbourhood is inside one document.
+    known = (at >= last) & (block.names[at] == least) & (left <= first) & (left >= 0) & block.whole[at]
+    known &= block.doc[np.maximum(left, 0)] == block.doc[at]
+    name = np.zeros(len(first), np.uint64)
+    name[known] = _pair(block.full_names(left[known]), block.full_names(at[known]))
+    return _Candidates(first, last, known, name, block.doc[first])
+
+
+def _settled(runs: _Candidates, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """The runs whose whole neighbourhood stands in a document with a smaller id."""
+    own = ids[runs.doc[runs.known]]
+    asked, least = _distinct(runs.name[runs.known], own)
+    out = np.zeros(len(runs.first), bool)
+    if len(asked):
+        k = np.searchsorted(asked, runs.name[runs.known])
+        out[runs.known] = _bits(answers, 2)[k] | (own > least[k])
+    return out
 
 
 def _ask_seeds(length: int, ranges: int):
@@ -228,7 +275,7 @@ def _ask_seeds(length: int, ranges: int):
 
 def _answer(stage: int, rows: pa.Table) -> pa.Table:
     """For one range of names, sorted over all blocks. Stage 1: which stand in another block too.
-    Stage 2: which stand in another block's document with a smaller id than the block's own least."""
+    Later: which stand in another block's document with a smaller id than the block's own least."""
     k, blocks = rows["k"][0].as_py(), rows["block"]
     lists = [_unpack_sorted(x) for x in rows["names"].to_pylist()]
     names, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
@@ -250,13 +297,18 @@ def _answer(stage: int, rows: pa.Table) -> pa.Table:
 _ANSWER = "block long, stage int, k int, n int, bits binary"
 
 
-def _ask_strings(length: int, ranges: int, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _ask_names(stage: int, length: int, ranges: int, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    """Stage 2 asks for neighbourhoods, stage 3 for the strings of the runs that these left open."""
     out = []
     for row in blocks.to_pylist():
         docs, block = _open(row["head"], row["data"], length)
-        at = _candidates(block, answers)
-        names, ids = _distinct(block.full_names(at), docs.column(0).to_numpy()[block.doc[at]])
-        out += _ask(row["block"], names, ids, ranges)
+        runs, ids = _candidates(block, answers), docs.column(0).to_numpy()
+        if stage == 2:
+            names, least = _distinct(runs.name[runs.known], ids[runs.doc[runs.known]])
+        else:
+            at = runs.strings(~_settled(runs, ids, answers))
+            names, least = _distinct(block.full_names(at), ids[block.doc[at]])
+        out += _ask(row["block"], names, least, ranges)
     return pa.Table.from_batches([_rows(out)]) if out else pa.table({"k": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
 
 
@@ -272,13 +324,15 @@ def _remove(length: int, blocks: pa.Table, answers: pa.Table) -> pa.Table:
     ids, sizes, spans, kept = [], [], [], []
     for row in blocks.to_pylist():
         docs, block = _open(row["head"], row["data"], length)
-        at = _candidates(block, answers)
-        own = docs.column(0).to_numpy()[block.doc[at]]
-        names = block.full_names(at)
+        runs, known = _candidates(block, answers), docs.column(0).to_numpy()
+        settled = _settled(runs, known, answers)
+        at = runs.strings(~settled)
+        own, names = known[block.doc[at]], block.full_names(at)
         asked, least = _distinct(names, own)
         k = np.searchsorted(asked, names)
-        smaller = _bits(answers, 2)
-        marked = at[(smaller[k] if len(smaller) else np.zeros(len(at), bool)) | (own > (least[k] if len(least) else own))]
+        marked = runs.strings(settled)
+        if len(at):
+            marked = np.concatenate([marked, at[_bits(answers, 3)[k] | (own > least[k])]])
         edge = np.bincount(marked, minlength=len(block.data) + 1) - np.bincount(marked + length, minlength=len(block.data) + 1)
         gone = np.cumsum(edge[:-1]) > 0
         for i, (a, b) in enumerate(zip(block.off[:-1], block.off[1:], strict=True)):
@@ -306,8 +360,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = max(1, n_bytes // (4 * names_per_range))
     whole = blocks.select("block", "head", "data")
     asks = whole.mapInArrow(_ask_seeds(length, max(1, ranges // 4)), _ASK)
-    first = C.cut(asks.groupBy("k").applyInArrow(lambda rows: _answer(1, rows), _ANSWER), "suffix-answers")
-    asks = whole.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda rows, answers: _ask_strings(length, ranges, rows, answers), _ASK)
-    second = C.cut(asks.groupBy("k").applyInArrow(lambda rows: _answer(2, rows), _ANSWER), "suffix-answers")
-    out = whole.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(lambda rows, answers: _remove(length, rows, answers), "id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
-    return out
+    first = C.cut(asks.groupBy("k").applyInArrow(_answering(1), _ANSWER), "suffix-answers")
+    answers = first
+    for stage in (2, 3):
+        asks = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asking(stage, length, ranges), _ASK)
+        answers = answers.unionByName(C.cut(asks.groupBy("k").applyInArrow(_answering(stage), _ANSWER), "suffix-answers"))
+    return whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda rows, got: _remove(length, rows, got), "id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
+
+
+def _asking(stage: int, length: int, ranges: int):
+    return lambda rows, answers: _ask_names(stage, length, ranges, rows, answers)
+
+
+def _answering(stage: int):
+    return lambda rows: _answer(stage, rows)
