@@ -9,6 +9,9 @@ large, so that the depth adapts to how crowded a region is. Every class of a reg
 the region's first class. Candidates are confirmed on the full shingle sets, components are the
 least id reachable over confirmed links, by rounds of joins over tables in the shared folder.
 
+In a region whose classes are then still in several components, representatives meet every other
+class of the region, in rounds until no two classes of different components are left unmet.
+
 A pair whose ends other confirmed links already join need not be confirmed: it can't change a
 component. So the likeliest candidate of each class is confirmed first, and of the rest only
 what still joins two components.
@@ -89,8 +92,9 @@ def _sketch(docs: DataFrame, words: int, values: int) -> DataFrame:
     return C.map_batches(docs, run, "id long, d1 long, d2 long, n_shingles long, sig binary", most=1 << 20)
 
 
-def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, crowd: int, percent: int) -> DataFrame:
-    """(a, b, trees) candidate pairs of classes, a < b, with the number of trees that show them.
+def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, crowd: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, trees) candidate pairs of classes, a < b, with the number of trees that show them, and
+    (region, c, n): the classes of every region of equal ``least`` leading values that may have others.
 
     Rows (tree, key, class) are range-partitioned by all three, which deals a crowded prefix over
     partitions, and sorted. A stream holds the row before and the region it stands in: for each
@@ -108,14 +112,14 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, crowd: i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        before, heads, first = None, [], True
+        before, heads, told = None, [], False
 
         def edge(row, side):
             return pa.RecordBatch.from_arrays([pa.array([row[2]]), pa.nulls(1, pa.int64()), pa.array([row[3]]), pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([part + side], pa.int32()), pa.array([side], pa.int32())], names)
 
         names = ["a", "b", "n", "tree", "key", "part", "side"]
         for batch in batches:
-            a, b = [], []
+            a, b, region = [], [], []
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 tree, key, c, n = row
                 common = 0
@@ -125,6 +129,9 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, crowd: i
                     while common < depth and key[4 * common : 4 * common + 4] == before[1][4 * common : 4 * common + 4]:
                         common += 1
                 del heads[max(0, common - least + 1) :]
+                if common >= least:
+                    region += [row] if told else [before, row]
+                told = common >= least
                 if common >= least:
                     met = {before[2:], heads[0][0]}
                     small = next((h for h in heads if len(h) < crowd), ())
@@ -139,14 +146,80 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, crowd: i
             if a:
                 k = len(a)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))], names)
+            if region:
+                k, (tree, key, c, n) = len(region), zip(*region, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.array(tree, pa.int32()), pa.array([x[: 4 * least] for x in key], pa.binary()), pa.nulls(k, pa.int32()), pa.array([2] * k, pa.int32())], names)
         if before is not None:
             yield edge(before, 1)
 
     met = C.cut(ordered.mapInArrow(run, "a long, b long, n long, tree int, key binary, part int, side int"), "near-neighbours")
-    ends = met.where("side IS NOT NULL").select("part", "side", "tree", F.substring("key", 1, 4 * least).alias("head"), "a")
+    ends = met.where("side < 2").select("part", "side", "tree", F.substring("key", 1, 4 * least).alias("head"), "a")
     stitched = ends.where("side = 1").alias("x").join(ends.where("side = 0").alias("y"), ["part", "tree", "head"]).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
     pairs = met.where("side IS NULL").select("a", "b").unionByName(stitched).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"))
+    members = met.where("side IS NOT NULL").select(F.xxhash64("tree", F.substring("key", 1, 4 * least)).alias("region"), F.col("a").alias("c"), "n")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees")), members.distinct()
+
+
+def _bytes(classes: DataFrame) -> DataFrame:
+    """(c, bytes): the last byte of each value of the signature."""
+
+    def run(batches):
+        for batch in batches:
+            sig = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[3::4] for x in sig], pa.binary())], ["c", "bytes"])
+
+    return classes.mapInArrow(run, "c long, bytes binary")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, deviations: float = 5.0) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in as many values as those of a link may; ``sketches``
+    has each class's signature cut to a byte a value. At similarity 0.8 and 224 values a link is lost once in 640,000 times."""
+    both = pairs.join(sketches.select(F.col("c").alias("a"), F.col("bytes").alias("x")), "a").join(sketches.select(F.col("c").alias("b"), F.col("bytes").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (C.text_bytes(batch.column(k))[0].reshape(batch.num_rows, -1) for k in (2, 3))
+                values, p = x.shape[1], percent / 100
+                enough = values * p - deviations * (values * p * (1 - p)) ** 0.5
+                yield batch.filter(pa.array((x == y).sum(1) >= enough)).select([0, 1])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _close(members: DataFrame, classes: DataFrame, tried: DataFrame, links: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(c, component) after all pairs of a region that could join two components have been confirmed.
+
+    The component of the region's class with most neighbours over all trees is its main one; the
+    region is open while classes outside the main component have not been representatives. In
+    each round the 1, 8, 64, ... open classes with most neighbours (in a star, its centre comes
+    first) meet every class of the region in another component. A pair that was ``tried`` is not
+    confirmed again."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
+    sized = members.join(sizes.where("size > 1"), "region")
+    degree = sized.groupBy("c").agg(F.sum(F.col("size") - 1).alias("degree"))
+    members = C.cut(sized.join(degree, "c").select("region", "c", "n", "degree"), "near-members")
+    joined, done, k = components(links), None, 1
+    while True:
+        here = members.join(joined, "c", "left").select("region", "c", "n", "degree", F.coalesce("component", "c").alias("l"))
+        main = here.groupBy("region").agg(F.max_by("l", F.struct("degree", -F.col("c"))).alias("main"), F.max_by("c", F.struct("degree", -F.col("c"))).alias("top"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("region", "main", "top")
+        here = C.cut(here.join(main, "region"), "near-open")
+        free = here.where("c = top" if done is None else "l <> main")
+        free = free if done is None else free.join(done, ["region", "c"], "left_anti")
+        order = Window.partitionBy("region").orderBy(F.desc("degree"), "c")
+        heads = C.cut(free.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).select("region", F.col("c").alias("h"), F.col("n").alias("hn"), F.col("l").alias("hl")), "near-heads")
+        if heads.isEmpty():
+            return joined
+        if done is None:
+            sketches = C.cut(_bytes(C.with_small(classes.select("c", "sig"), here.select("c").distinct(), "c")), "near-bytes")
+        met = C.with_small(here.select("region", "c", "n", "l"), heads, "region").where(f"l <> hl AND 100 * least(n, hn) >= {percent} * greatest(n, hn)")
+        pairs = C.cut(met.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        likely = C.cut(_likely(pairs, sketches, percent), "near-pairs")
+        links = links.unionByName(C.cut(_confirm(likely, texts, words, percent), "near-links"))
+        joined = components(links)
+        tried = tried.unionByName(likely)
+        new = heads.select("region", F.col("h").alias("c"))
+        done, k = new if done is None else done.unionByName(new), 8 * k
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -197,8 +270,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = C.cut(_sketch(src, words, trees * depth), "near-sketch")
     classes = C.cut(sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("c"), F.first("sig").alias("sig")), "near-classes")
-    pairs = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, crowd, percent), "near-pairs")
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    pairs, members = _neighbours(classes.select("c", "n", "sig"), trees, depth, least, crowd, percent)
+    pairs, members = C.cut(pairs, "near-pairs"), C.cut(members, "near-members")
+    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(members.select("c")).distinct()
     texts = C.cut(C.with_small(src.withColumnRenamed("id", "c"), ends, "c").groupBy("c").agg(F.min("text").alias("text")), "near-texts")
     best = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     sure = C.cut(_confirm(best, texts, words, percent), "near-links")
@@ -206,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
     open_ = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").join(best, ["a", "b"], "left_anti")
     more = C.cut(_confirm(open_, texts, words, percent), "near-links")
-    joined = components(sure.unionByName(more))
+    joined = _close(members, classes, best.unionByName(open_.select("a", "b")), sure.unionByName(more), texts, words, percent)
     roots = classes.select("d1", "d2", "n", "c").join(joined, "c", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "c").alias("component"))
     out = sketch.select("id", "d1", "d2", "n_shingles").join(roots, ["d1", "d2", "n_shingles"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

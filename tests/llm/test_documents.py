@@ -71,6 +71,28 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
+def test_near_dedup_star(spark):
+    """1,000 copies that each link to the original and not to one another, and a second star beside it."""
+    made, rows = random.Random(9), []
+    for s in range(2):
+        base = [f"w{s}x{k}" for k in range(100)]
+        rows += [" ".join(base)]
+        for c in range(1000 if s == 0 else 60):
+            w = list(base)
+            for k in range(4):
+                w[made.randrange(25 * k + 1, 25 * k + 24)] = f"own{s}x{c}x{k}"
+            rows.append(" ".join(w))
+    made.shuffle(rows)
+    sets = [shingles(t, 2) for t in rows]
+    links = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    whole = [i for i, t in enumerate(rows) if "own" not in t]
+    star = {i: next(c for c in whole if links(sets[i], sets[c])) for i in range(len(rows))}
+    least = {c: min(i for i in star if star[i] == c) for c in whole}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in near_dedup.near_duplicates(df, words=2).collect()}
+    assert got == {i: least[star[i]] for i in got} and len(got) == len(rows)
+
+
 def test_near_dedup(spark, docs, none):
     base = [prose(60) for _ in range(12)]
     rows = []
