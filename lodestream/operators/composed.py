@@ -683,6 +683,7 @@ class Policy:
     gamma: float = 10.0
     temperature: float = 1.0
     bags: int = 4
+    psi: float = 1.0
     clip: float = 0.0
     seed: int = 0
     bits: int = 16
@@ -706,32 +707,66 @@ class Policy:
             p[best] = 0
             p[best] = 1 - p.sum()
             return p
-        if self.explore in ("bag", "cover"):
+        if self.explore == "bag":
             votes = np.bincount([int(self.costs(actions, m).argmin()) for m in range(len(self.models))], minlength=k) / len(self.models)
-            least = min(self.epsilon, 1 / math.sqrt(max(self.events, 1) * k)) if self.explore == "cover" else self.epsilon
-            return (1 - least) * votes + least / k
+            return (1 - self.epsilon) * votes + self.epsilon / k
+        if self.explore == "cover":
+            return self._cover(actions)
         if self.explore == "first":
             return np.full(k, 1 / k) if self.events < self.gamma else np.eye(k)[int(costs.argmin())]
         ties = costs == costs.min()
         return self.epsilon / k + (1 - self.epsilon) * ties / ties.sum()
 
+    def _cover(self, actions, targets=None):
+        """Online cover: the policies' votes, each action at least ``least``. With ``targets`` every
+        policy but the first first learns them less psi over the coverage of those before it."""
+        k = len(actions)
+        least = min(self.epsilon / k, self.epsilon / math.sqrt(max(self.events - (targets is not None), 1) * k))
+        votes, share = np.zeros(k), 1 / len(self.models)
+        norm = least * k + share - least
+        for m, model in enumerate(self.models):
+            if targets is not None and m:
+                lowered = targets - self.psi * least * norm / np.maximum(votes, least)
+                for x, target in zip(actions, lowered, strict=True):
+                    model.learn(*x, target, 1.0)
+            costs = self.costs(actions, m)
+            ties = np.flatnonzero(costs == costs.min())
+            for j in ties:
+                if m:
+                    norm += max(0.0, share / len(ties) - max(0.0, least - votes[j]))
+                votes[j] += share / len(ties)
+        # The actions below the least are raised to it, the others share what is left.
+        low = votes <= least
+        votes[low] = least
+        votes[~low] *= (1 - least * low.sum()) / votes[~low].sum()
+        return votes
+
+    def _targets(self, actions, chosen, cost, p, estimator):
+        """The estimated cost of every action, from the logged one."""
+        guess = np.array([self.reward._raw(i, v) for i, v in actions]) if estimator in ("dr", "dm") else np.zeros(len(actions))
+        if estimator != "dm":
+            guess[chosen] += (cost - guess[chosen]) / p
+        return guess
+
     def learn(self, actions, chosen, cost, p):
-        """Learns a logged event; returns the distribution it had before."""
+        """Learns a logged event; returns the distribution it had before. With mtr, cover's policies
+        after the first learn from dr's estimates."""
         before = self.distribution(actions)
         p = max(p if p > 0 else 1e-3, self.clip)
         self.events += 1
         self.actions += len(actions)
-        for m, model in enumerate(self.models):
+        estimator = "dr" if self.explore == "cover" and self.estimator == "mtr" else self.estimator
+        for m, model in enumerate(self.models[:1] if self.explore == "cover" else self.models):
             times = self.random.poisson1() if self.explore == "bag" and m else 1
             for _ in range(times):
                 if self.estimator == "mtr":
                     model.learn(*actions[chosen], cost, 1 / p * self.events / self.actions)
                     continue
-                guess = np.array([self.reward._raw(i, v) for i, v in actions]) if self.estimator in ("dr", "dm") else np.zeros(len(actions))
-                for k, x in enumerate(actions):
-                    target = guess[k] + ((cost - guess[k]) / p if k == chosen and self.estimator != "dm" else 0.0)
+                for x, target in zip(actions, self._targets(actions, chosen, cost, p, estimator), strict=True):
                     model.learn(*x, target, 1.0)
-        if self.estimator in ("dr", "dm"):
+        if self.explore == "cover":
+            self._cover(actions, self._targets(actions, chosen, cost, p, estimator))
+        if estimator in ("dr", "dm"):
             self.reward.learn(*actions[chosen], cost, 1.0)
         return before
 

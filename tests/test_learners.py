@@ -81,6 +81,20 @@ def test_bandits_find_the_best_action():
     assert chosen[0][2] != chosen[1][2] and len(chosen[1][0]) == 2
 
 
+def test_cover_policies_differ():
+    """Costs too near for one policy to rule the others out: later policies take what the earlier ones leave."""
+    rng, policy = np.random.default_rng(5), composed.Policy(bits=4, explore="cover", epsilon=0.5)
+    actions, distinct = [(np.array([k]), np.ones(1)) for k in range(3)], 0
+    for _ in range(300):
+        a = int(rng.integers(3))
+        p = policy.learn(actions, a, [0.5, 0.45, 0.5][a], 1 / 3)
+        assert p.sum() == pytest.approx(1) and p.min() > 0
+        distinct += len({int(policy.costs(actions, m).argmin()) for m in range(4)}) > 1
+    assert distinct > 30
+    costs = np.array([policy.costs(actions, m) for m in range(4)])
+    assert not any(np.allclose(costs[0], costs[m]) for m in range(1, 4))
+
+
 def test_continuous_actions():
     tree, rng = composed.CatsTree(bins=8, bits=3), np.random.default_rng(0)
     i, v = np.array([0]), np.ones(1)
