@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,10 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where none is named (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``, or the one that the context was given. Where
+    neither is named, a folder of our own on a single machine (tests); on a cluster that is an error,
+    as its machines share no folder that we could choose."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not (own := os.environ.get("LODESTREAM_SCRATCH")):
         own = os.environ["LODESTREAM_SCRATCH"] = tempfile.mkdtemp(prefix="lodestream-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -154,33 +163,38 @@ def word_spans(is_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, off)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        n = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _mix2(x: np.ndarray) -> np.ndarray:
+    """Two rounds of the finaliser: no structure of the input is left."""
+    x = mix(x) * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-_SALT = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Spans longer than this many bytes are hashed one by one.
+_LONG_SPAN = 256
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of data[start:end] for each span, in linear time: a polynomial in
-    2^64 over salted bytes, by prefix sums, brought to position 0 and mixed with the length."""
-    if not len(starts):
+    """64-bit fingerprints of data[start:end] for each span. Short spans go side by side, eight bytes
+    a step, each step through a mixer that isn't linear; long ones through xxh3."""
+    n = ends - starts
+    if not len(n):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SALT[data] * up[: len(data)], out=sums[1:])
-    return mix(mix((sums[ends] - sums[starts]) * down[starts]) + (ends - starts).astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    out = mix(n.astype(np.uint64) + np.uint64(0xA0761D6478BD642F))
+    live, done = np.arange(len(n)), 0
+    while len(live):
+        chunk, left = eight[starts[live] + done], n[live] - done
+        part = left < 8
+        if part.any():
+            chunk[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        out[live] = _mix2(out[live] ^ mix(chunk + np.uint64(0xE7037ED1A0B428DB)))
+        done += 8
+        live = live[(left > 8) & (n[live] <= _LONG_SPAN)]
+    for k in np.flatnonzero(n > _LONG_SPAN):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
 def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
