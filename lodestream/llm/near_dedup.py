@@ -2,19 +2,22 @@
 
 Each distinct shingle set (documents with equal sets are one class from the start) has a long
 MinHash signature, cut into ``trees`` keys of ``depth`` values. Every tree is the sorted order
-of all classes by one key; classes whose keys share a prefix stand together in it. Candidates
-are longest-common-prefix neighbours: in each tree a class meets the one before it in order, and
-the region of a prefix of ``least`` values is taken apart by the next values as long as it is
-large, so that the depth adapts to how crowded a region is. Every class of a region also meets
-the region's first class. Candidates are confirmed on the full shingle sets, components are the
-least id reachable over confirmed links, by rounds of joins over tables in the shared folder.
-
-In a region whose classes are then still in several components, representatives meet every other
-class of the region, in rounds until no two classes of different components are left unmet.
+of all classes by one key, so that classes whose keys share a prefix stand together: those that
+share ``least`` leading values are a region. Candidates are longest-common-prefix neighbours: a
+class meets the ``near`` classes before it in its region, which are those that share the longest
+prefixes with it, so that the depth adapts to how crowded the region is, and the region's first.
+Candidates are confirmed on the full shingle sets, components are the least id reachable over
+confirmed links, by rounds of joins over tables in the shared folder.
 
 A pair whose ends other confirmed links already join need not be confirmed: it can't change a
 component. So the likeliest candidate of each class is confirmed first, and of the rest only
 what still joins two components.
+
+A region of more than ``near`` + 1 classes (or one that goes on in the next partition) isn't
+compared in full by that. Its class with most neighbours over all trees meets all others of it,
+and where several components are left after this, every class outside the largest of them is
+compared with every other on full sets, in tiles of bounded size that are dealt over tasks. So
+no two classes of a region stay unmet unless they are in one component.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common as C
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
+#: Classes on each side of a tile.
+TILE = 1024
 
 
 def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +60,19 @@ def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(shingles: np.ndarray, first: np.ndarray, values: int, seed: int = 11) -> np.ndarray:
-    """(rows, values) uint32 minima; rows without shingles are 0."""
+    """(rows, values) uint16: the low halves of minima over 32-bit permutations; rows without shingles are 0."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, values, dtype=np.uint64)
+    a = rng.integers(0, 1 << 31, values, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, values, dtype=np.uint32)
     some = np.flatnonzero(np.diff(first) > 0)
-    out = np.zeros((len(first) - 1, values), np.uint32)
+    out = np.zeros((len(first) - 1, values), np.uint16)
     if len(some):
+        short = (C.mix(shingles) >> np.uint64(32)).astype(np.uint32)
         for v in range(values):
-            x = ((shingles * a[v] + b[v]) >> np.uint64(32)).astype(np.uint32)
-            out[some, v] = np.minimum.reduceat(x, first[some])
+            x = short * a[v]
+            x ^= x >> np.uint32(15)
+            x *= b[v] | np.uint32(1)
+            out[some, v] = np.minimum.reduceat(x, first[some]).astype(np.uint16)
     return out
 
 
@@ -85,156 +92,111 @@ def _sketch(docs: DataFrame, words: int, values: int) -> DataFrame:
         shingles, first = shingle_sets(batch.column(1), words)
         digest, sig = _set_digest(shingles, first), signatures(shingles, first, values)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.diff(first).astype(np.int64)), pa.array([s.astype(">u4").tobytes() for s in sig], pa.binary())],
+            [batch.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.diff(first).astype(np.int64)), pa.array([s.tobytes() for s in sig.astype(">u2")], pa.binary())],
             ["id", "d1", "d2", "n_shingles", "sig"],
         )
 
     return C.map_batches(docs, run, "id long, d1 long, d2 long, n_shingles long, sig binary", most=1 << 20)
 
 
-def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, crowd: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, trees) candidate pairs of classes, a < b, with the number of trees that show them, and
-    (region, c, n): the classes of every region of equal ``least`` leading values that may have others.
+def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, near: int, percent: int) -> DataFrame:
+    """Rows (a, b, null) are candidate pairs, a < b, as often as trees show them; rows (c, null,
+    region) are the classes of regions that these pairs don't compare in full.
 
     Rows (tree, key, class) are range-partitioned by all three, which deals a crowded prefix over
-    partitions, and sorted. A stream holds the row before and the region it stands in: for each
-    prefix length from ``least`` on, the first ``crowd`` rows with the present prefix. A row meets
-    the row before, the first of its region, and all of the widest region around it that has at
-    most ``crowd`` rows so far; sets too different in size are passed over. The rows at the ends
-    of partitions are joined to those next door."""
+    partitions, and sorted. Stretches of the stream are compared with the ``near`` rows before
+    each row, all rows at once; sets too different in size are passed over."""
     spark = classes.sparkSession
-    cut_key = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.substring(F.col("sig"), k * (4 * depth) + 1, F.lit(4 * depth)))
+    wide = 2 * depth
+    cut_key = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.substring(F.col("sig"), k * wide + 1, F.lit(wide)))
     keys = classes.select("c", "n", F.posexplode(cut_key).alias("tree", "key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keys.repartitionByRange(parts, "tree", "key", "c").sortWithinPartitions("tree", "key", "c").select("tree", "key", "c", "n")
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        before, heads, told = None, [], False
-
-        def edge(row, side):
-            return pa.RecordBatch.from_arrays([pa.array([row[2]]), pa.nulls(1, pa.int64()), pa.array([row[3]]), pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([part + side], pa.int32()), pa.array([side], pa.int32())], names)
-
-        names = ["a", "b", "n", "tree", "key", "part", "side"]
-        for batch in batches:
-            a, b, region = [], [], []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                tree, key, c, n = row
-                common = 0
-                if before is None:
-                    yield edge(row, 0)
-                elif before[0] == tree:
-                    while common < depth and key[4 * common : 4 * common + 4] == before[1][4 * common : 4 * common + 4]:
-                        common += 1
-                del heads[max(0, common - least + 1) :]
-                if common >= least:
-                    region += [row] if told else [before, row]
-                told = common >= least
-                if common >= least:
-                    met = {before[2:], heads[0][0]}
-                    small = next((h for h in heads if len(h) < crowd), ())
-                    for other, m in met.union(small):
-                        if 100 * min(n, m) >= percent * max(n, m) and other != c:
-                            a.append(min(c, other)), b.append(max(c, other))
-                for h in heads:
-                    if len(h) < crowd:
-                        h.append((c, n))
-                heads += [[(c, n)] for _ in range(depth - least + 1 - len(heads))]
-                before = row
-            if a:
-                k = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))], names)
-            if region:
-                k, (tree, key, c, n) = len(region), zip(*region, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.array(tree, pa.int32()), pa.array([x[: 4 * least] for x in key], pa.binary()), pa.nulls(k, pa.int32()), pa.array([2] * k, pa.int32())], names)
-        if before is not None:
-            yield edge(before, 1)
-
-    met = C.cut(ordered.mapInArrow(run, "a long, b long, n long, tree int, key binary, part int, side int"), "near-neighbours")
-    ends = met.where("side < 2").select("part", "side", "tree", F.substring("key", 1, 4 * least).alias("head"), "a")
-    stitched = ends.where("side = 1").alias("x").join(ends.where("side = 0").alias("y"), ["part", "tree", "head"]).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-    pairs = met.where("side IS NULL").select("a", "b").unionByName(stitched).where("a < b")
-    members = met.where("side IS NOT NULL").select(F.xxhash64("tree", F.substring("key", 1, 4 * least)).alias("region"), F.col("a").alias("c"), "n")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees")), members.distinct()
-
-
-def _bytes(classes: DataFrame) -> DataFrame:
-    """(c, bytes): the last byte of each value of the signature."""
-
-    def run(batches):
-        for batch in batches:
-            sig = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[3::4] for x in sig], pa.binary())], ["c", "bytes"])
-
-    return classes.mapInArrow(run, "c long, bytes binary")
-
-
-def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, deviations: float = 5.0) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in as many values as those of a link may; ``sketches``
-    has each class's signature cut to a byte a value. At similarity 0.8 and 224 values a link is lost once in 640,000 times."""
-    both = pairs.join(sketches.select(F.col("c").alias("a"), F.col("bytes").alias("x")), "a").join(sketches.select(F.col("c").alias("b"), F.col("bytes").alias("y")), "b").select("a", "b", "x", "y")
+    def compare(tree, key, c, n, head_c, head_n, fresh, open_first, open_last):
+        """One stretch that begins with ``fresh`` rows that were compared before; the region that
+        the first row stands in began with the row (head_c, head_n)."""
+        same = (tree[1:] == tree[:-1]) & (key[1:, :least] == key[:-1, :least]).all(1)
+        start = np.concatenate([[True], ~same])
+        region = np.cumsum(start) - 1
+        first = np.flatnonzero(start)
+        a, b = [], []
+
+        def meet(x, y, nx, ny):
+            ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (x != y)
+            a.append(np.minimum(x, y)[ok]), b.append(np.maximum(x, y)[ok])
+
+        for k in range(1, min(near, len(c) - 1) + 1):
+            at = np.arange(max(k, fresh), len(c))
+            at = at[region[at] == region[at - k]]
+            meet(c[at], c[at - k], n[at], n[at - k])
+        fc, fn = c[first].copy(), n[first].copy()
+        if head_c is not None:
+            fc[0], fn[0] = head_c, head_n
+        at = np.arange(fresh, len(c))
+        at = at[(at - first[region[at]] > near) | ((region[at] == 0) & (head_c is not None))]
+        meet(c[at], fc[region[at]], n[at], fn[region[at]])
+        size = np.diff(np.append(first, len(c)))
+        part = size > near + 1
+        part[0] |= open_first
+        part[-1] |= open_last
+        told = np.flatnonzero(part[region] & (np.arange(len(c)) >= fresh))
+        return np.concatenate(a), np.concatenate(b), told
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows, head, fresh, begun = 0, (None, None), 0, False
+
+        def settle(last: bool):
+            nonlocal held, rows, head, fresh, begun
+            t = pa.Table.from_batches(held).combine_chunks()
+            tree, c, n = (t.column(k).to_numpy() for k in (0, 2, 3))
+            key = C.text_bytes(t.column(1))[0].reshape(len(c), wide).view(">u2")
+            a, b, told = compare(tree, key, c, n, *head, fresh, not begun or head[0] is not None, True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names)
+            if len(told):
+                hashed = C.mix(C.mix(np.ascontiguousarray(key[told, :least].astype(np.uint64)) @ weights) + tree[told].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(c[told]), pa.nulls(len(told), pa.int64()), pa.array(hashed.view(np.int64)), pa.array(n[told])], names)
+            if not last:
+                same = (tree == tree[-1]) & (key[:, :least] == key[-1, :least]).all(1)
+                began = len(c) - int(same[::-1].argmin()) if not same.all() else 0
+                if began or head[0] is None:
+                    head = (c[began], n[began])
+                keep = min(near, len(c) - began)
+                held, rows, fresh, begun = t.slice(len(c) - keep).to_batches(), keep, keep, True
+
+        names = ["a", "b", "region", "n"]
+        weights = np.random.default_rng(3).integers(1, 1 << 62, least, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             if batch.num_rows:
-                x, y = (C.text_bytes(batch.column(k))[0].reshape(batch.num_rows, -1) for k in (2, 3))
-                values, p = x.shape[1], percent / 100
-                enough = values * p - deviations * (values * p * (1 - p)) ** 0.5
-                yield batch.filter(pa.array((x == y).sum(1) >= enough)).select([0, 1])
-
-    return both.mapInArrow(run, "a long, b long")
+                held.append(batch)
+                rows += batch.num_rows
+                if rows - fresh >= 50_000:
+                    yield from settle(False)
+        if rows > fresh:
+            yield from settle(True)
 
-
-def _close(members: DataFrame, classes: DataFrame, tried: DataFrame, links: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(c, component) after all pairs of a region that could join two components have been confirmed.
-
-    The component of the region's class with most neighbours over all trees is its main one; the
-    region is open while classes outside the main component have not been representatives. In
-    each round the 1, 8, 64, ... open classes with most neighbours (in a star, its centre comes
-    first) meet every class of the region in another component. A pair that was ``tried`` is not
-    confirmed again."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-    sized = members.join(sizes.where("size > 1"), "region")
-    degree = sized.groupBy("c").agg(F.sum(F.col("size") - 1).alias("degree"))
-    members = C.cut(sized.join(degree, "c").select("region", "c", "n", "degree"), "near-members")
-    joined, done, k = components(links), None, 1
-    while True:
-        here = members.join(joined, "c", "left").select("region", "c", "n", "degree", F.coalesce("component", "c").alias("l"))
-        main = here.groupBy("region").agg(F.max_by("l", F.struct("degree", -F.col("c"))).alias("main"), F.max_by("c", F.struct("degree", -F.col("c"))).alias("top"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("region", "main", "top")
-        here = C.cut(here.join(main, "region"), "near-open")
-        free = here.where("c = top" if done is None else "l <> main")
-        free = free if done is None else free.join(done, ["region", "c"], "left_anti")
-        order = Window.partitionBy("region").orderBy(F.desc("degree"), "c")
-        heads = C.cut(free.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).select("region", F.col("c").alias("h"), F.col("n").alias("hn"), F.col("l").alias("hl")), "near-heads")
-        if heads.isEmpty():
-            return joined
-        if done is None:
-            sketches = C.cut(_bytes(C.with_small(classes.select("c", "sig"), here.select("c").distinct(), "c")), "near-bytes")
-        met = C.with_small(here.select("region", "c", "n", "l"), heads, "region").where(f"l <> hl AND 100 * least(n, hn) >= {percent} * greatest(n, hn)")
-        pairs = C.cut(met.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        likely = C.cut(_likely(pairs, sketches, percent), "near-pairs")
-        links = links.unionByName(C.cut(_confirm(likely, texts, words, percent), "near-links"))
-        joined = components(links)
-        tried = tried.unionByName(likely)
-        new = heads.select("region", F.col("h").alias("c"))
-        done, k = new if done is None else done.unionByName(new), 8 * k
+    return ordered.mapInArrow(run, "a long, b long, region long, n long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on the full sets of both texts."""
     both = pairs.select("a", "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = (shingle_sets(batch.column(k).slice(i, 1), words)[0] for k in (2, 3))
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * same >= percent * (len(x) + len(y) - same))
-        return batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+    def run(batches):
+        for batch in batches:
+            for part, _ in C.pieces(batch, batch.column(3), 1 << 20) if batch.num_rows else ():
+                sets = [shingle_sets(part.column(k), words) for k in (2, 3)]
+                sizes = [np.diff(first) for _, first in sets]
+                row = np.concatenate([np.repeat(np.arange(part.num_rows), s) for s in sizes])
+                x = np.concatenate([s for s, _ in sets])
+                order = np.lexsort((x, row))
+                x, row = x[order], row[order]
+                both_have = (x[1:] == x[:-1]) & (row[1:] == row[:-1])
+                same = np.bincount(row[1:][both_have], minlength=part.num_rows)
+                yield part.filter(pa.array(100 * same >= percent * (sizes[0] + sizes[1] - same))).select([0, 1])
 
-    return C.map_batches(both, run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,7 +218,78 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("c"), F.col("l").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 28, depth: int = 8, least: int = 6, crowd: int = 4) -> DataFrame:
+def _labelled(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, c, n, l) of the regions with several components l, and for each of these regions
+    (region, main, size, rest): its largest component, its classes, and those outside of it."""
+    here = members.join(joined, "c", "left").select("region", "c", "n", F.coalesce("component", "c").alias("l"))
+    parts = here.groupBy("region", "l").agg(F.count("*").alias("k"))
+    info = parts.groupBy("region").agg(F.max(F.struct("k", "l")).alias("x"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    info = C.cut(info.select("region", F.col("x.l").alias("main"), "size", (F.col("size") - F.col("x.k")).alias("rest")), "near-regions")
+    return C.cut(C.with_small(here, info.select("region"), "region"), "near-open"), info
+
+
+def _sets(src: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(c, set): sorted 64-bit shingles of the classes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, first = shingle_sets(batch.column(1), words)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["c", "set"])
+
+    return C.map_batches(src.join(ids, "c", "left_semi").select("c", "text"), run, "c long, set binary", most=1 << 20)
+
+
+def tile_links(c: np.ndarray, labels: np.ndarray, rows: np.ndarray, cols: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the classes ``rows`` and ``cols`` (places in the others) that join two
+    components, as few as do: a pair whose ends are joined by then is passed over."""
+    up = {int(x): int(x) for x in np.unique(labels)}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    flat = np.concatenate([sets[k] for k in cols])
+    size = np.array([len(sets[k]) for k in cols])
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    vocabulary, code = np.unique(flat, return_inverse=True)
+    has = np.zeros(len(vocabulary) + 1, np.int32)
+    out = []
+    for i in rows:
+        own = np.searchsorted(vocabulary, sets[i])
+        own = own[vocabulary[np.minimum(own, len(vocabulary) - 1)] == sets[i]]
+        has[own] = 1
+        same = np.add.reduceat(has[code], first)
+        has[own] = 0
+        for k in np.flatnonzero((100 * same >= percent * (len(sets[i]) + size - same)) & (labels[cols] != labels[i])):
+            x, y = root(int(labels[i])), root(int(labels[cols[k]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(min(c[i], c[cols[k]])), int(max(c[i], c[cols[k]]))))
+    return out
+
+
+def _tiles(open_: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a region: classes outside its largest component against
+    all, a tile of at most about TILE by TILE classes a group, dealt by a hash of the class."""
+    info = info.select("region", "main", F.ceil(F.col("rest") / TILE).alias("down"), F.ceil(F.col("size") / TILE).alias("across"))
+    rows = C.with_small(open_, info, "region")
+    down, across = F.pmod(F.xxhash64("c"), F.col("down")).alias("i"), F.pmod(F.xxhash64("c"), F.col("across")).alias("j")
+    upright = rows.where("l <> main").select("region", "c", "l", down, F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("j"), F.lit(True).alias("row"))
+    lying = rows.select("region", "c", "l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("i"), across, F.lit(False).alias("row"))
+    dealt = upright.select("region", "i", "j", "row", "c", "l").unionByName(lying.select("region", "i", "j", "row", "c", "l")).join(sets, "c")
+
+    def compare(t: pa.Table) -> pa.Table:
+        c, l, row = (t.column(k).to_numpy() for k in ("c", "l", "row"))
+        rows, cols = np.flatnonzero(row), np.flatnonzero(~row)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        found = tile_links(c, l, rows, cols, sets, percent) if len(rows) and len(cols) else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.groupBy("region", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 28, depth: int = 8, least: int = 6, near: int = 8) -> DataFrame:
     """(id, n_shingles, component) of every row: the least id among documents that links reach.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct
@@ -265,33 +298,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing and are their own component; so are rows without an id (component null). Equal texts
     are one class before any comparison, so that thousands of copies cost one; a row that repeats
     an id falls to the least component that any of them reaches; an empty table gives an empty one.
-    A pair at the least similarity is met in a tree with probability 0.8^least, 0.26: all
-    28 trees miss it once in 5,000 times, and then only if no other link joins its ends."""
+    Ids are whole numbers; another type is an error. A pair at the least similarity is in one
+    region of a tree with probability 0.8^least, 0.26: all 28 trees miss it once in 5,000 times,
+    and then only if no other link joins its ends. Within a region no pair is missed."""
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be of a whole-number type")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = C.cut(_sketch(src, words, trees * depth), "near-sketch")
     classes = C.cut(sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("c"), F.first("sig").alias("sig")), "near-classes")
-    pairs, members = _neighbours(classes.select("c", "n", "sig"), trees, depth, least, crowd, percent)
-    pairs, members = C.cut(pairs, "near-pairs"), C.cut(members, "near-members")
+    met = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, near, percent), "near-neighbours")
+    pairs = C.cut(met.where("region IS NULL").groupBy("a", "b").agg(F.count("*").alias("trees")), "near-pairs")
+    members = met.where("region IS NOT NULL").select("region", F.col("a").alias("c"), "n").distinct()
+    sizes = members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    members = C.cut(members.join(sizes, "region"), "near-members")
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(members.select("c")).distinct()
     texts = C.cut(C.with_small(src.withColumnRenamed("id", "c"), ends, "c").groupBy("c").agg(F.min("text").alias("text")), "near-texts")
+
     best = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    sure = C.cut(_confirm(best, texts, words, percent), "near-links")
-    joined = components(sure)
+    links = C.cut(_confirm(best, texts, words, percent), "near-links")
+    joined = components(links)
+    open_, info = _labelled(members.select("region", "c", "n"), joined)
+    top = _tops(open_, members, percent)
     at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
-    open_ = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").join(best, ["a", "b"], "left_anti")
-    more = C.cut(_confirm(open_, texts, words, percent), "near-links")
-    joined = _close(members, classes, best.unionByName(open_.select("a", "b")), sure.unionByName(more), texts, words, percent)
+    rest = pairs.select("a", "b").unionByName(top).distinct().join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = C.cut(_confirm(rest.join(best, ["a", "b"], "left_anti"), texts, words, percent), "near-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        joined = components(links)
+        open_, info = _labelled(open_.select("region", "c", "n"), joined)
+    if not info.isEmpty():
+        sets = C.cut(_sets(texts, open_.select("c").distinct(), words), "near-sets")
+        more = C.cut(_tiles(open_, info, sets, percent), "near-links")
+        if not more.isEmpty():
+            joined = components(links.unionByName(more))
     roots = classes.select("d1", "d2", "n", "c").join(joined, "c", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "c").alias("component"))
     out = sketch.select("id", "d1", "d2", "n_shingles").join(roots, ["d1", "d2", "n_shingles"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
+def _tops(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the class of each open region with most neighbours over all trees (in a star, its
+    centre) with every class of the region in another component."""
+    degree = members.join(open_.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.sum(F.col("size") - 1).alias("degree"))
+    ranked = open_.join(degree, "c")
+    heads = ranked.groupBy("region").agg(F.max(F.struct("degree", (-F.col("c")).alias("h"), F.col("n").alias("hn"), F.col("l").alias("hl"))).alias("x")).select("region", (-F.col("x.h")).alias("h"), "x.hn", "x.hl")
+    met = C.with_small(open_, C.cut(heads, "near-heads"), "region").where(f"l <> hl AND 100 * least(n, hn) >= {percent} * greatest(n, hn)")
+    return met.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the least id.
 
-    Of rows that repeat an id one stays; rows without an id all stay; other columns are kept."""
+    Of rows that repeat an id the one with the least text stays (null texts last); rows without an
+    id all stay; other columns are kept."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
     stay = found.groupBy("id").agg(F.min("component").alias("least")).where("id = least").select(F.col("id").alias("__id"))
-    src = C.packed(docs, F.col(f"`{id_col}`").alias("own"))
-    kept = src.join(stay, F.col("own") == F.col("__id")).dropDuplicates(["own"]).unionByName(src.where("own IS NULL"), allowMissingColumns=True)
-    return C.unpacked(kept, docs.columns)
+    src = C.packed(docs, F.col(f"`{id_col}`").alias("own"), F.col(f"`{text_col}`").alias("text"))
+    first = src.join(stay, F.col("own") == F.col("__id")).groupBy("own").agg(F.coalesce(F.min_by("row", "text"), F.any_value("row")).alias("row"))
+    return C.unpacked(first.select("row").unionByName(src.where("own IS NULL").select("row")), docs.columns)

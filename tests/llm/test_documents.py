@@ -93,6 +93,22 @@ def test_near_dedup_star(spark):
     assert got == {i: least[star[i]] for i in got} and len(got) == len(rows)
 
 
+def test_near_dedup_crowd(spark):
+    """1,200 documents under one template, 87 of a union of 109 shingles (no link), 600 pairs of them at 89 of 107."""
+    made, rows = random.Random(3), []
+    template = [f"t{k}" for k in range(88)]
+    for p in range(600):
+        shared = [f"s{p}x{k}" for k in range(2)]
+        rows += [template + shared + [f"o{p}x{c}x{k}" for k in range(9)] for c in range(2)]
+    ids = list(range(len(rows)))
+    made.shuffle(ids)
+    sets = [shingles(" ".join(w), 2) for w in rows]
+    assert len(sets[0] & sets[1]) == 89 and len(sets[0] & sets[2]) == 87 and len(sets[0] | sets[2]) == 109
+    df = spark.createDataFrame([(ids[k], " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in near_dedup.near_duplicates(df, words=2).collect()}
+    assert got == {ids[k]: min(ids[k - k % 2], ids[k - k % 2 + 1]) for k in range(len(rows))}
+
+
 def test_near_dedup(spark, docs, none):
     base = [prose(60) for _ in range(12)]
     rows = []
