@@ -1,12 +1,12 @@
 """Byte-level BPE by a global shuffle of distinct words, and its inverse.
 
 Where the rows are read, texts are split into pre-tokens and each pre-token becomes a code at
-its position. Codes below the size of a hot table stand for very frequent words, chosen from a
-bounded sample; they are encoded once and go to every task, so that no word's rows can pile up
-in one. Any other word gives one row for each block of documents that has it. These rows are
-shuffled by word and sorted, every distinct word is encoded once where its rows meet, and the
-ids go back to the blocks, where texts are reassembled by position. Decoding looks ids up in the
-token-byte table, whose size the vocabulary fixes.
+its position, in a table of blocks of documents that is written once, bucketed by block, and
+stays where it is. Codes below the size of a small hot table stand for the most frequent words,
+chosen from a bounded sample, whose rows would pile up; any other word is sent once for each
+block that has it. These words are shuffled by ranges of their hash, every distinct word is
+encoded once where its rows meet, and the ids go back to the blocks, where texts are reassembled
+by position. Decoding looks ids up in the token-byte table, whose size the vocabulary fixes.
 
 What the hot table holds changes no result, only how many words take the way of the shuffle.
 """
@@ -35,6 +35,8 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _FAST_BELOW = 0x2000
 #: Bytes of text that make a block.
 BLOCK_BYTES = 4 << 20
+#: Words (one for each block that has it) that meet in one group, and blocks whose words may.
+WORDS_PER_GROUP, BLOCKS_PER_GROUP = 400_000, 50_000
 
 
 def _class(letter: str) -> str:
@@ -118,24 +120,31 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids", hot: int = 1 << 18, sample_docs: int = 1 << 15) -> DataFrame:
-    """``docs`` with ``text_col`` replaced by ``ids_col``, array<int>, in its place.
+def _pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    """Lengths in bytes and the bytes, compressed."""
+    raw, off = C.text_bytes(pa.array(words, pa.string()))
+    return _planes(np.diff(off)), zstandard.compress(raw.tobytes(), 3)
 
-    Each match of the pattern is encoded by itself, without special tokens. Null and empty text
-    give an empty array; texts are encoded whole; rows that repeat stay apart; an empty table
-    gives an empty one. Other columns are carried along, but for one that has the name ``ids_col``."""
-    spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c == ids_col and c != text_col])
-    words = hot_words(docs, text_col, tokenizer.pattern, hot, sample_docs)
-    ids = [tokenizer.encode_word(w) for w in words]
-    held = spark.sparkContext.broadcast((tokenizer, words, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.array([i for x in ids for i in x], np.int32)))
-    at, rest = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c != text_col]
 
-    def explode(batches):
+def _unpack_words(lengths: bytes, data: bytes) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum(_unplanes(lengths))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(zstandard.decompress(data))])
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    raw, off = C.text_bytes(words)
+    return C.span_hashes(raw, off[:-1], off[1:])
+
+
+def _explode(held, at: int, rest: list[int]):
+    """Blocks (block, codes, carried, n_tail, lengths, words): the words of a block that aren't hot
+    stand in the order of their hashes, and a word's code is its place there after the hot ones."""
+
+    def run(batches):
         from pyspark import TaskContext
 
-        tok, words, _, _ = held.value
-        table, part, block = {w: i for i, w in enumerate(words)}, TaskContext.get().partitionId() << 32, 0
+        tok, words, *_ = held.value
+        table, key = {w: i for i, w in enumerate(words)}, TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece, _ in C.pieces(batch, batch.column(at), BLOCK_BYTES) if batch.num_rows else ():
                 local: dict[str, int] = {}
@@ -144,85 +153,111 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
                     own = split(text, tok.pattern) if text else []
                     counts.append(len(own))
                     codes.append(np.fromiter((table[w] if w in table else len(words) + local.setdefault(w, len(local)) for w in own), np.int64, len(own)))
+                tail = pa.array(list(local), pa.string())
+                order = np.argsort(_hashes(tail), kind="stable")
+                place = np.empty(len(words) + len(tail), np.int64)
+                place[: len(words)] = np.arange(len(words))
+                place[len(words) + order] = len(words) + np.arange(len(tail))
+                flat = place[np.concatenate(codes)] if codes else place[:0]
                 cols = [piece.column(i) for i in rest]
                 carried = pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [str(i) for i in range(len(cols) + 1)])
-                key = part + block
-                block += 1
-                yield _rows([f"\x00{key}"], [key], [-1], [_planes(np.concatenate(codes)) if codes else b""], [_ipc(carried)])
-                tail = list(local)
-                for a in range(0, len(tail), 10_000):
-                    n = len(tail[a : a + 10_000])
-                    yield _rows(tail[a : a + n], [key] * n, range(a, a + n), [None] * n, [None] * n)
-
-    def _rows(word, block, j, codes, carried):
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(block, pa.int64()), pa.array(j, pa.int32()), pa.array(codes, pa.binary()), pa.array(carried, pa.binary())], ["word", "block", "j", "codes", "carried"])
-
-    def encode_words(batches):
-        """Rows sorted by word: each word is encoded where it changes; ids are packed for each block."""
-        tok = held.value[0]
-        last, ids, waiting, n = None, [], {}, 0
+                lengths, data = _pack_words(tail.take(pa.array(order)).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key]), pa.array([_planes(flat)], pa.binary()), pa.array([_ipc(carried)], pa.binary()), pa.array([len(tail)]), pa.array([lengths], pa.binary()), pa.array([data], pa.binary())],
+                    ["block", "codes", "carried", "n_tail", "lengths", "words"],
+                )
+                key += 1
 
-        def flush():
-            for block, (js, flat) in waiting.items():
-                yield _back(block, js, flat)
+    return run
 
-        def _back(block, js, flat):
-            packed = np.concatenate([np.array([[j, len(x)] for j, x in zip(js, flat, strict=True)], np.int32).ravel(), np.array([i for x in flat for i in x], np.int32)])
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(js)], pa.int32()), pa.array([_planes(packed)], pa.binary()), pa.nulls(1, pa.binary())], ["block", "n", "data", "carried"])
 
+def _ask(ranges: int, salts: int):
+    """Rows (k, salt, block, lengths, words): a block's words cut by ranges of their hash."""
+
+    def run(batches):
+        edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
         for batch in batches:
-            whole = np.flatnonzero(batch.column(2).to_numpy() < 0)
-            for k in whole:
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(k, 1), pa.array([-1], pa.int32()), batch.column(3).slice(k, 1), batch.column(4).slice(k, 1)], ["block", "n", "data", "carried"])
-            for word, block, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if j < 0:
+            for i in range(batch.num_rows):
+                words = _unpack_words(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                cuts = [0, *np.searchsorted(_hashes(words), edges).tolist(), len(words)]
+                some = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                if not some:
                     continue
-                if word != last:
-                    last, ids = word, tok.encode_word(word)
-                js, flat = waiting.setdefault(block, ([], []))
-                js.append(j), flat.append(ids)
-                n += 1
-            if n > 200_000:
-                yield from flush()
-                waiting, n = {}, 0
-        yield from flush()
-
-    schema = docs.schema
-    fields = StructType([StructField(ids_col, ArrayType(IntegerType())) if i == at else f for i, f in enumerate(schema)])
-
-    def reassemble(rows: pa.Table) -> pa.Table:
-        _, words, hot_off, hot_flat = held.value
-        whole, tail_j, tail_n, tail_flat = None, [], [], []
-        for n, data, carried in zip(rows["n"].to_pylist(), rows["data"].to_pylist(), rows["carried"].to_pylist(), strict=True):
-            if n < 0:
-                whole = (data, carried)
-                continue
-            packed = _unplanes(data)
-            tail_j.append(packed[: 2 * n : 2]), tail_n.append(packed[1 : 2 * n : 2]), tail_flat.append(packed[2 * n :])
-        codes = _unplanes(whole[0])
-        carried = pa.ipc.open_stream(whole[1]).read_all().combine_chunks()
-        start, size, flat = hot_off[:-1], np.diff(hot_off), hot_flat
-        if tail_j:
-            j, n = np.concatenate(tail_j), np.concatenate(tail_n).astype(np.int64)
-            begin = np.empty(len(j), np.int64)
-            length = np.empty(len(j), np.int64)
-            begin[j], length[j] = np.cumsum(n) - n + len(flat), n
-            start, size, flat = np.concatenate([start, begin]), np.concatenate([size, length]), np.concatenate([flat, *tail_flat]).astype(np.int32)
-        many = size[codes] if len(codes) else np.zeros(0, np.int64)
+                block = batch.column(0)[i].as_py()
+                packed = [_pack_words(words.slice(a, b - a).to_pylist()) for _, a, b in some]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in some], pa.int32()), pa.array([(block ^ (block >> 32)) % salts] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())],
+                    ["k", "salt", "block", "lengths", "words"],
+                )
+
+    return run
+
+
+def _encode_words(held):
+    """For one range of words: each distinct one is encoded once, the ids go to every block that asked."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tok = held.value[0]
+        known: dict[str, list[int]] = {}
+        sizes, ids = [], []
+        for lengths, data in zip(rows["lengths"].to_pylist(), rows["words"].to_pylist(), strict=True):
+            own = []
+            for w in _unpack_words(lengths, data).to_pylist():
+                if (x := known.get(w)) is None:
+                    x = known[w] = tok.encode_word(w)
+                own.append(x)
+            sizes.append(_planes(np.array([len(x) for x in own])))
+            ids.append(_planes(np.array([i for x in own for i in x])))
+        return pa.table({"block": rows["block"], "k": rows["k"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    return run
+
+
+def _reassemble(held, at: int, names: list[str]):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        _, _, hot_off, hot_flat = held.value
+        answers = answers.sort_by("k")
+        sizes = [_unplanes(x) for x in answers["sizes"].to_pylist()]
+        size = np.concatenate([np.diff(hot_off), *sizes]).astype(np.int64)
+        flat = np.concatenate([hot_flat, *(_unplanes(x) for x in answers["ids"].to_pylist())]).astype(np.int32)
+        start = np.cumsum(size) - size
+        codes = _unplanes(blocks["codes"][0].as_py())
+        many = size[codes]
         ends = np.cumsum(many)
-        ids = flat[np.repeat(start[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)] if len(codes) else np.zeros(0, np.int32)
+        ids = flat[np.repeat(start[codes] - (ends - many), many) + np.arange(ends[-1])] if len(codes) else flat[:0]
+        carried = pa.ipc.open_stream(blocks["carried"][0].as_py()).read_all().combine_chunks()
         words_in = np.cumsum(carried.column(carried.num_columns - 1).to_numpy())
         off = np.concatenate([[0], np.concatenate([[0], ends])[words_in]]).astype(np.int32)
-        column = pa.ListArray.from_arrays(pa.array(off), pa.array(ids, pa.int32()))
         cols = [carried.column(i) for i in range(carried.num_columns - 1)]
         cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-        cols.insert(at, column)
-        return pa.table(cols, names=[ids_col if i == at else f.name for i, f in enumerate(schema)])
+        cols.insert(at, pa.ListArray.from_arrays(pa.array(off), pa.array(ids, pa.int32())))
+        return pa.table(cols, names=names)
+
+    return run
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids", hot: int = 1 << 13, sample_docs: int = 1 << 12) -> DataFrame:
+    """``docs`` with ``text_col`` replaced by ``ids_col``, array<int>, in its place.
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = docs.mapInArrow(explode, "word string, block long, j int, codes binary, carried binary")
-    encoded = exploded.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode_words, "block long, n int, data binary, carried binary")
-    return encoded.groupBy("block").applyInArrow(reassemble, fields)
+    Each match of the pattern is encoded by itself, without special tokens. Null and empty text
+    give an empty array; texts are encoded whole; rows that repeat stay apart; an empty table
+    gives an empty one. Other columns are carried along, but for one that has the name ``ids_col``."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    docs = docs.drop(*[c for c in docs.columns if c == ids_col and c != text_col])
+    words = hot_words(docs, text_col, tokenizer.pattern, hot, sample_docs)
+    ids = [tokenizer.encode_word(w) for w in words]
+    held = spark.sparkContext.broadcast((tokenizer, words, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.array([i for x in ids for i in x], np.int32)))
+    at, rest = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c != text_col]
+    blocks = C.bucketed(docs.mapInArrow(_explode(held, at, rest), "block long, codes binary, carried binary, n_tail long, lengths binary, words binary"), "block", "bpe-blocks", docs, text_col)
+    total = blocks.agg(F.sum("n_tail").alias("words"), F.count("*").alias("blocks")).first()
+    salts = max(1, -(-total["blocks"] // BLOCKS_PER_GROUP))
+    ranges = max(1, -(-(total["words"] or 0) // (salts * WORDS_PER_GROUP)))
+    asked = blocks.where("n_tail > 0").select("block", "lengths", "words").mapInArrow(_ask(ranges, salts), "k int, salt int, block long, lengths binary, words binary")
+    answers = asked.groupBy("k", "salt").applyInArrow(_encode_words(held), "block long, k int, sizes binary, ids binary")
+    fields = StructType([StructField(ids_col, ArrayType(IntegerType())) if i == at else f for i, f in enumerate(docs.schema)])
+    return blocks.select("block", "codes", "carried").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(held, at, fields.names), fields)
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -63,6 +63,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of text whose blocks share a bucket.
+BUCKET_BYTES = 256 << 20
+
+
+def bucketed(blocks: DataFrame, key: str, name: str, docs: DataFrame, text_col: str) -> DataFrame:
+    """``blocks`` as a table in the shared folder, bucketed by ``key``: what is grouped by the key
+    meets it without moving it. There are as many buckets as ``docs``' texts fill, and no fewer than
+    shuffle partitions. The catalog forgets the table at once; its files stay like those of ``cut``."""
+    spark = blocks.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    own = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark).rstrip('/')}/{own}").option("compression", "none").saveAsTable(own)
+    made = spark.table(own)
+    spark.sql(f"DROP TABLE {own}")
+    return made
+
+
 def with_small(left: DataFrame, right: DataFrame, key: str, most_rows: int = 2_000_000) -> DataFrame:
     """Inner join; ``right`` (a key and a few numbers a row) is broadcast if counted below
     ``most_rows``, else both sides are shuffled and AQE splits what is skewed."""

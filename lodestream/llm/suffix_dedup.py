@@ -25,7 +25,6 @@ so a string that a third of all documents share costs one entry a block.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -177,11 +176,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
                 )
                 block += 1
 
-    name = f"suffix_blocks_{uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = f"{C.scratch_dir(spark).rstrip('/')}/{name}"
-    src.mapInArrow(run, "block long, n_bytes long, head binary, data binary").write.bucketBy(buckets, "block").option("path", at).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    C.small_batches(spark)
+    return C.bucketed(src.mapInArrow(run, "block long, n_bytes long, head binary, data binary"), "block", "suffix-blocks", docs, text_col)
 
 
 def _open(head: bytes, data: bytes, length: int) -> tuple[pa.RecordBatch, _Block]:
