@@ -53,12 +53,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = 10_000) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs a reread and never a recomputation of what came before."""
+    so a lost executor costs a reread and never a recomputation of what came before. Where a
+    bound on its rows is known, small tables get few files (large ones keep their partitions)."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     small_batches(spark)
+    if rows is not None and (few := max(1, -(-rows // rows_per_file))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(few)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

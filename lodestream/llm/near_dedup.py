@@ -199,22 +199,25 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """(c, component) of every end of the edges (a, b): the least id reachable.
 
-    Rounds of taking the least label among neighbours and then the label's own label, each from
-    and to tables in the shared folder, until a round changes nothing; chains shrink by half a
-    round. Minima are combined before they are shuffled; nothing is gathered in the driver."""
-    both = C.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = C.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "near-labels")
+    Rounds of taking the least label among neighbours and then the label's own label, ``rounds``
+    of them from and to tables in the shared folder, until nothing changes; chains shrink by half
+    a round. Minima are combined before they are shuffled; nothing is gathered in the driver."""
+    many = 2 * edges.count()
+    both = C.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges", many)
+    labels = C.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "near-labels", many)
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("a").alias("l"), F.col("l").alias("far"))
-        new = C.cut(step.join(jump, "l").select("a", "old", F.least("l", "far").alias("l")), "near-labels")
-        done = new.where("l <> old").isEmpty()
+        now = labels.select("a", F.col("l").alias("old"), "l")
+        for _ in range(rounds):
+            held = now.select("a", "l")
+            near = both.join(held.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
+            step = now.join(near, "a").select("a", "old", F.least("l", "m").alias("l"))
+            now = step.join(held.select(F.col("a").alias("l"), F.col("l").alias("far")), "l").select("a", "old", F.least("l", "far").alias("l"))
+        new = C.cut(now, "near-labels", many)
         labels = new.select("a", "l")
-        if done:
+        if new.where("l <> old").isEmpty():
             return labels.select(F.col("a").alias("c"), F.col("l").alias("component"))
 
 
@@ -224,8 +227,9 @@ def _labelled(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFra
     here = members.join(joined, "c", "left").select("region", "c", "n", F.coalesce("component", "c").alias("l"))
     parts = here.groupBy("region", "l").agg(F.count("*").alias("k"))
     info = parts.groupBy("region").agg(F.max(F.struct("k", "l")).alias("x"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    info = C.cut(info.select("region", F.col("x.l").alias("main"), "size", (F.col("size") - F.col("x.k")).alias("rest")), "near-regions")
-    return C.cut(C.with_small(here, info.select("region"), "region"), "near-open"), info
+    many = members.count()
+    info = C.cut(info.select("region", F.col("x.l").alias("main"), "size", (F.col("size") - F.col("x.k")).alias("rest")), "near-regions", many)
+    return C.cut(C.with_small(here, info.select("region"), "region"), "near-open", many), info
 
 
 def _sets(src: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -305,30 +309,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise TypeError(f"{id_col} must be of a whole-number type")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = C.cut(_sketch(src, words, trees * depth), "near-sketch")
-    classes = C.cut(sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("c"), F.first("sig").alias("sig")), "near-classes")
+    classes = sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("c"), F.first("sig").alias("sig"))
+    classes = C.cut(classes, "near-classes", sketch.count(), 4000)
     met = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, near, percent), "near-neighbours")
-    pairs = C.cut(met.where("region IS NULL").groupBy("a", "b").agg(F.count("*").alias("trees")), "near-pairs")
+    found = met.where("region IS NULL")
+    pairs = C.cut(found.groupBy("a", "b").agg(F.count("*").alias("trees")), "near-pairs", found.count(), 50_000)
     members = met.where("region IS NOT NULL").select("region", F.col("a").alias("c"), "n").distinct()
     sizes = members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
-    members = C.cut(members.join(sizes, "region"), "near-members")
+    members = C.cut(members.join(sizes, "region"), "near-members", met.where("region IS NOT NULL").count(), 50_000)
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(members.select("c")).distinct()
-    texts = C.cut(C.with_small(src.withColumnRenamed("id", "c"), ends, "c").groupBy("c").agg(F.min("text").alias("text")), "near-texts")
+    ends = C.cut(ends, "near-ends", classes.count(), 50_000)
+    texts = C.cut(C.with_small(src.withColumnRenamed("id", "c"), ends, "c").groupBy("c").agg(F.min("text").alias("text")), "near-texts", ends.count(), 2000)
 
     best = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    links = C.cut(_confirm(best, texts, words, percent), "near-links")
+    best = C.cut(best, "near-best", ends.count())
+    links = C.cut(_confirm(best, texts, words, percent), "near-links", best.count(), 1000)
     joined = components(links)
     open_, info = _labelled(members.select("region", "c", "n"), joined)
     top = _tops(open_, members, percent)
     at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
     rest = pairs.select("a", "b").unionByName(top).distinct().join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = C.cut(_confirm(rest.join(best, ["a", "b"], "left_anti"), texts, words, percent), "near-links")
+    rest = C.cut(rest.join(best, ["a", "b"], "left_anti"), "near-rest", pairs.count(), 50_000)
+    more = C.cut(_confirm(rest, texts, words, percent), "near-links", rest.count(), 1000)
     if not more.isEmpty():
         links = links.unionByName(more)
         joined = components(links)
         open_, info = _labelled(open_.select("region", "c", "n"), joined)
     if not info.isEmpty():
-        sets = C.cut(_sets(texts, open_.select("c").distinct(), words), "near-sets")
-        more = C.cut(_tiles(open_, info, sets, percent), "near-links")
+        held = open_.select("c").distinct()
+        sets = C.cut(_sets(texts, held, words), "near-sets", held.count(), 2000)
+        more = C.cut(_tiles(open_, info, sets, percent), "near-links", open_.count(), 1000)
         if not more.isEmpty():
             joined = components(links.unionByName(more))
     roots = classes.select("d1", "d2", "n", "c").join(joined, "c", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "c").alias("component"))
@@ -342,7 +352,7 @@ def _tops(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     degree = members.join(open_.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.sum(F.col("size") - 1).alias("degree"))
     ranked = open_.join(degree, "c")
     heads = ranked.groupBy("region").agg(F.max(F.struct("degree", (-F.col("c")).alias("h"), F.col("n").alias("hn"), F.col("l").alias("hl"))).alias("x")).select("region", (-F.col("x.h")).alias("h"), "x.hn", "x.hl")
-    met = C.with_small(open_, C.cut(heads, "near-heads"), "region").where(f"l <> hl AND 100 * least(n, hn) >= {percent} * greatest(n, hn)")
+    met = C.with_small(open_, C.cut(heads, "near-heads", open_.count()), "region").where(f"l <> hl AND 100 * least(n, hn) >= {percent} * greatest(n, hn)")
     return met.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
 
 
