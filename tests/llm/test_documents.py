@@ -281,15 +281,73 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    import numpy as np
+def brute_kneser_ney(rows):
+    """word -> (P of toxic, P of ordinary) of interpolated Kneser-Ney over continuation counts; the unseen word is None."""
+    cont = [{}, {}]
+    for t, y in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+        for a, b in zip([None, *w], w):
+            cont[y].setdefault(b, set()).add(a)
+    counts = [Counter({w: len(s) for w, s in c.items()}) for c in cont]
+    both = counts[0] + counts[1]
+
+    def level(c):
+        d = toxicity.discounts([sum(v == j for v in c.values()) for j in (1, 2, 3, 4)])
+        take = lambda v: 0 if v == 0 else d[min(v, 3) - 1]
+        n = sum(c.values())
+        return (lambda w: (c[w] - take(c[w])) / n), sum(take(v) for v in c.values()) / n
+
+    own, left = level(both)
+    shared = lambda w: own(w) + left / (len(both) + 1)
+    models = [level(c) for c in counts]
+    return {w: tuple(models[y][0](w) + models[y][1] * shared(w) for y in (1, 0)) for w in [*both, None]}
+
+
+def test_kneser_ney(spark):
+    import math
+
+    made = random.Random(8)
+    rows = [(" ".join(made.choice("abcdefgh") * made.choice((1, 1, 2)) for _ in range(made.randrange(1, 30))) + (" bad x" if k % 3 == 0 else " good"), int(k % 3 == 0)) for k in range(60)]
+    want = brute_kneser_ney(rows)
+    for y in (0, 1):
+        assert abs(sum(p[y] for p in want.values()) - 1) < 1e-9
+    table = toxicity.contexts(spark.createDataFrame([(2 * y + k % 2, t) for k, (t, y) in enumerate(rows)], "k int, t string"))
+    ratios, n = toxicity.log_ratios(table)
+    got = {r["h"]: r["r2"] for r in ratios.collect()}
+    assert n == len(got) == len(want) - 1
+    unseen = math.log(want[None][0] / want[None][1])
+    import pyarrow as pa
+
+    for w, (p, q) in want.items():
+        if w is not None:
+            assert abs(got[int(toxicity.words_of(pa.array([w]))[0][0])] - (math.log(p / q) - unseen)) < 1e-5
+
+
+def test_toxicity_by_join(spark, docs):
+    """The two ways to look words up give the same features."""
+    made = [(k, prose(40) + (" vile scum " if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(200)]
+    model = toxicity.fit(spark.createDataFrame(made, "doc_id long, text string, toxic int"), "text", "toxic", half="doc_id % 8 >= 4")
+    sent = Counter((r["doc_id"], tuple(round(x, 5) for x in r["__x"])) for r in toxicity.features(docs, "text", model).collect())
+    model.n_words = toxicity.BROADCAST_WORDS + 1
+    assert Counter((r["doc_id"], tuple(round(x, 5) for x in r["__x"])) for r in toxicity.features(docs, "text", model).collect()) == sent
+    clash = docs.withColumn("__x", F.lit("mine")).withColumn("__toxic", F.lit("mine"))
+    assert {r["__x"] for r in toxicity.score(clash, model).collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("scale, recall", [("sf0.01", 0.6), ("sf0.1", 0.8)])
+def test_toxicity_query(spark, scale, recall):
+    """Held-out rows at the contract's threshold."""
+    import os
+
+    from lodestream.llm import queries
 
-    r = np.random.default_rng(0)
-    toxic, ordinary = np.zeros(toxicity.SIZE), np.zeros(toxicity.SIZE)
-    toxic[r.integers(0, toxicity.SIZE, 500)] += 3
-    ordinary[r.integers(0, toxicity.SIZE, 5000)] += 2
-    d = toxicity.kneser_ney_difference(toxic, ordinary)
-    assert np.isfinite(d).all() and d[toxic > 0].mean() > 1
+    at = f"/root/testdata/{scale}"
+    if not os.path.isdir(at):
+        pytest.skip("no driver tables here")
+    toxic = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.op9_toxicity(spark, at).where("held_out").join(toxic, "doc_id").collect()
+    hit = sum(r["toxic"] == 1 and r["predicted"] == 1 for r in rows)
+    assert hit >= recall * sum(r["toxic"] == 1 for r in rows) and hit >= 0.9 * sum(r["predicted"] for r in rows)
 
 
 def test_quality(docs, none):
