@@ -4,9 +4,9 @@ Each shard (a slice of the corpus of bounded size, made where the rows are read)
 suffix array over its word sequence, and every suffix of every test item is looked up in it by
 binary search. Words are coded by the test vocabulary; a training suffix that opens with no
 word of it can match nothing and stays out of the array (a sparse suffix array; no match is
-lost). Neighbours in the array give the longest verbatim match of a test suffix, the range of
-equal keys gives every place where a whole window stands. Nothing is shuffled; the test set
-goes out in blocks of at most ``block_words`` words, one pass over the corpus for each block,
+lost). The range of equal keys gives every place where a whole window stands, and places whose
+windows follow each other make up the longest verbatim stretches. Nothing is shuffled; the test
+set goes out in blocks of at most ``block_words`` words, one pass over the texts for each block,
 so that what is broadcast has a bound however large the test set is.
 """
 
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
@@ -141,27 +142,23 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _pass(block: TestBlock, wide: pa.DataType):
-    """Rows are (row, n_words, spans, items so far): this block's matches are added."""
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _row_hits(text: pa.Array, block: TestBlock) -> tuple[np.ndarray, dict[int, tuple[list[list[int]], list]]]:
+    """(words of each row, for each row with a match: (merged ranges of hit words, sorted items))."""
+    first, _, where, which = shard_matches(text, block)
+    row = np.searchsorted(first, where, "right") - 1
+    order = np.argsort(row, kind="stable")
+    where, which, row = where[order], which[order], row[order]
+    bounds = np.searchsorted(row, np.arange(len(first)))
+    found = {}
+    for i in np.unique(row).tolist():
+        a, b = bounds[i], bounds[i + 1]
+        start = where[a:b] - first[i]
+        found[i] = _merged(start, start + block.sizes[which[a:b]]), sorted({block.ids[k] for w in np.unique(which[a:b]) for k in block.items[w]})
+    return np.diff(first), found
 
-    def run(batch: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
-        first, _, where, which = shard_matches(text, block)
-        row = np.searchsorted(first, where, "right") - 1
-        order = np.argsort(row, kind="stable")
-        where, which, row = where[order], which[order], row[order]
-        bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-        for i in np.unique(row):
-            a, b = bounds[i], bounds[i + 1]
-            start = where[a:b] - first[i]
-            old = [(x["start"], x["end"]) for x in spans[i]]
-            both = _merged(np.concatenate([start, [x for x, _ in old]]).astype(int), np.concatenate([start + block.sizes[which[a:b]], [y for _, y in old]]).astype(int))
-            spans[i] = [{"start": x, "end": y} for x, y in both]
-            items[i] = sorted({*items[i], *(block.ids[k] for w in np.unique(which[a:b]) for k in block.items[w])})
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(first), pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(wide))], names=["row", "n_words", "spans", "items"])
 
-    return run
+def _spans(found: list[list[list[int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
@@ -178,8 +175,8 @@ def _blocks(benchmark: DataFrame, block_words: int):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 1 << 21) -> DataFrame:
-    """``docs`` with ``__n_words``, ``__spans`` (hit words as maximal [start, end) ranges, the
-    locations of the longest verbatim matches) and ``__items`` (ids of the items matched, sorted).
+    """``docs`` with ``__n_words``, ``__spans`` (hit words as [start, end) ranges, those that overlap
+    or touch merged) and ``__items`` (ids of the items matched, sorted).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is
     one window. Null or empty text has no words; items with null text or id match nothing; equal
@@ -188,29 +185,70 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     C.small_batches(docs.sparkSession)
     wide = pa.int64() if benchmark.schema[item_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     kind = "long" if wide == pa.int64() else "string"
-    none = lambda t: F.expr(f"CAST(array() AS array<{t}>)")
-    out = C.packed(docs, F.lit(0).cast("long").alias("n_words"), none("struct<start:int,end:int>").alias("spans"), none(kind).alias("items"))
+    text = F.col(f"`{text_col}`")
     bench = benchmark.select(F.col(item_col).cast(kind).alias("i"), F.col(item_text_col).alias("t"))
-    for k, (ids, texts) in enumerate(_blocks(bench, block_words)):
-        if k:
-            out = C.cut(out, "decontaminate")  # one pass at a time holds one block
-        held = docs.sparkSession.sparkContext.broadcast(_block(ids, texts, window))
-        out = _one_pass(out, held, wide, docs.columns.index(text_col))
+    blocks = (_block(ids, texts, window) for ids, texts in _blocks(bench, block_words))
+    send = docs.sparkSession.sparkContext.broadcast
+    prints = [F.xxhash64(text).alias("p"), F.xxhash64(text, F.lit("second")).alias("q")]
+    out = _first_pass(C.packed(docs, text.alias("t"), *prints), send(next(blocks)), wide, kind)
+    # Each further block reads the texts alone and gives rows for those with a match, by two hashes of the text.
+    more = [C.cut(_further_pass(docs.select(text.alias("t"), *prints), send(b), wide, kind), "decontaminate") for b in blocks]
+    if more:
+        found = more[0]
+        for x in more[1:]:
+            found = found.unionByName(x)
+        found = C.cut(found.groupBy("p", "q").agg(F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2")), "decontaminate")
+        found = F.broadcast(found) if found.count() <= MOST_SENT else found
+        out = _both(out.join(found, ["p", "q"], "left"), wide)
     return C.unpacked(out, docs.columns, __n_words=F.col("n_words"), __spans=F.col("spans"), __items=F.col("items"))
 
 
-def _one_pass(df: DataFrame, held, wide: pa.DataType, at: int) -> DataFrame:
+#: Texts with matches in further blocks that are broadcast to be added to those of the first.
+MOST_SENT = 100_000
+
+_SPAN_TYPE = "array<struct<start:int,end:int>>"
+
+
+def _first_pass(src: DataFrame, held, wide: pa.DataType, kind: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part, text in C.pieces(batch, batch.column(1)) if batch.num_rows else ():
+                n_words, found = _row_hits(text, held.value)
+                got = [found.get(i, ([], [])) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 2, 3)), pa.array(n_words, pa.int64()), _spans([x for x, _ in got]), pa.array([y for _, y in got], pa.list_(wide))], ["row", "p", "q", "n_words", "spans", "items"])
+
+    made = StructType.fromDDL(f"n_words long, spans {_SPAN_TYPE}, items array<{kind}>")
+    return src.mapInArrow(run, StructType([*(f for f in src.schema if f.name != "t"), *made]))
+
+
+def _further_pass(src: DataFrame, held, wide: pa.DataType, kind: str) -> DataFrame:
     def run(batches):
-        f = _pass(held.value, wide)
         for batch in batches:
-            for part, text in C.pieces(batch, batch.column("row").field(at)) if batch.num_rows else ():
-                yield f(part, text)
+            for part, text in C.pieces(batch, batch.column(0)) if batch.num_rows else ():
+                _, found = _row_hits(text, held.value)
+                rows = pa.array(list(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(1).take(rows), part.column(2).take(rows), _spans([x for x, _ in found.values()]), pa.array([y for _, y in found.values()], pa.list_(wide))], ["p", "q", "spans", "items"])
 
-    return df.mapInArrow(run, df.schema)
+    return src.mapInArrow(run, f"p long, q long, spans {_SPAN_TYPE}, items array<{kind}>").dropDuplicates(["p", "q"])
+
+
+def _both(df: DataFrame, wide: pa.DataType) -> DataFrame:
+    """Rows with ``spans`` and ``items`` and, where not null, ``s2`` and ``i2`` to be added to them."""
+
+    def run(batches):
+        for batch in batches:
+            spans = []
+            for x, y in zip(batch.column("spans").to_pylist(), batch.column("s2").to_pylist(), strict=True):
+                own = x + (y or [])
+                spans.append(_merged(np.array([z["start"] for z in own], int), np.array([z["end"] for z in own], int)))
+            items = [sorted({*x, *(y or [])}) for x, y in zip(batch.column("items").to_pylist(), batch.column("i2").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), _spans(spans), pa.array(items, pa.list_(wide))], ["row", "n_words", "spans", "items"])
+
+    src = df.select("row", "n_words", "spans", "items", "s2", "i2")
+    return src.mapInArrow(run, StructType([f for f in src.schema if f.name not in ("s2", "i2")]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 10) -> DataFrame:
     """``docs`` without those in which a window of a test item stands."""
     found = find_contamination(docs, benchmark, text_col, item_col, window=window)
     return found.where(F.size("__spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-

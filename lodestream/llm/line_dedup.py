@@ -50,18 +50,21 @@ def _line_rows(min_chars: int):
 
 def _stream(min_docs: int):
     """Over rows sorted by (hash, document): the rows of keys in ``min_docs`` documents. A run at
-    either end of the partition may go on next door: unless counted enough its rows go out as
-    unsure, and a summary row (no positions) gives its count here."""
+    either end of the partition may go on next door: a summary row (no positions) gives its count
+    here, and its rows, if too few to be sure, go out as unsure. That are fewer than ``min_docs``
+    rows at each end, however long the run."""
     names = ["hi", "lo", "id", "fp", "at", "sure", "docs"]
 
     def out(rows: pa.RecordBatch, sure: bool) -> pa.RecordBatch:
         n = rows.num_rows
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array([sure] * n), pa.nulls(n, pa.int64())], names)
 
-    def summary(last: pa.RecordBatch, docs: int) -> pa.RecordBatch:
+    def ended(held: list[pa.RecordBatch], last: pa.RecordBatch, docs: int):
+        for x in held:
+            yield out(x, False)
         one = last.slice(last.num_rows - 1)
         blank = [pa.nulls(1, one.schema.field(k).type) for k in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays([one.column(0), one.column(1), *blank, pa.array([False]), pa.array([docs], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *blank, pa.array([False]), pa.array([docs], pa.int64())], names)
 
     def run(batches):
         key, docs, last, first = None, 0, None, True
@@ -73,22 +76,18 @@ def _stream(min_docs: int):
                 rows = batch.slice(a, b - a)
                 if (hi[a], lo[a]) != key:
                     if key is not None and first:
-                        yield summary(last, docs)
+                        yield from ended(held, last, docs)
                         first = False
                     key, docs, held = (hi[a], lo[a]), 0, []
                 docs, last = docs + rows.num_rows, rows
-                if first:
-                    yield out(rows, False)
-                elif docs < min_docs:
+                if docs < min_docs:
                     held.append(rows)
                 else:
                     for x in (*held, rows):
                         yield out(x, True)
                     held = []
         if key is not None:
-            for x in held:
-                yield out(x, False)
-            yield summary(last, docs)
+            yield from ended(held, last, docs)
 
     return run
 
@@ -126,7 +125,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = C.cut(ranged.mapInArrow(lambda batches: stream(_once(batches)), f"hi long, lo long, id {id_type}, fp long, at array<int>, sure boolean, docs long"), "line-hits")
     enough = hits.where("docs IS NOT NULL").groupBy("hi", "lo").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     rows = hits.where("docs IS NULL")
-    gone = rows.where("sure").select("id", "fp", "at").unionByName(rows.where("NOT sure").join(enough, ["hi", "lo"], "left_semi").select("id", "fp", "at"))
+    unsure = rows.where("NOT sure").join(F.broadcast(enough), ["hi", "lo"], "left_semi")  # two rows a partition at most
+    gone = rows.where("sure").select("id", "fp", "at").unionByName(unsure.select("id", "fp", "at"))
     return gone.groupBy("id", "fp").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap_batches, f"id {id_type}, fp long, n_dropped long, keep binary")
 
 
