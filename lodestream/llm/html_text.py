@@ -14,7 +14,7 @@ import html
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,10 @@ PATH_BUCKETS, WORD_BUCKETS, WIDTH, HIDDEN = 1024, 1024, 16, 12
 MEASURES = 5
 
 #: Elements that don't end a block, have no content, or hold no text of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style template noscript iframe object svg math".split())
+#: What stands in these is no markup, up to their end tag or the page's end.
+RAW_TEXT = frozenset("script style".split())
 #: Elements that the opening of one of the others ends.
 ENDED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -36,13 +37,18 @@ ENDED_BY = {
 }
 
 _MARKUP = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|(?P<end>/)?(?P<tag>[a-zA-Z][^\s/><]*+)(?P<rest>(?>"[^"]*"|'[^']*'|[^'"<>]++)*+|[^<>]*+)>|[!?][^>]*+(?:>|\Z))""")
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
 _WORDS = re.compile(r"[a-z]+")
 
 
-@lru_cache(maxsize=1 << 16)
 def _label(tag: str, rest: str) -> tuple[str, ...]:
-    named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if "=" in rest else ""
+    """The tag and the words of its class, id and role, from all of its attributes."""
+    named = " ".join(a or b or c for name, a, b, c in _ATTRIBUTE.findall(rest) if name.lower() in ("class", "id", "role")) if "=" in rest else ""
+    return _label_words(tag, named)
+
+
+@lru_cache(maxsize=1 << 14)
+def _label_words(tag: str, named: str) -> tuple[str, ...]:
     return (tag, *(f".{w}" for w in dict.fromkeys(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))))
 
 
@@ -81,7 +87,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if not (tag := m["tag"]):
             continue
         tag = tag.lower()
-        if tag in HIDDEN_TEXT:
+        if tag in RAW_TEXT:
             if not m["end"] and not m["rest"].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
@@ -103,7 +109,7 @@ def leaf_blocks(page: str) -> list[Block]:
             while stack and tag in ENDED_BY.get(stack[-1], ()):
                 stack.pop(), labels.pop()
             if tag not in VOID and not m["rest"].endswith("/"):
-                stack.append(tag), labels.append(_label(tag, m["rest"][:2000]))
+                stack.append(tag), labels.append(_label(tag, m["rest"]))
     close()
     return out
 
@@ -257,6 +263,7 @@ class Grammar:
     COMMENTS = ['section class="comments"', 'div class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div class="disqus"', 'section id="responses"', 'div class="reader-comments"']
     MENU = ["nav", 'div class="menu"', 'ul class="nav"', 'div class="breadcrumbs"', 'nav class="navbar"', 'div id="navigation"', 'div class="share social"', 'div class="toolbar"']
     HEAD = ["header", 'div class="header"', 'div id="masthead"', 'header class="site-header"', 'div class="topbar"']
+    FALLBACK = ["noscript", 'template id="card"', "svg", 'iframe src="/frame"', 'object type="x"']
     FOOT = ["footer", 'div class="footer"', 'div id="footer"', 'footer class="site-footer"', 'div class="copyright"', 'div class="legal"']
     SAID = {
         "notice": "we use cookies to improve this site accept decline privacy policy subscribe to our newsletter sign up",
@@ -295,7 +302,10 @@ class Grammar:
         return self.inside("ul", [x for _ in range(n) for x in self.inside("li", [(f'<a href="/{self.rng.integers(99)}">{self.prose(3)}</a>', False)])])
 
     def boiler(self) -> list:
-        kind = int(self.rng.integers(7))
+        kind = int(self.rng.integers(15))
+        if kind == 14:
+            return self.leaf(self.pick(self.FALLBACK), self.said("notice", 12), False)
+        kind %= 7
         r = lambda n: 1 + int(self.rng.integers(n))
         if kind == 0:
             return self.inside(self.pick(self.MENU), self.links(r(7)))
@@ -378,6 +388,12 @@ def train_labeller(pages: int = 2000, rounds: int = 500, batch: int = 48, seed:
     return net
 
 
+@cache
+def default_labeller() -> Labeller:
+    """The labeller of the production parameters, trained once in a process."""
+    return train_labeller()
+
+
 def extract(pages: DataFrame, net: Labeller, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with ``text_col`` (replaced if it is there) for ``html_col``'s main text.
 

@@ -45,7 +45,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_text.train_labeller())
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_text.default_labeller())
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

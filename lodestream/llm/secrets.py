@@ -4,7 +4,7 @@ Everything is DataFrame functions. Two first-order Markov chains over characters
 strings and one of ordinary identifiers, are trained from samples that the fixed patterns label:
 the values they find are the random strings, long words outside their matches the identifiers.
 A run of identifier characters outside every fixed match is a secret if its mean log-likelihood
-ratio a transition passes a threshold. Matches and their places come from cutting a text by the
+ratio a transition passes a threshold, whatever characters it has. Matches and their places come from cutting a text by the
 pattern and adding up the lengths of what lies between and of the matches, so there is no
 shuffle on the main path; the trained chains are one literal of fixed size.
 """
@@ -28,9 +28,9 @@ _FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 #: Characters of identifiers, in the order of their codes 1 to 66; code 0 is any other.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 STATES = len(ALPHABET) + 1
-#: Candidates: whole runs of at least this many identifier characters with a digit among them or both cases.
-LEAST = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{{{LEAST},}}"
+#: Candidates: whole runs of at least this many characters of identifiers, which ``/`` and ``=`` end.
+LEAST = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+_])[A-Za-z0-9+_]{{{LEAST},}}"
 #: Ordinary identifiers to learn from: whole runs of letters and underscores.
 ORDINARY = r"(?<![A-Za-z0-9+/_=])[A-Za-z_]{12,}(?![A-Za-z0-9+/_=])"
 #: Labelled samples that every model starts from, each counted SAMPLE_WEIGHT times.
@@ -40,10 +40,15 @@ maximumRetryCount isAuthenticated getDisplayName applicationContext databaseConn
 internationalization responsibilities characteristics understanding representation communication
 Verantwortung Geschwindigkeit Zusammenarbeit Wissenschaft responsabilidad comunicacion desarrollo
 developpement gouvernement environnement connaissance https/www/example/index/articles/archive
+parseXMLDocument toJSONString HTTPClientFactory loadURLFromCache IOExceptionHandler getUUIDForSession
+DEFAULT_BUFFER_SIZE MAX_RETRY_ATTEMPTS INVALID_ARGUMENT HTTP_STATUS_NOT_FOUND ENVIRONMENT_VARIABLE LOG_LEVEL
+image_2x version_1 page_10 section_3_1 utf8_general iso8859 mp3player html5 v2beta abcdefghijklmnopqrstuvwxyz
 """.split()
 SAMPLE_WEIGHT = 4
+#: Numbers are ordinary: every pair of digits is counted this often.
+DIGIT_WEIGHT = 30
 #: Least mean log-likelihood ratio a transition (nats).
-THRESHOLD = 1.0
+THRESHOLD = 2.0
 
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
@@ -114,6 +119,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000) ->
         codes = [ALPHABET.find(c) + 1 for c in word]
         for a, b in zip(codes, codes[1:], strict=False):
             counts[0][a * STATES + b] += SAMPLE_WEIGHT
+    digits = [ALPHABET.index(c) + 1 for c in "0123456789"]
+    for a in digits:
+        for b in digits:
+            counts[0][a * STATES + b] += DIGIT_WEIGHT
     total = sum(counts[0])
     column = [sum(counts[0][a * STATES + b] for a in range(STATES)) for b in range(STATES)]
     often = [(c + 1) / (total + STATES) for c in column]
@@ -139,9 +148,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     out = base_spans(docs, text_col)
     found = F.regexp_extract_all(F.col("__t"), F.lit(CANDIDATE), F.lit(0))
     likely = F.transform(found, lambda w: F.aggregate(_transitions(w), F.lit(0.0), lambda a, k: a + F.get(model, k)) / (F.length(w) - 1))
-    # A candidate's "size" is 1 if the ratio says random and it is no plain word or number.
-    has = F.transform(found, lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]"))
-    good = F.zip_with(likely, has, lambda x, ok: F.when((x >= threshold) & ok, 1).otherwise(0))
+    good = F.transform(likely, lambda x: F.when(x >= threshold, 1).otherwise(0))  # what _spans takes for a size
     gaps = F.slice(F.split(F.col("__t"), CANDIDATE, -1), F.lit(1), F.size(found))
     zipped = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("own"), good.alias("size"))
     out = out.withColumn("__random", F.when(F.col("__t").rlike(CANDIDATE), zipped))

@@ -183,6 +183,22 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none, secrets.train(none)).count() == 0
 
 
+def test_secrets_by_kind(spark):
+    """Recall of random strings of several alphabets (letters alone among them), and ordinary identifiers left alone."""
+    import string
+
+    made = random.Random(6)
+    letters, digits = string.ascii_letters, string.digits
+    kinds = {"62 of 16": (16, letters + digits), "62 of 32": (32, letters + digits), "letters": (20, letters), "base64": (40, letters + digits + "+"), "upper": (24, string.ascii_uppercase + digits)}
+    rows = [(name, "".join(made.choice(a) for _ in range(n))) for name, (n, a) in kinds.items() for _ in range(60)]
+    plain = "getUserAccountPreferencesById MAXIMUM_CONNECTION_TIMEOUT_SECONDS verwaltungsgerichtsbarkeit application_context_factory_2 MyHTTPServerXMLParserV2 4363361756619572 20240102030405123 ThisIsAVeryLongCamelCaseName3 docs/path/to/some_resource_name"
+    rows += [("ordinary", w) for w in plain.split()]
+    df = spark.createDataFrame([(k, name, w, f"{prose(8)} {w}; x") for k, (name, w) in enumerate(rows)], "doc_id long, kind string, w string, text string")
+    train = spark.createDataFrame([(k, f"{prose(50)} token={w}") for k, w in enumerate("".join(made.choice(letters + digits) for _ in range(24)) for _ in range(30))], "doc_id long, text string")
+    found = Counter(r["kind"] for r in secrets.scan(df, secrets.train(train)).collect() if any(s["kind"] == "random" and r["text"][s["start"] : s["end"]] == r["w"] for s in r["__spans"]))
+    assert not found["ordinary"] and all(found[k] >= 57 for k in kinds), found
+
+
 def test_language_id(spark, docs, none):
     letters = {"en": "the and of with that ing ", "de": "der und sch ung über ß ", "fr": "les été que où ç ", "es": "niño que los ción ñ "}
     made = [(k, "".join(rng.choice(v.split()) + " " for _ in range(30)), lang) for k, (lang, v) in enumerate(list(letters.items()) * 30)]

@@ -11,6 +11,8 @@ def net():
 def test_blocks():
     page = "<!doctype html><title>T &amp; t</title><style>p{}</style><script>if (a<b) '</p>'</script><body><p>One <b>bo</b>ld\n  text<br>more<p>Two &lt;x&gt;<!-- <p>no</p> --><ul><li>a<li>b</ul><a title='it>s'>link</a> 3 < 4"
     assert [b.text for b in H.leaf_blocks(page)] == ["T & t", "One bold text more", "Two <x>", "a", "b", "link 3 < 4"]
+    long = "<div style='" + "x" * 6000 + "' data-a=\"class=no id=no\" CLASS=side>in</div><svg><p>drawn</p><p>after <math><mi>x</mi></math>"
+    assert [(b.path[0], b.text) for b in H.leaf_blocks(long)] == [(("div", ".side"), "in"), (("svg",), "drawn"), (("svg",), "after x")]
     for odd in ("", "<", "<p", "<!--", "<!-- x", "</p></p>", "<script>", "<p title=\"x", "plain", "<br/><hr>", "&nbsp;&bogus;", "<" * 5000, "<a '" * 3000):
         H.leaf_blocks(odd)
 
@@ -64,3 +66,50 @@ def test_pages_of_the_driver(spark, net, sf_dir):
     got = H.label_blocks(net, blocks)
     want = [any(p[0] == "article" for p in b.path) for x in blocks for b in x]
     assert sum(a == b for a, b in zip(got, want)) >= 0.995 * len(want)
+
+
+def plain_extraction(source):
+    """The text of <article>, by the standard library's parser: blocks end where a block element's tag stands."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts, self.blocks = 0, [], []
+
+        def flush(self):
+            if text := " ".join("".join(self.parts).split()):
+                self.blocks.append(text)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag not in ("b", "a"):
+                self.flush()
+                self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a"):
+                self.flush()
+                self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(source or "")
+    reader.close()
+    reader.flush()
+    return "\n\n".join(reader.blocks)
+
+
+def test_query_against_a_plain_extraction(spark, sf_dir):
+    from lodestream.llm import queries
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op4_html_text(spark, sf_dir).collect()}
+    assert got.keys() == pages.keys()
+    assert all(len(text) == n for text, n in got.values())
+    assert sum(got[i][0] == plain_extraction(x) for i, x in pages.items()) >= 0.99 * len(pages)
