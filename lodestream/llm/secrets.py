@@ -119,13 +119,14 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000) ->
         codes = [ALPHABET.find(c) + 1 for c in word]
         for a, b in zip(codes, codes[1:], strict=False):
             counts[0][a * STATES + b] += SAMPLE_WEIGHT
+    total = sum(counts[0])
+    column = [sum(counts[0][a * STATES + b] for a in range(STATES)) for b in range(STATES)]
+    often = [(c + 1) / (total + STATES) for c in column]
+    # Numbers say how digits follow each other, not how often a digit follows something else.
     digits = [ALPHABET.index(c) + 1 for c in "0123456789"]
     for a in digits:
         for b in digits:
             counts[0][a * STATES + b] += DIGIT_WEIGHT
-    total = sum(counts[0])
-    column = [sum(counts[0][a * STATES + b] for a in range(STATES)) for b in range(STATES)]
-    often = [(c + 1) / (total + STATES) for c in column]
     out = []
     for a in range(STATES):
         rows = [counts[y][a * STATES : (a + 1) * STATES] for y in range(2)]

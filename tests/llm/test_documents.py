@@ -183,7 +183,7 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none, secrets.train(none)).count() == 0
 
 
-def test_secrets_by_kind(spark):
+def test_secrets_by_kind(spark, sf_dir):
     """Recall of random strings of several alphabets (letters alone among them), and ordinary identifiers left alone."""
     import string
 
@@ -194,7 +194,7 @@ def test_secrets_by_kind(spark):
     plain = "getUserAccountPreferencesById MAXIMUM_CONNECTION_TIMEOUT_SECONDS verwaltungsgerichtsbarkeit application_context_factory_2 MyHTTPServerXMLParserV2 4363361756619572 20240102030405123 ThisIsAVeryLongCamelCaseName3 docs/path/to/some_resource_name"
     rows += [("ordinary", w) for w in plain.split()]
     df = spark.createDataFrame([(k, name, w, f"{prose(8)} {w}; x") for k, (name, w) in enumerate(rows)], "doc_id long, kind string, w string, text string")
-    train = spark.createDataFrame([(k, f"{prose(9)} token={w}") for k, w in enumerate("".join(made.choice(letters + digits) for _ in range(24)) for _ in range(600))], "doc_id long, text string")
+    train = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = Counter(r["kind"] for r in secrets.scan(df, secrets.train(train)).collect() if any(s["kind"] == "random" and r["text"][s["start"] : s["end"]] == r["w"] for s in r["__spans"]))
     assert not found["ordinary"] and all(found[k] >= 57 for k in kinds), found
 
