@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exploration import let
+
 
 def tokens(text: Column) -> Column:
     """Words between spaces and tabs; the separators of the text format become underscores."""
@@ -15,17 +17,20 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int, skips: int = 0, up_to: bool = True) -> Column:
     """n-grams joined by ^, of 2 to n words (or of n alone); with skips up to that many words in all may be left out."""
-    out = []
-    for size in range(2 if up_to else n, n + 1):
-        for offsets in _offsets(size, skips):
-            reach = offsets[-1]
-            starts = F.when(F.size(words) > reach, F.sequence(F.lit(0), F.size(words) - reach - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-            out.append(F.transform(starts, _gram(words, offsets)))
-    return F.concat(*out)
+
+    def of(held: Column) -> Column:
+        return F.concat(*[_grams(held, offsets) for size in range(2 if up_to else n, n + 1) for offsets in _offsets(size, skips)])
+
+    return let(words, of)
 
 
-def _gram(words: Column, offsets: tuple[int, ...]):
-    return lambda i: F.concat_ws("^", *[F.get(words, i + k) for k in offsets])
+def _grams(words: Column, offsets: tuple[int, ...]) -> Column:
+    """The words at the offsets from each place, joined: shifted arrays meet place by place."""
+    many = F.greatest(F.size(words) - offsets[-1], F.lit(0))
+    out = F.slice(words, F.lit(1), many)
+    for k in offsets[1:]:
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit("^"), b))
+    return out
 
 
 def _offsets(size: int, skips: int):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exploration import let
+
 FEATURE = "struct<ns:string,name:string,value:double>"
 CONSTANT_NAME = "Constant"
 
@@ -74,8 +76,13 @@ def anonymous(ns: str, values: Column) -> Column:
 def sort_unique(features: Column) -> Column:
     """By namespace and name; of equal ones the first by value stays."""
     ordered = F.array_sort(F.transform(features, lambda f: F.struct(f["ns"], f["name"], f["value"])))
-    first = F.filter(ordered, lambda f, i: (i == 0) | (F.get(ordered, i - 1)["ns"] != f["ns"]) | (F.get(ordered, i - 1)["name"] != f["name"]))
-    return F.transform(first, lambda f: feature(f["ns"], f["name"], f["value"]))
+
+    def first(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(None)), F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))))
+        marked = F.zip_with(own, before, lambda f, b: F.when(b.isNull() | (b["ns"] != f["ns"]) | (b["name"] != f["name"]), feature(f["ns"], f["name"], f["value"])))
+        return F.filter(F.slice(marked, F.lit(1), F.greatest(F.size(own), F.lit(0))), lambda f: f.isNotNull())
+
+    return let(ordered, first)
 
 
 def limit(features: Column, n: int, ns: str | None = None) -> Column:
@@ -92,8 +99,8 @@ def _joined(a: Column, b: Column) -> Column:
 def quadratic(a: Column, b: Column, same: bool = False, permutations: bool = False) -> Column:
     """All pairs; of a namespace with itself only those in order, each with itself included, unless permutations are asked for."""
     if same and not permutations:
-        return F.flatten(F.transform(a, lambda x, i: F.transform(F.slice(a, i + 1, F.size(a)), lambda y: _joined(x, y))))
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: _joined(x, y))))
+        return let(a, lambda own: F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 1, F.size(own)), lambda y: _joined(x, y)))))
+    return let(b, lambda right: F.flatten(F.transform(a, lambda x: F.transform(right, lambda y: _joined(x, y)))))
 
 
 def interactions(features: Column, spaces: list[str], permutations: bool = False) -> Column:
@@ -114,10 +121,14 @@ def interactions(features: Column, spaces: list[str], permutations: bool = False
 
 def _powers(own: Column, times: int) -> Column:
     """Combinations with repetition of ``times`` features of one namespace, by their last index."""
-    rows = F.transform(own, lambda f, i: F.struct(i.alias("i"), f.alias("f")))
-    for _ in range(times - 1):
-        rows = F.flatten(F.transform(rows, lambda r: F.transform(F.slice(own, r["i"] + 1, F.size(own)), lambda y, j: F.struct((r["i"] + j).alias("i"), _joined(r["f"], y).alias("f")))))
-    return F.transform(rows, lambda r: r["f"])
+
+    def of(held: Column) -> Column:
+        rows = F.transform(held, lambda f, i: F.struct(i.alias("i"), f.alias("f")))
+        for _ in range(times - 1):
+            rows = F.flatten(F.transform(rows, lambda r: F.transform(F.slice(held, r["i"] + 1, F.size(held)), lambda y, j: F.struct((r["i"] + j).alias("i"), _joined(r["f"], y).alias("f")))))
+        return F.transform(rows, lambda r: r["f"])
+
+    return let(own, of)
 
 
 def expand_wildcards(patterns: list[str], spaces: list[str], leave_duplicates: bool = False) -> list[tuple[str, ...]]:
@@ -139,8 +150,12 @@ def interaction_sum_of_squares(features: Column, a: str, b: str) -> Column:
 def merge_on_name(features: Column, a: str, b: str) -> Column:
     """Features that both namespaces have by name, values multiplied."""
     right = F.map_from_entries(F.transform(namespace(features, b), lambda f: F.struct(f["name"], f["value"])))
-    both = F.filter(namespace(features, a), lambda f: F.map_contains_key(right, f["name"]))
-    return F.transform(both, lambda f: feature(F.lit(f"{a}{b}"), f["name"], f["value"] * F.element_at(right, f["name"])))
+
+    def of(held: Column) -> Column:
+        both = F.filter(namespace(features, a), lambda f: F.map_contains_key(held, f["name"]))
+        return F.transform(both, lambda f: feature(F.lit(f"{a}{b}"), f["name"], f["value"] * F.element_at(held, f["name"])))
+
+    return let(right, of)
 
 
 def dictionary(examples: DataFrame, table: DataFrame, ns: str, id_cols: list[str], most_rows: int = 1_000_000) -> DataFrame:

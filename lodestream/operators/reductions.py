@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exploration import let, total
+
 
 def linear_score(examples: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
     """(keys..., slots of ``weights``, score): sparse dot products of exploded features (ns, name, value)
@@ -34,8 +36,7 @@ def argmin(xs: Column) -> Column:
 def oaa_probabilities(scores: Column) -> Column:
     """Logistic of each class's score, brought to a total of 1."""
     each = F.transform(scores, lambda s: 1 / (1 + F.exp(-s)))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(each, lambda x: x / total)
+    return let(each, lambda v: let(total(v), lambda t: F.transform(v, lambda x: x / t)))
 
 
 def oaa_examples(df: DataFrame, label: str, classes: int) -> DataFrame:
@@ -65,8 +66,10 @@ def ldf_rank(scores: Column) -> Column:
 
 def mc_weights(costs: Column) -> tuple[Column, Column]:
     """Costs as classification: label -1 for the cheapest, +1 for others; weight is how much the choice matters."""
-    low, high = F.array_min(costs), F.array_max(costs)
-    return F.transform(costs, lambda c: F.when(c == low, -1.0).otherwise(1.0)), F.transform(costs, lambda c: F.when(c == low, high - low).otherwise(c - low))
+    labels = let(F.array_min(costs), lambda low: F.transform(costs, lambda c: F.when(c == low, -1.0).otherwise(1.0)))
+    ends = F.struct(F.array_min(costs).alias("low"), F.array_max(costs).alias("high"))
+    weights = let(ends, lambda e: F.transform(costs, lambda c: F.when(c == e["low"], e["high"] - e["low"]).otherwise(c - e["low"])))
+    return labels, weights
 
 
 def wap_values(costs: Column) -> Column:
@@ -83,9 +86,11 @@ def wap_values(costs: Column) -> Column:
 
 def wap_pairs(costs: Column) -> Column:
     """(i, j, difference) of every pair of an event's actions with different values, i before j."""
-    values = wap_values(costs)
-    pairs = F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda y, j: F.struct(i.alias("i"), (i + 1 + j).alias("j"), F.abs(x - y).alias("weight")))))
-    return F.filter(pairs, lambda p: p["weight"] > 1e-6)
+
+    def of(values: Column) -> Column:
+        return F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda y, j: F.struct(i.alias("i"), (i + 1 + j).alias("j"), F.abs(x - y).alias("weight")))))
+
+    return F.filter(let(wap_values(costs), of), lambda p: p["weight"] > 1e-6)
 
 
 def classweight(label: Column, weights: dict[int, float]) -> Column:
@@ -117,9 +122,12 @@ def bootstrap(predictions: Column, kind: str = "mean") -> Column:
     """One prediction from an array of replicas': their mean, or the most frequent (lowest of ties)."""
     if kind == "mean":
         return F.aggregate(predictions, F.lit(0.0), lambda a, x: a + x) / F.size(predictions)
-    distinct = F.array_sort(F.array_distinct(predictions))
-    counts = F.transform(distinct, lambda d: F.size(F.filter(predictions, lambda x: x == d)))
-    return F.get(distinct, F.array_position(counts, F.array_max(counts)).cast("int") - 1)
+
+    def vote(distinct: Column) -> Column:
+        counts = F.transform(distinct, lambda d: F.size(F.filter(predictions, lambda x: x == d)))
+        return let(counts, lambda n: F.get(distinct, F.array_position(n, F.array_max(n)).cast("int") - 1))
+
+    return let(F.array_sort(F.array_distinct(predictions)), vote)
 
 
 def boosting_weight(learner: int, learners: int, margin: Column, gamma: float) -> Column:
@@ -162,10 +170,3 @@ def event_rows(df: DataFrame, event: list[str], order: list[str], **columns: str
 
 def _field(name: str):
     return lambda r: r[name]
-
-
-def events_by_blank_line(lines: DataFrame, order: str, text: str, *by: str) -> DataFrame:
-    """Event ids for lines of which blank ones end an event, within each file."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.when(F.trim(text) == "", 1).otherwise(0)
-    return lines.withColumn("event_id", F.coalesce(F.sum(blank).over(w), F.lit(0))).where(F.trim(text) != "")
