@@ -4,7 +4,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, OrderedDict, deque
+from collections import Counter, OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,15 +18,25 @@ def _base(bits: int, loss: str = "squared", **more) -> Kernel:
     return GD(loss=loss, bits=bits, **more)
 
 
+def plain(rate: float = 0.1) -> Callable[..., Kernel]:
+    """A maker of base learners by plain gradient steps of one size."""
+    return lambda bits, loss="squared", **more: GD(loss=loss, bits=bits, rate=rate, power=0.0, adaptive=False, normalized=False, invariant=False, **more)
+
+
+#: What a composed learner makes its base learners with: (bits, loss, other options).
+Maker = Callable[..., Kernel]
+
+
 @dataclass
 class OneAgainstAll(Kernel):
     """k binary problems; the class with the largest score, the lowest of ties."""
 
     classes: int = 2
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
-        self.slots = [_base(self.bits, "logistic") for _ in range(self.classes)]
+        self.slots = [self.make(self.bits, "logistic") for _ in range(self.classes)]
 
     def scores(self, idx, val):
         return [s.predict(idx, val) for s in self.slots]
@@ -54,7 +65,7 @@ class Tournament(OneAgainstAll):
         self.matches: dict[tuple[int, int, int], Kernel] = {}
 
     def _meet(self, bracket, a, b) -> Kernel:
-        return self.matches.setdefault((bracket, a, b), _base(self.bits, "logistic"))
+        return self.matches.setdefault((bracket, a, b), self.make(self.bits, "logistic"))
 
     def _play(self, idx, val, truth=None, weight=1.0):
         losers, field_, winner = [], list(range(1, self.classes + 1)), 0
@@ -113,9 +124,10 @@ class Boosting(Kernel):
     kind: str = "BBM"
     gamma: float = 0.1
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
-        self.slots = [_base(self.bits, "logistic") for _ in range(self.learners)]
+        self.slots = [self.make(self.bits, "logistic") for _ in range(self.learners)]
         self.alpha, self.t = np.zeros(self.learners), 0
 
     def _votes(self, idx, val):
@@ -156,13 +168,14 @@ class LabelTree(Kernel):
     labels: int = 2
     arity: int = 2
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
         self.internal = (self.labels - 1 + self.arity - 2) // (self.arity - 1) if self.labels > 1 else 0
         self.nodes: dict[int, Kernel] = {}
 
     def _node(self, n):
-        return self.nodes.setdefault(n, _base(self.bits, "logistic"))
+        return self.nodes.setdefault(n, self.make(self.bits, "logistic"))
 
     def _p(self, n, idx, val):
         return 1 / (1 + math.exp(-max(min(self._node(n).predict(idx, val), 500), -500)))
@@ -211,6 +224,7 @@ class LogTree(Kernel):
     classes: int = 2
     swap: float = 4.0
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
         self.nodes = [{"router": None, "counts": Counter(), "sum": 0.0, "n": 0, "by": {}, "kids": None}]
@@ -225,7 +239,7 @@ class LogTree(Kernel):
             if node["kids"] is None:
                 if truth is None or len(node["counts"]) < 2 or len(self.nodes) + 2 > self.most:
                     return node
-                node["kids"], node["router"] = (len(self.nodes), len(self.nodes) + 1), _base(self.bits, "logistic")
+                node["kids"], node["router"] = (len(self.nodes), len(self.nodes) + 1), self.make(self.bits, "logistic")
                 self.nodes += [{"router": None, "counts": Counter(), "sum": 0.0, "n": 0, "by": {}, "kids": None} for _ in range(2)]
             score = node["router"].predict(idx, val)
             if truth is not None:
@@ -254,11 +268,12 @@ class LogTree(Kernel):
 @dataclass
 class MemoryTree(Kernel):
     """Nearest-memory prediction: routers send an example to a leaf, whose most similar memory gives
-    its label. ``capacity`` bounds what is remembered; the least recently used memory goes first."""
+    its label. With a ``capacity`` only so many memories stay; the least recently used goes first."""
 
     leaf: int = 16
-    capacity: int = 4096
+    capacity: int = 0
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
         self.root = {"memories": OrderedDict(), "router": None, "kids": None}
@@ -291,7 +306,7 @@ class MemoryTree(Kernel):
         self.n += 1
         node["memories"][self.n] = (idx, val, y)
         self.order[self.n] = node
-        if len(self.order) > self.capacity:
+        if self.capacity and len(self.order) > self.capacity:
             old, _ = self.order.popitem(last=False)
             self._forget(self.root, old)
         if len(node["memories"]) > self.leaf:
@@ -308,7 +323,7 @@ class MemoryTree(Kernel):
         """A router along the direction in which a leaf's memories differ most (one power iteration)."""
         keys = list(node["memories"])
         a, b = node["memories"][keys[0]], min((node["memories"][k] for k in keys[1:]), key=lambda m: self._near(node["memories"][keys[0]][0], node["memories"][keys[0]][1], m))
-        node["router"] = _base(self.bits, "logistic")
+        node["router"] = self.make(self.bits, "logistic")
         for m in (a, b) * 3:
             node["router"].learn(m[0], m[1], 1.0 if m is a else -1.0, 1.0)
         node["kids"] = tuple({"memories": OrderedDict(), "router": None, "kids": None} for _ in range(2))
@@ -321,9 +336,19 @@ class MemoryTree(Kernel):
             for kid, half in zip(node["kids"], halves, strict=True):
                 kid["memories"] = half
 
+    def _nodes(self):
+        queue = [self.root]
+        for node in queue:
+            queue += node["kids"] or ()
+        return queue
+
     def rows(self):
-        none = np.zeros(0)
-        return none.astype(np.int64), none, none
+        """The routers' weights, node by node from the root."""
+        return _stack([n["router"].rows() if n["router"] else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for n in self._nodes()], self.bits)
+
+    def memories(self):
+        """(node, indices, values, label) of what is remembered; nodes are numbered as in ``rows``."""
+        return [(k, idx, val, y) for k, n in enumerate(self._nodes()) for idx, val, y in n["memories"].values()]
 
 
 @dataclass
@@ -334,9 +359,10 @@ class Active(Kernel):
     mellowness: float = 8.0
     seed: int = 0
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
-        self.base, self.random, self.t, self.asked = _base(self.bits, "logistic"), Merand48(self.seed), 0.0, 0
+        self.base, self.random, self.t, self.asked = self.make(self.bits, "logistic"), Merand48(self.seed), 0.0, 0
 
     def predict(self, idx, val):
         return self.base.predict(idx, val)
@@ -406,9 +432,10 @@ class Baseline(Kernel):
     """A constant learns first, the model what is left."""
 
     bits: int = 14
+    make: Maker = _base
 
     def __post_init__(self):
-        self.constant, self.rest = _base(1), _base(self.bits, low=-1e9, high=1e9)
+        self.constant, self.rest = self.make(1), self.make(self.bits, low=-1e9, high=1e9)
         self.one = (np.zeros(1, np.int64), np.ones(1))
 
     def predict(self, idx, val):
@@ -524,13 +551,14 @@ class CatsTree(Kernel):
     high: float = 1.0
     bandwidth: int = 1
     bits: int = 12
+    make: Maker = _base
 
     def __post_init__(self):
         self.depth = math.ceil(math.log2(self.bins))
         self.nodes: dict[int, Kernel] = {}
 
     def _node(self, n):
-        return self.nodes.setdefault(n, _base(self.bits, "logistic"))
+        return self.nodes.setdefault(n, self.make(self.bits, "logistic"))
 
     def bin_of(self, idx, val):
         n = 0
@@ -687,10 +715,11 @@ class Policy:
     clip: float = 0.0
     seed: int = 0
     bits: int = 16
+    make: Maker = _base
 
     def __post_init__(self):
-        self.models = [_base(self.bits, low=-1e9, high=1e9) for _ in range(self.bags if self.explore in ("bag", "cover") else 1)]
-        self.reward = _base(self.bits, low=-1e9, high=1e9)
+        self.models = [self.make(self.bits, low=-1e9, high=1e9) for _ in range(self.bags if self.explore in ("bag", "cover") else 1)]
+        self.reward = self.make(self.bits, low=-1e9, high=1e9)
         self.events, self.actions, self.random = 0, 0, Merand48(self.seed)
 
     def costs(self, actions, model=0):
@@ -880,18 +909,3 @@ def _digamma(x):
         x = np.where(small, x + 1, x)
     f = 1 / (x * x)
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
-
-
-@dataclass
-class Window:
-    """The last labels of a stream, for features of its recent past."""
-
-    size: int = 10
-    values: deque = field(default_factory=deque)
-
-    def push(self, y: float) -> float:
-        mean = sum(self.values) / len(self.values) if self.values else 0.0
-        self.values.append(y)
-        if len(self.values) > self.size:
-            self.values.popleft()
-        return mean

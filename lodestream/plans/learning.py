@@ -85,7 +85,7 @@ for _name, _make, _shift in (
     ("ect_online", lambda: composed.Tournament(classes=5, bits=5), 0),
     ("log_multi_online", lambda: composed.LogTree(classes=5, bits=5), 0),
     ("plt_online", lambda: composed.LabelTree(labels=5, bits=5), 1),
-    ("memory_tree_online", lambda: composed.MemoryTree(leaf=8, capacity=256, bits=5), 0),
+    ("memory_tree_online", lambda: composed.MemoryTree(leaf=8, bits=5), 0),
     ("mf_online", lambda: online.Factors(split=16, bits=5), 0),
 ):
 
