@@ -777,6 +777,20 @@ class Policy:
             guess[chosen] += (cost - guess[chosen]) / p
         return guess
 
+    @staticmethod
+    def _softmax_step(model, actions, chosen, cost, p):
+        """Raises the chosen action's cost score and lowers the others' (the other way for a negative
+        cost), each by as much as the softmax of the scores says it takes part."""
+        scores = np.array([model._raw(i, v) for i, v in actions])
+        share = np.exp(scores.min() - scores)
+        share /= share.sum()
+        sign = -1.0 if cost < 0 else 1.0
+        weight = abs(cost) / p * share[chosen]
+        for j, x in enumerate(actions):
+            own = weight * (1 - share[j] if j == chosen else share[j])
+            if own > 1e-15:
+                model.learn(*x, min(max(scores[j] + (sign if j == chosen else -sign), -100.0), 100.0), own)
+
     def learn(self, actions, chosen, cost, p):
         """Learns a logged event; returns the distribution it had before. With mtr, cover's policies
         after the first learn from dr's estimates."""
@@ -791,6 +805,9 @@ class Policy:
                 if self.estimator == "mtr":
                     model.learn(*actions[chosen], cost, 1 / p * self.events / self.actions)
                     continue
+                if self.estimator == "sm":
+                    self._softmax_step(model, actions, chosen, cost, p)
+                    continue
                 for x, target in zip(actions, self._targets(actions, chosen, cost, p, estimator), strict=True):
                     model.learn(*x, target, 1.0)
         if self.explore == "cover":

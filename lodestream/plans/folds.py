@@ -6,11 +6,12 @@ with their default bases the same learners are registered in ``learning``.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import composed, online
-from .data import LOG_SQL
+from ..operators import asking, composed, events, online
+from .data import COST_SCALE, LOG_SQL, action_costs, log
 from .learning import _actions, _bandit, _stream, _typed
 from .queries import ORACLE_SQL, QUERIES, r
 
@@ -293,4 +294,156 @@ def _policy(name: str, estimator: str, explore: str) -> None:
 for _estimator, _explore in (("mtr", "epsilon"), ("mtr", "softmax"), ("ips", "squarecb"), ("ips", "softmax"), ("dr", "softmax"), ("dm", "softmax"), ("dr", "first")):
     _policy(f"cb_adf_{_estimator}_{_explore}_plain", _estimator, _explore)
 
+# --- the softmax estimator, cost-sensitive events, offset trees -----------------------------------
+
+
+def _events(name: str, make, state, levels, out: str, answer) -> None:
+    """A learner of five actions an event; ``answer`` (learner, row) gives the columns after event_id."""
+
+    def query(spark, sf):
+        def run(rows):
+            learner = make()
+            return [{"event_id": x["event_id"], "p": answer(learner, x)} for x in rows]
+
+        return _bandit(spark, sf, run, [("event_id", pa.int64()), ("p", pa.float64())])
+
+    register(name, query, fold_sql(_CB, state, levels, out))
+
+
+_sm_levels = [{"cs": _costs()}, {"pi": "[exp(list_min(cs) - z) / list_sum([exp(list_min(cs) - t) FOR t IN cs]) FOR z IN cs]"}, {"sign": "CASE WHEN cost < 0 THEN -1 ELSE 1 END", "wt": "abs(cost) / lp * pi[a + 1]"}]
+_w = "w"
+for _j in range(5):
+    _more, _w = _step_level(_j, _w, str(_j), f"least(greatest(cs[{_j + 1}] + sign * CASE WHEN a = {_j} THEN 1 ELSE -1 END, -100), 100)", f"wt * CASE WHEN a = {_j} THEN 1 - pi[{_j + 1}] ELSE pi[{_j + 1}] END")
+    _sm_levels += _more
+_events(
+    "cb_adf_sm_plain", lambda: composed.Policy(bits=6, estimator="sm", explore="softmax", make=composed.plain()),
+    {"w": (_wide_start(), _w), "w_lo": (D0, "w_lo5"), "w_hi": (D0, "w_hi5")}, _sm_levels, "event_id, round(pi[a + 1], 5) AS p",
+    lambda policy, x: round(float(policy.learn(_actions(x), x["a"], x["cost"], x["p"])[x["a"]]), 5),
+)
+
+_ALL = "[CAST(((k * (7 * (j + 3)) + event_id * (13 * (j + 1))) % 101) / 100.0 AS DOUBLE) FOR j IN range(5)] AS cc"
+_RANKED = "list_position([len(list_filter(cs, lambda z: z < cs[j + 1])) + len([1 FOR i IN range(5) IF i < j AND cs[i + 1] = cs[j + 1]]) FOR j IN range(5)], 0) - 1"
+
+
+def _action_costs(name: str, kind: str, levels, last) -> None:
+    def query(spark, sf):
+        def run(rows):
+            learner = events.ActionCosts(kind, bits=6, make=composed.plain())
+            return [{"event_id": x["event_id"], "best": learner.learn(_actions(x), x["costs"])[0]} for x in rows]
+
+        return _bandit(spark, sf, run, [("event_id", pa.int64()), ("best", pa.int64())])
+
+    state = {"w": (_wide_start(), last[0]), "w_lo": (D0, last[1]), "w_hi": (D0, last[2])}
+    register(name, query, fold_sql(f"{_CB}, {_ALL}", state, [{"cs": _costs()}, *levels], f"event_id, {_RANKED} AS best"))
+
+
+def _in_turn(targets: list[str], weights: list[str]):
+    levels, w = [], "w"
+    for j in range(5):
+        more, w = _step_level(j, w, str(j), targets[j], weights[j])
+        levels += more
+    return levels, (w, "w_lo5", "w_hi5")
+
+
+_action_costs("csoaa_ldf_plain", "regression", *_in_turn([f"cc[{j + 1}]" for j in range(5)], ["1"] * 5))
+# The scorer of a class that carries no weight is left alone; here that is a step of 0 and a bound of 0.
+_mc = _in_turn([f"CASE WHEN {{w}} = 0 THEN 0 WHEN cc[{j + 1}] = list_min(cc) THEN -1.0 ELSE 1.0 END".replace("{w}", f"(CASE WHEN cc[{j + 1}] = list_min(cc) THEN list_max(cc) ELSE cc[{j + 1}] END - list_min(cc))") for j in range(5)], [f"(CASE WHEN cc[{j + 1}] = list_min(cc) THEN list_max(cc) ELSE cc[{j + 1}] END - list_min(cc))" for j in range(5)])
+_action_costs("csoaa_ldf_mc_plain", "classifier", *_mc)
+
+# All pairs: a step along the difference of two actions' features (the shared one cancels).
+_pairs, _w = [{"srt": "list_sort(cc)"}, {"vv": "[coalesce(list_sum([(srt[r + 1] - srt[r]) / r FOR r IN range(1, 5) IF srt[r + 1] <= c]), 0.0) FOR c IN cc]"}], "w"
+_k = 0
+for _a in range(5):
+    for _b in range(_a + 1, 5):
+        _raw = f"{_w}[{_a + 1}] + {_w}[own[{_a + 1}] + 1] - {_w}[{_b + 1}] - {_w}[own[{_b + 1}] + 1]"
+        _lo, _hi = ("w_lo", "w_hi") if _k == 0 else (f"w_lo{_k}", f"w_hi{_k}")
+        _pairs += [
+            {f"gap{_k}": f"abs(vv[{_a + 1}] - vv[{_b + 1}])"},
+            {f"y{_k}": f"CASE WHEN gap{_k} < 1e-6 THEN 0 WHEN cc[{_a + 1}] < cc[{_b + 1}] THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"},
+            {f"w_lo{_k + 1}": f"least({_lo}, y{_k})", f"w_hi{_k + 1}": f"greatest({_hi}, y{_k})"},
+            {f"m{_k}": f"CASE WHEN gap{_k} < 1e-6 THEN 0.0 ELSE 0.2::DOUBLE * gap{_k} * (y{_k} - least(greatest({_raw}, w_lo{_k + 1}), w_hi{_k + 1})) END"},
+            {f"w_p{_k}": f"list_transform({_w}, lambda z, i: z + m{_k} * CASE WHEN i - 1 = {_a} OR i - 1 = own[{_a + 1}] THEN 1 WHEN i - 1 = {_b} OR i - 1 = own[{_b + 1}] THEN -1 ELSE 0 END)"},
+        ]
+        _w = f"w_p{_k}"
+        _k += 1
+_action_costs("wap_ldf_plain", "pairs", _pairs, (_w, f"w_lo{_k}", f"w_hi{_k}"))
+
+
+def _csoaa(spark, sf):
+    rows = _typed(spark, sf).drop("y").join(log(spark, sf).select(F.col("event_id").alias("seq"), action_costs().alias("y")), "seq")
+    out = online.train(rows, online.Run(lambda: events.CostSensitive(classes=5, bits=5, make=composed.plain())), ["user_id"]).where("kind = 'prediction'")
+    return out.select("user_id", F.col("seq").alias("event_id"), r("p").alias("p"))
+
+
+_cs = [
+    {"sc": f"[{_score('c')} FOR c IN range(5)]", "lo2": "[least(lo[c + 1], cc[c + 1]) FOR c IN range(5)]", "hi2": "[greatest(hi[c + 1], cc[c + 1]) FOR c IN range(5)]"},
+    {"p": "list_position(sc, list_min(sc))", "st": "[0.2::DOUBLE * (cc[c + 1] - least(greatest(sc[c + 1], lo2[c + 1]), hi2[c + 1])) FOR c IN range(5)]"},
+]
+_five = "[0.0::DOUBLE FOR c IN range(5)]"
+register("csoaa_plain_online", _csoaa, fold_sql(f"{_TYPED}, {_ALL}", {"w": (_start(5), _moved("st")), "lo": (_five, "lo2"), "hi": (_five, "hi2")}, _cs, "user_id, event_id, round(CAST(p AS DOUBLE), 6) AS p"))
+
+# Offset tree of five actions: inner nodes (0,1), (2,3), (those two), (that, 4); a slot for each side of each.
+_PATHS = [[(0, 0), (2, 0), (3, 0)], [(0, 1), (2, 0), (3, 0)], [(1, 0), (2, 1), (3, 0)], [(1, 1), (2, 1), (3, 0)], [(3, 1)]]
+
+
+def _climb(expr) -> str:
+    """A case for each logged action, of a product over some nodes of its path."""
+    return "CASE " + " ".join(f"WHEN a = {k} THEN {expr(path)}" for k, path in enumerate(_PATHS)) + " END"
+
+
+def _side(scores: str, node: int, side: int) -> str:
+    first, second = f"{scores}[{2 * node + 1}]", f"{scores}[{2 * node + 2}]"
+    return f"(0.025::DOUBLE + 0.95::DOUBLE * CASE WHEN ({second} < {first}) = {'true' if side else 'false'} THEN 1 ELSE 0 END)"
+
+
+def _product(scores: str, path) -> str:
+    return " * ".join(_side(scores, n, s) for n, s in path) or "1.0::DOUBLE"
+
+
+_wanted = "[" + ", ".join("CASE " + " ".join(f"WHEN a = {k} THEN {f'cost / lp' if side == 0 + s else '0.0'}" for k, path in enumerate(_PATHS) for m, s in path if m == n) + " END" for n in range(4) for side in range(2)) + "]"
+_offset: list[dict[str, str]] = [{"sc": f"[{_score('c')} FOR c IN range(8)]", "want": _wanted}, {"lo2": "[least(lo[c + 1], coalesce(want[c + 1], lo[c + 1])) FOR c IN range(8)]", "hi2": "[greatest(hi[c + 1], coalesce(want[c + 1], hi[c + 1])) FOR c IN range(8)]"}]
+_offset.append({"dir": "[coalesce(0.2::DOUBLE * (want[c + 1] - least(greatest(sc[c + 1], lo2[c + 1]), hi2[c + 1])), 0.0) FOR c IN range(8)]"})
+# The weight that reaches a node is the product of the sides below it, each after its own step.
+_offset.append({"k0": "1.0::DOUBLE"})
+for _level in range(3):
+    _node = lambda path, level=_level: path[level] if level < len(path) else None
+    _offset.append({f"sn{_level}": f"[sc[c + 1] + 2 * k{_level} * dir[c + 1] FOR c IN range(8)]"})
+    _offset.append({f"k{_level + 1}": f"k{_level} * " + _climb(lambda path, level=_level: _side(f"sn{level}", *path[level]) if level < len(path) else "1.0::DOUBLE")})
+_offset.append({"st": "[" + ", ".join("CASE " + " ".join(f"WHEN a = {k} THEN k{path.index((n, s))} * dir[{2 * n + side + 1}]" for k, path in enumerate(_PATHS) for m, s in path if m == n) + " ELSE 0.0 END" for n in range(4) for side in range(2)) + "]"})
+
+
+def _offset_tree(spark, sf):
+    def run(rows):
+        tree = events.OffsetTree(5, bits=5, make=composed.plain())
+        out = []
+        for x in rows:
+            idx = np.array([x["k"] % 16, 16 + int(x["cost"] * COST_SCALE // 25) % 16], np.int64)
+            out.append({"event_id": x["event_id"], "p": round(float(tree.learn(idx, np.ones(2), x["a"], x["cost"], x["p"])[x["a"]]), 6)})
+        return out
+
+    return _bandit(spark, sf, run, [("event_id", pa.int64()), ("p", pa.float64())])
+
+
+_eight = "[0.0::DOUBLE FOR c IN range(8)]"
+register(
+    "offset_tree_plain", _offset_tree,
+    fold_sql("k % 16 AS i1, 16 + CAST(floor(cost * 487.0::DOUBLE / 25) AS INTEGER) % 16 AS i2, a, cost, p AS lp", {"w": (_start(8), _moved("st")), "lo": (_eight, "lo2"), "hi": (_eight, "hi2")}, _offset, f"event_id, round({_climb(lambda path: _product('sc', path))}, 6) AS p"),
+)
+
+
+# --- confidence: distance from the threshold over sensitivity -------------------------------------
+
+
+def _confidence(spark, sf):
+    out = online.train(_stream(spark, sf), online.Run(lambda: asking.Confidence(bits=1, make=lambda bits, loss: online.GD(loss=loss, bits=bits, normalized=False, invariant=False))), ["user_id"]).where("kind = 'prediction'")
+    return out.select(F.col("seq").alias("event_id"), r("p", 5).alias("confidence"))
+
+
+register(
+    "confidence_fold", _confidence,
+    fold_sql("x, y", {"u": (D0, "u - 0.5::DOUBLE * sl * x / sqrt(greatest(gu2, 1e-300))"), "v": (D0, "v - 0.5::DOUBLE * sl / sqrt(greatest(gv2, 1e-300))"), "gu": (D0, "gu2"), "gv": (D0, "gv2")},
+             [{"p": "least(greatest(u * x + v, -50), 50)"}, {"sl": _SLOPE}, {"gu2": "gu + sl * sl * greatest(x * x, 1.17549435e-38::DOUBLE)", "gv2": "gv + sl * sl"}, {"sens": "x * x / sqrt(greatest(gu, 1e-300)) + 1 / sqrt(greatest(gv, 1e-300))"}],
+             "event_id, round(abs(p) / sens, 5) AS confidence"),
+)
+
 __all__ = ["QUERIES"]
