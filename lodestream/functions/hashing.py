@@ -65,6 +65,20 @@ def name_hash(name: str, seed: int = 0, numbers: bool = True) -> int:
     return murmur3(bare if numbers else name, seed)
 
 
+_CONTROL = "".join(map(chr, range(33)))
+
+
+def name_hashes(names: list[str], seeds: np.ndarray | int = 0) -> np.ndarray:
+    """``name_hash`` of many names at once, each with its seed."""
+    seeds = np.broadcast_to(np.asarray(seeds, np.int64), len(names))
+    bare = [n.strip(_CONTROL) for n in names]
+    out = murmur3_many([n.encode() for n in bare], seeds.astype(np.uint64))
+    for k, n in enumerate(bare):
+        if n == "" or n.isascii() and n.isdigit():
+            out[k] = (int(n or 0) + int(seeds[k])) & 0xFFFFFFFF
+    return out
+
+
 def feature_hash(name: str, namespace: str = "", bits: int = DEFAULT_BITS, value: str | None = None, seed: int = 0, numbers: bool = True) -> int:
     """Index of a feature: its name seeded by its namespace's hash; a string value is seeded by the name's."""
     ns = name_hash(namespace, seed, numbers) if namespace else seed
@@ -88,10 +102,6 @@ def interact(a: Column, b: Column, bits: int = DEFAULT_BITS) -> Column:
     return (F.pmod(a * INTERACTION_PRIME, F.lit(1 << 32)).bitwiseXOR(b)).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def hash_arrow(column: pa.Array, seed: int = 0) -> pa.Array:
-    return pa.array(murmur3_many([(v or "").encode() for v in column.to_pylist()], seed).astype(np.int64))
-
-
 class Merand48:
     """The 48-bit congruential generator behind reproducible sampling: uniform, gaussian and Poisson(1) draws."""
 

@@ -10,7 +10,7 @@ examples need.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -119,6 +119,10 @@ class Kernel:
         """(indices, weights, adaptive state) of what isn't zero."""
         raise NotImplementedError
 
+    def load(self, idx: np.ndarray, w: np.ndarray, state: np.ndarray) -> None:
+        """Goes on from what ``rows`` gave."""
+        raise TypeError(f"{type(self).__name__} can't start from weights")
+
 
 @dataclass
 class GD(Kernel):
@@ -211,9 +215,14 @@ class GD(Kernel):
         self.rate *= self.decay
 
     def rows(self):
-        at = np.flatnonzero(self.w)
+        at = np.flatnonzero((self.w != 0) | (self.adapt != 0))
         return at, self.w[at], self.adapt[at]
 
+    def load(self, idx, w, state):
+        """Plain and adaptive steps go on as if they had not stopped; the scales of normalised ones are met anew."""
+        at = np.asarray(idx, np.int64)
+        self.w[at], self.adapt[at] = w, np.nan_to_num(np.asarray(state, np.float64))
+
 
 @dataclass
 class FTRL(Kernel):
@@ -507,96 +516,134 @@ LEARNERS: dict[str, type[Kernel]] = {"gd": GD, "ftrl": FTRL, "pistol": Pistol, "
 
 @dataclass
 class Run:
-    """How to train: which kernel, over how many passes, with every ``period``-th example held out."""
+    """How to train: which kernel, over how many passes, with every ``holdout``-th example held out
+    (or those after the ``holdout_after``-th); ``patience`` bad passes end it. ``save_per_pass`` also
+    gives the weights after each pass but the last."""
 
     make: Callable[[], Kernel]
     passes: int = 1
     holdout: int = 0
     patience: int = 0
+    holdout_after: int = 0
+    save_per_pass: bool = False
     columns: tuple[str, ...] = field(default=("seq", "idx", "val", "y", "weight"))
 
+    def is_out(self, n: int) -> bool:
+        return bool(self.holdout_after and n > self.holdout_after) or bool(not self.holdout_after and self.holdout and n % self.holdout == 0)
+
+
+class _Lists:
+    """The rows of an Arrow list column as slices of one numpy array."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray, kind):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if column.null_count:
+            column = column.fill_null([])
+        self.flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        self.off = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
 
-def _examples(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, float, float]]:
-    seq, y, weight = (batch.column(k).to_pylist() for k in ("seq", "y", "weight"))
-    for i, v, s, label, w in zip(batch.column("idx").to_pylist(), batch.column("val").to_pylist(), seq, y, weight, strict=True):
-        yield s, np.array(i, np.int64), np.array(v, np.float64), label, w
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.off[k] : self.off[k + 1]]
 
 
-def train(examples: DataFrame, run: Run, group: list[str]) -> DataFrame:
+def train(examples: DataFrame, run: Run, group: list[str], start: DataFrame | None = None) -> DataFrame:
     """(group..., kind, seq, idx, p, w, state): a ``prediction`` row for each example, made before it was
-    learnt in the first pass, and ``weight`` rows of the model after the last.
+    learnt in the first pass, and ``weight`` rows of the model after the last; with ``save_per_pass``
+    also ``pass`` rows, whose ``seq`` is the number of the pass that they follow.
 
     ``examples`` has (group..., seq, idx array<long>, val array<double>, y, weight); a null label is
-    only predicted. Split a large model over shards by adding a shard column to ``group`` and average
-    with ``batch.merge``: a group is one task's work."""
+    only predicted. ``start`` (group..., idx, w, state) are weights and state to go on from. Split a
+    large model over shards by adding a shard column to ``group`` and average with ``batch.merge``:
+    a group is one task's work."""
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.select(*group).schema)
     schema = f"{keys}, kind string, seq long, idx long, p double, w double, state double"
 
-    def fold(key: tuple, table: pa.Table) -> pa.Table:
+    def fold(key: tuple, table: pa.Table, before: pa.Table | None = None) -> pa.Table:
         model = run.make()
-        rows = sorted(_examples(table), key=lambda x: x[0])
-        first: list[float] = []
-        best, bad = math.inf, 0
+        if before is not None and before.num_rows:
+            model.load(*(before[c].to_numpy(zero_copy_only=False) for c in ("idx", "w", "state")))
+        table = table.select(["seq", "idx", "val", "y", "weight"]).sort_by("seq")
+        idx, val = _Lists(table["idx"], np.int64), _Lists(table["val"], np.float64)
+        y, weight, n = table["y"].to_pylist(), table["weight"].to_pylist(), table.num_rows
+        first = np.zeros(n)
+        saved, best, bad = [], math.inf, 0
         for k in range(max(run.passes, 1)):
             held = 0.0
-            for n, (_, idx, val, y, weight) in enumerate(rows, 1):
-                out = run.holdout and n % run.holdout == 0
-                p = model.predict(idx, val) if y is None or out else model.learn(idx, val, y, weight)
-                if out and y is not None:
-                    held += weight * (p - y) ** 2
+            for j in range(n):
+                out, label = run.is_out(j + 1), y[j]
+                p = model.predict(idx[j], val[j]) if label is None or out else model.learn(idx[j], val[j], label, weight[j])
+                if out and label is not None:
+                    held += weight[j] * (p - label) ** 2
                 if k == 0:
-                    first.append(p)
+                    first[j] = p
             model.end_pass()
-            if run.holdout and run.patience:
+            if run.save_per_pass and k + 1 < run.passes:
+                saved.append((k + 1, *model.rows()))
+            if (run.holdout or run.holdout_after) and run.patience:
                 best, bad = (held, 0) if held < best else (best, bad + 1)
                 if bad >= run.patience:
                     break
-        at, w, state = model.rows()
-        n, m = len(rows), len(at)
-        cols = {name: pa.array([v.as_py() if hasattr(v, "as_py") else v] * (n + m), table.schema.field(name).type) for name, v in zip(group, key, strict=True)}
+        parts = [("pass", *x) for x in saved] + [("weight", None, *model.rows())]
+        at, w, state = (np.concatenate([np.asarray(x[k]) for x in parts]) for k in (2, 3, 4))
+        sizes, m = [len(x[2]) for x in parts], len(at)
+        cols = {name: pa.array([v.as_py() if hasattr(v, "as_py") else v] * (n + m), t) for (name, t), v in zip(types, key, strict=True)}
         cols |= {
-            "kind": pa.array(["prediction"] * n + ["weight"] * m),
-            "seq": pa.array([x[0] for x in rows] + [None] * m, pa.int64()),
-            "idx": pa.array([None] * n + [int(x) for x in at], pa.int64()),
-            "p": pa.array(first + [None] * m, pa.float64()),
-            "w": pa.array([None] * n + [float(x) for x in w], pa.float64()),
-            "state": pa.array([None] * n + [float(x) for x in state], pa.float64()),
+            "kind": pa.array(["prediction"] * n + [x[0] for x, s in zip(parts, sizes, strict=True) for _ in range(s)]),
+            "seq": pa.concat_arrays([table["seq"].combine_chunks().cast(pa.int64()), pa.array([x[1] for x, s in zip(parts, sizes, strict=True) for _ in range(s)], pa.int64())]),
+            "idx": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at.astype(np.int64))]),
+            "p": pa.concat_arrays([pa.array(first), pa.nulls(m, pa.float64())]),
+            "w": pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(w.astype(np.float64))]),
+            "state": pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(state.astype(np.float64))]),
         }
         return pa.table(cols)
 
-    return examples.groupBy(*group).applyInArrow(fold, schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = [(f.name, f.type) for f in to_arrow_schema(examples.select(*group).schema)]
+    if start is None:
+        return examples.groupBy(*group).applyInArrow(lambda key, table: fold(key, table), schema)
+    both = examples.groupBy(*group).cogroup(start.select(*group, "idx", "w", "state").groupBy(*group))
+    return both.applyInArrow(lambda key, table, before: fold(key, table, before), schema)
 
 
 def hashed(df: DataFrame, features: str, bits: int = 18) -> DataFrame:
-    """``df`` with ``idx`` and ``val`` for an array<struct<ns, name, value>> column: Arrow batches, no rows."""
-    from ..functions.hashing import name_hash
+    """``df`` with ``idx`` and ``val`` for an array<struct<ns, name, value>> column: the distinct names
+    of an Arrow batch are hashed together."""
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+    from ..functions.hashing import name_hashes
 
     mask = (1 << bits) - 1
 
     def run(batches):
-        spaces: dict[str, int] = {}
-        known: dict[tuple[str, str], int] = {}
         for batch in batches:
-            idx, val = [], []
-            for row in batch.column(batch.schema.names.index(features)).to_pylist():
-                own = []
-                for f in row or ():
-                    key = (f["ns"], f["name"])
-                    if key not in known:
-                        if len(known) > 1 << 18:
-                            known.clear()
-                        ns = spaces.setdefault(f["ns"], name_hash(f["ns"]) if f["ns"] else 0)
-                        known[key] = name_hash(f["name"], ns) & mask
-                    own.append(known[key])
-                idx.append(own)
-                val.append([f["value"] for f in row or ()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(idx, pa.list_(pa.int64())), pa.array(val, pa.list_(pa.float64()))], [*batch.schema.names, "idx", "val"])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "idx array<long>, val array<double>"])
-    return df.mapInArrow(run, fields)
+            lists = batch.column(batch.schema.names.index(features))
+            lists = lists.fill_null([]) if lists.null_count else lists
+            flat = lists.flatten()
+            ns, name = (flat.field(k).fill_null("").dictionary_encode() for k in ("ns", "name"))
+            spaces = ns.dictionary.to_pylist()
+            seeds = np.where([bool(x) for x in spaces], name_hashes(spaces, 0), 0).astype(np.int64) if spaces else np.zeros(0, np.int64)
+            pair = ns.indices.to_numpy().astype(np.int64) * max(len(name.dictionary), 1) + name.indices.to_numpy()
+            distinct, back = np.unique(pair, return_inverse=True)
+            words = name.dictionary.to_pylist()
+            made = name_hashes([words[k % max(len(words), 1)] for k in distinct], seeds[distinct // max(len(words), 1)] if len(distinct) else 0)
+            off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            idx = pa.ListArray.from_arrays(pa.array(off), pa.array((made.astype(np.int64) & mask)[back] if len(back) else np.zeros(0, np.int64)))
+            val = pa.ListArray.from_arrays(pa.array(off), flat.field("value").cast(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, idx, val], [*batch.schema.names, "idx", "val"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("idx", ArrayType(LongType())), StructField("val", ArrayType(DoubleType()))]))
+
+
+#: Most weights that are broadcast to score with.
+MOST_SENT = 4_000_000
 
 
 def scored(examples: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """Batch scoring with a trained model's ``weight`` rows: one join by index."""
+    """Batch scoring with a trained model's ``weight`` rows: one join by index, the weights broadcast if
+    counted small (the constant is in every example, so the other way would meet it in one task)."""
     rows = examples.select(key, F.explode(F.arrays_zip("idx", "val")).alias("z")).select(key, "z.idx", "z.val")
-    return rows.join(weights.where("kind = 'weight'").select("idx", "w"), "idx").groupBy(key).agg(F.sum(F.col("val") * F.col("w")).alias("score"))
+    own = weights.where("kind = 'weight'").select("idx", "w")
+    own = F.broadcast(own) if own.count() <= MOST_SENT else own
+    return rows.join(own, "idx").groupBy(key).agg(F.sum(F.col("val") * F.col("w")).alias("score"))

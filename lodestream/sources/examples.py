@@ -103,8 +103,11 @@ def multilabels(label: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(label, F.lit("")), ","), lambda w: w.rlike("^[0-9]+$")), lambda w: w.cast("int"))
 
 
-def with_events(lines: DataFrame, order: str, text: str = "value", *by: str) -> DataFrame:
-    """Multi-line examples: a blank line ends an event; ``event_id`` counts them within ``by``."""
+def with_events(lines: DataFrame, order: str, text: str, *by: str) -> DataFrame:
+    """Multi-line examples: a blank line ends an event; ``event_id`` counts them within ``by``, such
+    as the file, each of which is one task's sort."""
+    if not by:
+        raise ValueError("lines must be counted within something, such as their file")
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     blank = F.when(F.trim(text) == "", 1).otherwise(0)
     return lines.withColumn("event_id", F.coalesce(F.sum(blank).over(w), F.lit(0))).where(F.trim(text) != "")
@@ -143,14 +146,55 @@ def json_features(document: str | dict, ns: str = "") -> list[dict]:
     return out
 
 
+_JSON = f"label double, weight double, label_index int, action int, cost double, probability double, tag string, shared {FEATURES}, actions array<{FEATURES}>, slot_ids array<int>, slots array<struct<id:string,include:array<int>,features:{FEATURES}>>"
+
+
+def json_example(document: str | dict) -> dict:
+    """One JSON example: ``_label`` is a number or an object of Label, Weight; ``_label_cost``,
+    ``_label_probability``, ``_label_Action`` and ``_labelIndex`` name a logged action; ``_multi`` has
+    the actions (with ``_slot_id`` for slates), ``_slots`` the slots (``_id``, ``_inc``); the rest is shared."""
+    obj = json.loads(document) if isinstance(document, str) else document
+    label = obj.get("_label")
+    parts = label if isinstance(label, dict) else {"Label": label}
+    number = lambda x: None if x is None else float(x)
+    actions = obj.get("_multi") or []
+    return {
+        "label": number(parts.get("Label")), "weight": float(parts.get("Weight", 1.0)), "label_index": obj.get("_labelIndex"), "action": obj.get("_label_Action"),
+        "cost": number(obj.get("_label_cost")), "probability": number(obj.get("_label_probability")), "tag": obj.get("_tag"), "shared": json_features(obj),
+        "actions": [json_features(a) for a in actions], "slot_ids": [a.get("_slot_id") for a in actions],
+        "slots": [{"id": s.get("_id"), "include": s.get("_inc"), "features": json_features(s)} for s in obj.get("_slots") or []],
+    }
+
+
+def parse_json(lines: DataFrame, column: str) -> DataFrame:
+    """``lines`` with the parts of the JSON example in ``column``; malformed JSON is an error."""
+    import pyarrow.compute  # noqa: F401
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    made = StructType.fromDDL(_JSON)
+    kinds = to_arrow_schema(made)
+
+    def run(batches):
+        for batch in batches:
+            rows = [json_example(x) for x in batch.column(batch.schema.names.index(column)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[f.name] for r in rows], f.type) for f in kinds)], [*batch.schema.names, *kinds.names])
+
+    return lines.mapInArrow(run, StructType([*lines.schema.fields, *made.fields]))
+
+
 _DECISION = "EventId string, Timestamp string, _label_cost double, _label_probability double, _label_Action int, _labelIndex int, _skipLearn boolean, pdrop double, a array<int>, p array<double>, c string, o string, _outcomes string"
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return parse_decisions(spark.read.text(path), "value")
+
+
+def parse_decisions(lines: DataFrame, column: str) -> DataFrame:
     """Decision logs, one JSON object a line: cost, probability and index of the logged action,
     (action, probability) of all, the context as text, and the weight that dropped events leave to
     those that stayed. Events to be skipped are marked, never dropped here."""
-    raw = spark.read.text(path).select(F.from_json("value", _DECISION).alias("d"), F.col("value").alias("_raw")).select("d.*", "_raw")
+    raw = lines.select(F.col(column).alias("value")).select(F.from_json("value", _DECISION).alias("d"), F.col("value").alias("_raw")).select("d.*", "_raw")
     weight = F.when(F.coalesce("pdrop", F.lit(0.0)) < 1, 1.0 / (1.0 - F.coalesce("pdrop", F.lit(0.0)))).otherwise(F.raise_error(F.lit("pdrop is 1: an event that is always dropped")).cast("double"))
     index = F.coalesce(F.col("_labelIndex"), F.col("_label_Action") - 1)
     return raw.select(
@@ -187,13 +231,27 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", header: list[
         raise ValueError(f"{separator!r} can't separate")
     reader = spark.read.option("sep", separator).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", "false")
     df = reader.csv(path, header=file_header)
-    if header:
-        df = df.toDF(*header)
+    return csv_examples(df.toDF(*header) if header else df, scales)
+
+
+def parse_csv(lines: DataFrame, column: str, header: list[str], separator: str = ",", scales: dict[str, float] | None = None) -> DataFrame:
+    """The same for lines that a DataFrame holds; its other columns stay before the example's."""
+    if separator in '"|:':
+        raise ValueError(f"{separator!r} can't separate")
+    names = [f"c{k}" for k in range(len(header))]
+    cells = F.from_csv(F.col(column), ", ".join(f"{n} string" for n in names), {"sep": separator, "quote": '"', "escape": '"', "mode": "FAILFAST"})
+    rest = [c for c in lines.columns if c != column]
+    df = lines.select(*rest, cells.alias("__cells")).select(*rest, *[F.col(f"__cells.{n}").alias(h) for n, h in zip(names, header, strict=True)])
+    return csv_examples(df, scales, rest)
+
+
+def csv_examples(df: DataFrame, scales: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Columns of text as examples; those of ``keep`` are no features and stay."""
     parts = []
     for c in df.columns:
-        if c in ("_label", "_tag"):
+        if c in ("_label", "_tag", *(keep or ())):
             continue
-        ns, bar, name = c.rpartition("|")
+        ns, _, name = c.rpartition("|")
         cell = F.col(f"`{c}`")
         number = cell.try_cast("double")
         scale = (scales or {}).get(ns, 1.0)
@@ -201,7 +259,7 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", header: list[
     features = F.filter(F.array(*parts), lambda f: f.isNotNull() & (f["value"] != 0))
     label = F.col("_label") if "_label" in df.columns else F.lit(None).cast("string")
     tag = F.col("_tag") if "_tag" in df.columns else F.lit(None).cast("string")
-    return df.select(label.alias("label"), label.try_cast("double").alias("label_value"), F.lit(1.0).alias("weight"), tag.alias("tag"), features.cast(FEATURES).alias("features"))
+    return df.select(*(keep or ()), label.alias("label"), label.try_cast("double").alias("label_value"), F.lit(1.0).alias("weight"), tag.alias("tag"), features.cast(FEATURES).alias("features"))
 
 
 def from_columns(df: DataFrame, label: str | None = None, namespaces: dict[str, list[str]] | None = None, tag: str | None = None, weight: str | None = None) -> DataFrame:
@@ -212,3 +270,14 @@ def from_columns(df: DataFrame, label: str | None = None, namespaces: dict[str,
     features = F.filter(F.array(*[one(ns, c) for ns, cs in namespaces.items() for c in cs]), lambda f: f["name"].isNotNull() & (f["value"] != 0))
     pick = lambda c, default: F.col(c) if c else default
     return df.select(*df.columns, pick(label, F.lit(None).cast("double")).cast("double").alias("label_value"), pick(weight, F.lit(1.0)).alias("weight_"), pick(tag, F.lit(None).cast("string")).alias("tag_"), features.cast(FEATURES).alias("features"))
+
+
+def first_examples(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` examples in order: Spark keeps ``n`` rows a task, never the whole sort."""
+    return df.orderBy(order).limit(n)
+
+
+def cached(examples: DataFrame, path: str) -> DataFrame:
+    """Parsed examples as Parquet: later passes and runs read them without parsing."""
+    examples.write.mode("overwrite").parquet(path)
+    return examples.sparkSession.read.schema(examples.schema).parquet(path)

@@ -35,9 +35,21 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def readable_model(weights: DataFrame, index: str = "idx", weight: str = "w") -> DataFrame:
-    """``index:weight`` lines in order of the index: a range-partitioned sort, no single writer."""
-    return weights.where(F.col(weight) != 0).orderBy(index).select(F.concat(F.col(index).cast("string"), F.lit(":"), F.col(weight).cast("string")).alias("value"))
+def readable_model(weights: DataFrame, index: str = "idx", weight: str = "w", hexadecimal: bool = False) -> DataFrame:
+    """``index:weight`` lines in order of the index: a range-partitioned sort, no single writer.
+    Hexadecimal floats lose no digit."""
+    number = F.format_string("%a", F.col(weight)) if hexadecimal else F.col(weight).cast("string")
+    return weights.where(F.col(weight) != 0).orderBy(index).select(F.concat(F.col(index).cast("string"), F.lit(":"), number).alias("value"))
+
+
+def example_lines(examples: DataFrame, label: str, weight: str | None = None, tag: str | None = None, features: str = "features") -> DataFrame:
+    """Examples as text lines, ``label [weight] ['tag]|ns name:value ...``, a namespace a run of its features."""
+    f = F.col(features)
+    spaces = F.array_distinct(F.transform(f, lambda x: x["ns"]))
+    word = lambda x: F.concat(x["name"], F.lit(":"), x["value"].cast("string"))
+    runs = F.transform(spaces, lambda ns: F.concat(F.lit("|"), F.concat_ws(" ", ns, F.array_join(F.transform(F.filter(f, lambda x: x["ns"] == ns), word), " "))))
+    head = F.concat_ws(" ", F.col(label).cast("string"), *([F.col(weight).cast("string")] if weight else []), *([F.concat(F.lit("'"), F.col(tag))] if tag else []))
+    return examples.select(F.concat_ws(" ", head, F.array_join(runs, " ")).alias("value"))
 
 
 def named_model(weights: DataFrame, names: DataFrame, index: str = "idx", weight: str = "w") -> DataFrame:
