@@ -132,3 +132,23 @@ class Merand48:
             p /= k
             total += p
         return k
+
+
+def chained_index(namespace: Column, name: Column, value: Column, bits: int = DEFAULT_BITS) -> Column:
+    """Index of a string feature by a chain of hashes, of the value seeded by that of the name, which
+    the namespace's seeds, so that ``ns.name = value`` never collides with the text ``name=value``."""
+
+    def run(ns: pd.Series, n: pd.Series, v: pd.Series) -> pd.Series:
+        h = name_hashes(n.fillna("").tolist(), np.where(ns.fillna("") == "", 0, name_hashes(ns.fillna("").tolist())).astype(np.int64))
+        return pd.Series(name_hashes(v.fillna("").tolist(), h.astype(np.int64)).astype(np.int64) & ((1 << bits) - 1))
+
+    return F.pandas_udf(run, LongType())(namespace, name, value)
+
+
+def draws(seed: Column) -> Column:
+    """(uniform, poisson1) of a generator seeded by a column of whole numbers, each its first draw."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"uniform": [Merand48(int(x)).uniform() for x in s], "poisson": [Merand48(int(x)).poisson1() for x in s]})
+
+    return F.pandas_udf(run, "uniform double, poisson long")(seed)

@@ -23,7 +23,7 @@ LAYERS: dict[str, tuple[str, ...]] = {
     "active": (), "replay": (), "baseline": (), "binary": (), "automl": ("cb_explore_adf",),
 }
 BASES = ("gd", "ftrl", "pistol", "coin", "freegrad", "svrg", "nn", "mf", "ksvm", "OjaNewton", "noop", "bfgs")
-VALUES = ("q", "quadratic", "cubic", "interactions", "ngram", "skips", "ignore", "keep", "b", "bit_precision", "l", "learning_rate", "power_t", "l1", "l2", "passes", "loss_function", "epsilon", "gamma_scale", "lambda", "bag", "cover", "first", "cb_type", "holdout_period", "early_terminate", "quantile_tau", "link", "rank", "seed", "clip_p")
+VALUES = ("q", "quadratic", "cubic", "interactions", "ngram", "skips", "ignore", "keep", "b", "bit_precision", "l", "learning_rate", "power_t", "l1", "l2", "passes", "loss_function", "epsilon", "gamma_scale", "lambda", "bag", "cover", "first", "cb_type", "holdout_period", "early_terminate", "quantile_tau", "link", "rank", "seed", "clip_p", "ignore_linear", "experimental_full_name_interactions")
 FLAGS = ("noconstant", "sgd", "adaptive", "normalized", "invariant", "squarecb", "softmax", "holdout_off", "leave_duplicate_interactions", "permutations")
 
 
@@ -90,11 +90,15 @@ class Stack:
             f = features.ignore(f, *c)
         if keep := self.options.get("keep"):
             f = features.keep(f, *[c for s in keep for c in s])
+        for c in self.options.get("ignore_linear", []):
+            f = features.ignore(f, *c)
         patterns = [p for name in ("q", "cubic", "interactions") for p in self.options.get(name, [])]
         if patterns:
-            spaces = sorted({r[0][:1] for r in df.select(F.explode(F.transform(column, lambda x: x["ns"]))).distinct().limit(256).collect()}) if any(":" in p for p in patterns) else []
+            spaces = sorted({r[0] for r in df.select(F.explode(F.array_distinct(F.transform(column, lambda x: F.left(x["ns"], F.lit(1)))))).distinct().collect()}) if any(":" in p for p in patterns) else []
             parts = [features.interactions(F.col(column), list(p), "permutations" in self.options) for p in features.expand_wildcards(patterns, spaces, "leave_duplicate_interactions" in self.options)]
             f = F.concat(f, *parts)
+        for names in self.options.get("experimental_full_name_interactions", []):
+            f = F.concat(f, features.interactions(F.col(column), names.split("|"), "permutations" in self.options))
         return df.withColumn(column, f if "noconstant" in self.options else features.constant(f))
 
     def kernel(self) -> Callable[[], Kernel]:

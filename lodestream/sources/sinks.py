@@ -12,10 +12,14 @@ def prediction_lines(df: DataFrame, prediction: str, tag: str | None = None, raw
     return df.select(F.concat_ws(" ", value, F.col(tag)).alias("value") if tag else value.alias("value"))
 
 
-def action_lines(df: DataFrame, pmf: str) -> DataFrame:
-    """``action:probability,...`` of multi-action events, followed by an empty line."""
+def action_line(pmf: Column | str) -> Column:
+    """``action:probability,...`` of a multi-action event, followed by an empty line."""
     words = F.transform(pmf, lambda p, i: F.concat(i.cast("string"), F.lit(":"), F.round(p, 6).cast("string")))
-    return df.select(F.concat(F.concat_ws(",", words), F.lit("\n")).alias("value"))
+    return F.concat(F.concat_ws(",", words), F.lit("\n"))
+
+
+def action_lines(df: DataFrame, pmf: str) -> DataFrame:
+    return df.select(action_line(pmf).alias("value"))
 
 
 def write_predictions(lines: DataFrame, path: str) -> None:
@@ -42,14 +46,17 @@ def readable_model(weights: DataFrame, index: str = "idx", weight: str = "w", he
     return weights.where(F.col(weight) != 0).orderBy(index).select(F.concat(F.col(index).cast("string"), F.lit(":"), number).alias("value"))
 
 
-def example_lines(examples: DataFrame, label: str, weight: str | None = None, tag: str | None = None, features: str = "features") -> DataFrame:
-    """Examples as text lines, ``label [weight] ['tag]|ns name:value ...``, a namespace a run of its features."""
+def example_line(label: str, weight: str | None = None, tag: str | None = None, features: str = "features") -> Column:
+    """An example as text, ``label [weight] ['tag] |ns name:value ...``, a namespace a run of its features."""
     f = F.col(features)
-    spaces = F.array_distinct(F.transform(f, lambda x: x["ns"]))
     word = lambda x: F.concat(x["name"], F.lit(":"), x["value"].cast("string"))
-    runs = F.transform(spaces, lambda ns: F.concat(F.lit("|"), F.concat_ws(" ", ns, F.array_join(F.transform(F.filter(f, lambda x: x["ns"] == ns), word), " "))))
+    runs = F.transform(F.array_distinct(F.transform(f, lambda x: x["ns"])), lambda ns: F.concat(F.lit("|"), F.concat_ws(" ", ns, F.array_join(F.transform(F.filter(f, lambda x: x["ns"] == ns), word), " "))))
     head = F.concat_ws(" ", F.col(label).cast("string"), *([F.col(weight).cast("string")] if weight else []), *([F.concat(F.lit("'"), F.col(tag))] if tag else []))
-    return examples.select(F.concat_ws(" ", head, F.array_join(runs, " ")).alias("value"))
+    return F.concat_ws(" ", head, F.array_join(runs, " "))
+
+
+def example_lines(examples: DataFrame, label: str, weight: str | None = None, tag: str | None = None, features: str = "features") -> DataFrame:
+    return examples.select(example_line(label, weight, tag, features).alias("value"))
 
 
 def named_model(weights: DataFrame, names: DataFrame, index: str = "idx", weight: str = "w") -> DataFrame:
