@@ -4,14 +4,15 @@ Each distinct shingle set (documents with equal sets are one class from the star
 MinHash signature, cut into ``trees`` keys of ``depth`` values. Every tree is the sorted order
 of all classes by one key, so that classes whose keys share a prefix stand together: those that
 share ``least`` leading values are a region. Candidates are longest-common-prefix neighbours: a
-class meets the ``near`` classes before it in its region, which are those that share the longest
-prefixes with it, so that the depth adapts to how crowded the region is, and the region's first.
+class meets the classes before it in its region, which are those that share the longest prefixes with
+it, so that the depth adapts to how crowded the region is: ``near`` of them in a small region, two
+and the region's first in a crowded one.
 Candidates are confirmed on the full shingle sets, components are the least id reachable over
 confirmed links, by rounds of joins over tables in the shared folder.
 
 A pair whose ends other confirmed links already join need not be confirmed: it can't change a
-component. So the likeliest candidate of each class is confirmed first, and of the rest only
-what still joins two components.
+component. So the likeliest candidate of each class is confirmed first, then the next ones, in
+turns, of those that could still join two components.
 
 A region of more than ``near`` + 1 classes (or one that goes on in the next partition) isn't
 compared in full by that. Its class with most neighbours over all trees meets all others of it,
@@ -26,11 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
+#: Classes before it that a class of a crowded region meets.
+CLOSEST = 2
 #: Classes on each side of a tile.
 TILE = 1024
 
@@ -100,8 +104,9 @@ def _sketch(docs: DataFrame, words: int, values: int) -> DataFrame:
 
 
 def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, near: int, percent: int) -> DataFrame:
-    """Rows (a, b, null) are candidate pairs, a < b, as often as trees show them; rows (c, null,
-    region) are the classes of regions that these pairs don't compare in full.
+    """Rows (a, b, null, alone) are candidate pairs, a < b, as often as trees show them, ``alone`` (1)
+    if their region is compared in full by them; rows (c, null, region, n) are the classes of the
+    other regions, where a class only meets the ``CLOSEST`` before it and the region's first.
 
     Rows (tree, key, class) are range-partitioned by all three, which deals a crowded prefix over
     partitions, and sorted. Stretches of the stream are compared with the ``near`` rows before
@@ -120,28 +125,28 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, near: in
         start = np.concatenate([[True], ~same])
         region = np.cumsum(start) - 1
         first = np.flatnonzero(start)
-        a, b = [], []
+        size = np.diff(np.append(first, len(c)))
+        part = size > near + 1
+        part[0] |= open_first
+        part[-1] |= open_last
+        a, b, alone = [], [], []
 
-        def meet(x, y, nx, ny):
+        def meet(x, y, nx, ny, known):
             ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (x != y)
-            a.append(np.minimum(x, y)[ok]), b.append(np.maximum(x, y)[ok])
+            a.append(np.minimum(x, y)[ok]), b.append(np.maximum(x, y)[ok]), alone.append(~known[ok])
 
         for k in range(1, min(near, len(c) - 1) + 1):
             at = np.arange(max(k, fresh), len(c))
-            at = at[region[at] == region[at - k]]
-            meet(c[at], c[at - k], n[at], n[at - k])
+            at = at[(region[at] == region[at - k]) & ((k <= CLOSEST) | ~part[region[at]])]
+            meet(c[at], c[at - k], n[at], n[at - k], part[region[at]])
         fc, fn = c[first].copy(), n[first].copy()
         if head_c is not None:
             fc[0], fn[0] = head_c, head_n
         at = np.arange(fresh, len(c))
         at = at[(at - first[region[at]] > near) | ((region[at] == 0) & (head_c is not None))]
-        meet(c[at], fc[region[at]], n[at], fn[region[at]])
-        size = np.diff(np.append(first, len(c)))
-        part = size > near + 1
-        part[0] |= open_first
-        part[-1] |= open_last
+        meet(c[at], fc[region[at]], n[at], fn[region[at]], part[region[at]])
         told = np.flatnonzero(part[region] & (np.arange(len(c)) >= fresh))
-        return np.concatenate(a), np.concatenate(b), told
+        return np.concatenate(a), np.concatenate(b), np.concatenate(alone).astype(np.int64), told
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -152,8 +157,8 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int, near: in
             t = pa.Table.from_batches(held).combine_chunks()
             tree, c, n = (t.column(k).to_numpy() for k in (0, 2, 3))
             key = C.text_bytes(t.column(1))[0].reshape(len(c), wide).view(">u2")
-            a, b, told = compare(tree, key, c, n, *head, fresh, not begun or head[0] is not None, True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names)
+            a, b, alone, told = compare(tree, key, c, n, *head, fresh, not begun or head[0] is not None, True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.array(alone)], names)
             if len(told):
                 hashed = C.mix(C.mix(np.ascontiguousarray(key[told, :least].astype(np.uint64)) @ weights) + tree[told].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(c[told]), pa.nulls(len(told), pa.int64()), pa.array(hashed.view(np.int64)), pa.array(n[told])], names)
@@ -221,6 +226,12 @@ def components(edges: DataFrame, rounds: int = 2) -> DataFrame:
             return labels.select(F.col("a").alias("c"), F.col("l").alias("component"))
 
 
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes in different components."""
+    at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def _labelled(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(region, c, n, l) of the regions with several components l, and for each of these regions
     (region, main, size, rest): its largest component, its classes, and those outside of it."""
@@ -313,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = C.cut(classes, "near-classes", sketch.count(), 4000)
     met = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, near, percent), "near-neighbours")
     found = met.where("region IS NULL")
-    pairs = C.cut(found.groupBy("a", "b").agg(F.count("*").alias("trees")), "near-pairs", found.count(), 50_000)
+    pairs = C.cut(found.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("n").alias("alone")), "near-pairs", found.count(), 50_000)
     members = met.where("region IS NOT NULL").select("region", F.col("a").alias("c"), "n").distinct()
     sizes = members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
     members = C.cut(members.join(sizes, "region"), "near-members", met.where("region IS NOT NULL").count(), 50_000)
@@ -321,18 +332,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = C.cut(ends, "near-ends", classes.count(), 50_000)
     texts = C.cut(C.with_small(src.withColumnRenamed("id", "c"), ends, "c").groupBy("c").agg(F.min("text").alias("text")), "near-texts", ends.count(), 2000)
 
-    best = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    best = C.cut(best, "near-best", ends.count())
-    links = C.cut(_confirm(best, texts, words, percent), "near-links", best.count(), 1000)
-    joined = components(links)
+    # A class's candidates in the order of their likelihood: the next ones are confirmed while they could
+    # join components. What is left of crowded regions' after two turns is left to the tiles.
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("trees"), "a"))
+    ranked = C.cut(pairs.withColumn("rank", rank).where("rank <= 8 OR alone = 1").select("a", "b", "rank"), "near-ranked", pairs.count(), 50_000)
+    links = joined = None
+    for first, last in ((1, 1), (2, 8), (9, 64), (65, None)):
+        turn = ranked.where(F.col("rank") >= first if last is None else F.col("rank").between(first, last)).select("a", "b")
+        turn = C.cut(turn if joined is None else _apart(turn, joined), "near-turn", turn.count(), 50_000)
+        if turn.isEmpty() and joined is not None:
+            continue
+        found = C.cut(_confirm(turn, texts, words, percent), "near-links", turn.count(), 1000)
+        if joined is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            joined = components(links)
     open_, info = _labelled(members.select("region", "c", "n"), joined)
-    top = _tops(open_, members, percent)
-    at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
-    rest = pairs.select("a", "b").unionByName(top).distinct().join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    rest = C.cut(rest.join(best, ["a", "b"], "left_anti"), "near-rest", pairs.count(), 50_000)
-    more = C.cut(_confirm(rest, texts, words, percent), "near-links", rest.count(), 1000)
-    if not more.isEmpty():
-        links = links.unionByName(more)
+    top = C.cut(_tops(open_, members, percent).join(ranked, ["a", "b"], "left_anti"), "near-turn", open_.count())
+    found = C.cut(_confirm(top, texts, words, percent), "near-links", open_.count(), 1000)
+    if not found.isEmpty():
+        links = links.unionByName(found)
         joined = components(links)
         open_, info = _labelled(open_.select("region", "c", "n"), joined)
     if not info.isEmpty():
