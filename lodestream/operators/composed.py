@@ -55,6 +55,69 @@ class OneAgainstAll(Kernel):
         return np.concatenate([a + (k << self.bits) for k, (a, _, _) in enumerate(parts)]), np.concatenate([w for _, w, _ in parts]), np.concatenate([x for _, _, x in parts])
 
 
+@dataclass
+class MultilabelOneAgainstAll(OneAgainstAll):
+    """A binary problem for each class; ``y`` is the list of an example's classes (from 1). A
+    prediction is the set of classes that score above 0, as the sum of 2^(class - 1)."""
+
+    def predict(self, idx, val):
+        return float(sum(1 << k for k, x in enumerate(self.scores(idx, val)) if x > 0))
+
+    def learn(self, idx, val, y, weight):
+        p, own = self.predict(idx, val), set(y)
+        for k, s in enumerate(self.slots, 1):
+            s.learn(idx, val, 1.0 if k in own else -1.0, weight)
+        return p
+
+
+@dataclass
+class Bootstrap(Kernel):
+    """Replicas that see each example a Poisson(1) number of times; the mean of what they predict, or the most frequent."""
+
+    replicas: int = 4
+    kind: str = "mean"
+    loss: str = "squared"
+    seed: int = 0
+    bits: int = 14
+    make: Maker = _base
+
+    def __post_init__(self):
+        self.slots, self.random = [self.make(self.bits, self.loss) for _ in range(self.replicas)], Merand48(self.seed)
+
+    def predict(self, idx, val):
+        each = [s.predict(idx, val) for s in self.slots]
+        if self.kind == "mean":
+            return float(np.mean(each))
+        counts = Counter(each)
+        return min(counts, key=lambda x: (-counts[x], x))
+
+    def learn(self, idx, val, y, weight):
+        p = self.predict(idx, val)
+        for s in self.slots:
+            if times := self.random.poisson1():
+                s.learn(idx, val, y, weight * times)
+        return p
+
+    def rows(self):
+        return _stack([s.rows() for s in self.slots], self.bits)
+
+
+@dataclass
+class Signed(Kernel):
+    """-1 or 1 by the sign of another learner's prediction."""
+
+    base: Kernel
+
+    def predict(self, idx, val):
+        return 1.0 if self.base.predict(idx, val) > 0 else -1.0
+
+    def learn(self, idx, val, y, weight):
+        return 1.0 if self.base.learn(idx, val, y, weight) > 0 else -1.0
+
+    def rows(self):
+        return self.base.rows()
+
+
 @dataclass
 class Tournament(OneAgainstAll):
     """Error-correcting tournament: pairs of classes meet, a second bracket lets each lose once."""

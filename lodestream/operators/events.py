@@ -182,3 +182,23 @@ class BaselineChallenger:
         self.policy.learn(actions, chosen, cost, p)
         mean = self.total / self.n if self.n else 0.0
         return (0 if self.lower_bound(self.stats) > mean else best), mean, self.n
+
+
+def learn_slots(policy: Policy, actions, slots, outcomes, pools=None):
+    """(slot, best action, distribution) of an event's slots, each before it is learnt. What the log took
+    for a slot is gone for the next ones; with ``pools`` (slates) each slot has actions of its own and
+    the event's one cost. A null outcome is not learnt."""
+    left, out = list(range(len(actions))), []
+    for s, ((si, sv), outcome) in enumerate(zip(slots, outcomes, strict=True)):
+        mine = pools[s] if pools else list(left)
+        joined = [(np.concatenate([actions[a][0], si]), np.concatenate([actions[a][1], sv])) for a in mine]
+        if outcome is None or outcome["action"] not in mine:
+            pmf = policy.distribution(joined)
+            taken = mine[int(np.argmax(pmf))]
+        else:
+            taken = outcome["action"]
+            pmf = policy.learn(joined, mine.index(taken), outcome["cost"], outcome["p"])
+        out.append((s, mine[int(np.argmax(pmf))], pmf))
+        if not pools:
+            left.remove(taken)
+    return out

@@ -108,6 +108,10 @@ class Kernel:
     def predict(self, idx: np.ndarray, val: np.ndarray) -> float:
         raise NotImplementedError
 
+    def _raw(self, idx: np.ndarray, val: np.ndarray) -> float:
+        """The prediction without bounds, where a learner has any."""
+        return self.predict(idx, val)
+
     def learn(self, idx: np.ndarray, val: np.ndarray, y: float, weight: float) -> float:
         """Learns and returns the prediction made before."""
         raise NotImplementedError

@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import asking, composed, events, online
+from ..operators import asking, composed, events, features, online
 from .data import COST_SCALE, LOG_SQL, action_costs, log
 from .learning import _actions, _bandit, _stream, _typed
 from .queries import ORACLE_SQL, QUERIES, r
+from .stack import Stack
 
 
 def lets(source: str, levels: list[dict[str, str]]) -> str:
@@ -232,16 +233,17 @@ def _wide_start() -> str:
     return f"list_transform(range({WIDE}), lambda z: 0.0::DOUBLE)"
 
 
-def _step_level(k: int, w: str, j: str, target: str, weight: str = "1") -> tuple[list[dict[str, str]], str]:
-    """Levels of one squared-loss step of action ``j`` towards ``target`` (weights named w, bounds lo, hi)."""
-    raw = f"{w}[({j}) + 1] + 0.5::DOUBLE * {w}[sh + 1] + {w}[own[({j}) + 1] + 1]"
+def _step_level(k: int, w: str, j: str, target: str, weight: str = "1", extra: int | None = None) -> tuple[list[dict[str, str]], str]:
+    """Levels of one squared-loss step of action ``j`` towards ``target`` (weights named w, bounds lo, hi);
+    ``extra`` is one more feature of the example."""
+    raw = f"{w}[({j}) + 1] + 0.5::DOUBLE * {w}[sh + 1] + {w}[own[({j}) + 1] + 1]" + (f" + {w}[{extra + 1}]" if extra is not None else "")
     a, name = f"{w}_{k}", w.split("_")[0]
     lo, hi = (f"{name}_lo" if k == 0 else f"{name}_lo{k}"), (f"{name}_hi" if k == 0 else f"{name}_hi{k}")
     levels = [
         {f"{name}_t{k}": f"({target})"},
         {f"{name}_lo{k + 1}": f"least({lo}, {name}_t{k})", f"{name}_hi{k + 1}": f"greatest({hi}, {name}_t{k})"},
         {f"{name}_m{k}": f"0.2::DOUBLE * ({weight}) * ({name}_t{k} - least(greatest({raw}, {name}_lo{k + 1}), {name}_hi{k + 1}))"},
-        {a: f"list_transform({w}, lambda z, i: z + {name}_m{k} * CASE WHEN i - 1 = ({j}) OR i - 1 = own[({j}) + 1] THEN 1 WHEN i - 1 = sh THEN 0.5::DOUBLE ELSE 0 END)"},
+        {a: f"list_transform({w}, lambda z, i: z + {name}_m{k} * CASE WHEN i - 1 = ({j}) OR i - 1 = own[({j}) + 1]{'' if extra is None else f' OR i - 1 = {extra}'} THEN 1 WHEN i - 1 = sh THEN 0.5::DOUBLE ELSE 0 END)"},
     ]
     return levels, a
 
@@ -446,4 +448,93 @@ register(
              "event_id, round(abs(p) / sens, 5) AS confidence"),
 )
 
+
+# --- slots, and stacks of options -----------------------------------------------------------------
+
+
+def _slot_levels(pools: list[list[int]] | None) -> tuple[list[dict[str, str]], str]:
+    """Two slots an event: the distribution of each before its step, then the step of what was logged."""
+    per = [len(p) for p in pools] if pools else [5, 4]
+    levels, w = [], "w"
+    for s in range(2):
+        mine = f"{pools[s]}" if pools else ("[0, 1, 2, 3, 4]" if s == 0 else "[j FOR j IN range(5) IF j <> t0]")
+        levels.append({f"in{s}": mine, f"t{s}": (f"a % {len(pools[s])} + {pools[s][0]}" if pools else ("a" if s == 0 else "(a + 1) % 5"))})
+        levels.append({f"cs{s}": f"[{w}[j + 1] + 0.5::DOUBLE * {w}[sh + 1] + {w}[own[j + 1] + 1] + {w}[{60 + s + 1}] FOR j IN in{s}]"})
+        levels.append({f"q{s}": f"0.05::DOUBLE / {per[s]} + 0.95::DOUBLE * CASE WHEN cs{s}[list_position(in{s}, t{s})] = list_min(cs{s}) THEN 1 ELSE 0 END / len(list_filter(cs{s}, lambda z: z = list_min(cs{s})))"})
+        seen = f"({sum(per)} * (n - 1) + {sum(per[: s + 1])})"
+        more, w = _step_level(s, w, f"t{s}", "cost" if pools or s == 0 else "1 - cost", f"1 / lp * (2 * n - {1 - s}) / {seen}", extra=60 + s)
+        levels += more
+    return levels, w
+
+
+def _slots(name: str, pools: list[list[int]] | None) -> None:
+    def query(spark, sf):
+        def run(rows):
+            policy, out = composed.Policy(bits=6, make=composed.plain()), []
+            slots = [(np.array([60 + s], np.int64), np.ones(1)) for s in range(2)]
+            for x in rows:
+                taken = [pools[s][0] + x["a"] % len(pools[s]) for s in range(2)] if pools else [x["a"], (x["a"] + 1) % 5]
+                outcomes = [{"action": taken[s], "cost": x["cost"] if pools or s == 0 else 1 - x["cost"], "p": x["p"]} for s in range(2)]
+                got = events.learn_slots(policy, _actions(x), slots, outcomes, pools)
+                mine = [pools[0] if pools else list(range(5)), pools[1] if pools else [j for j in range(5) if j != taken[0]]]
+                out.append({"event_id": x["event_id"], "p0": round(float(got[0][2][mine[0].index(taken[0])]), 5), "p1": round(float(got[1][2][mine[1].index(taken[1])]), 5)})
+            return out
+
+        return _bandit(spark, sf, run, [("event_id", pa.int64()), ("p0", pa.float64()), ("p1", pa.float64())])
+
+    levels, last = _slot_levels(pools)
+    register(name, query, fold_sql(_CB, {"w": (_wide_start(), last), "w_lo": (D0, "w_lo2"), "w_hi": (D0, "w_hi2")}, levels, "event_id, round(q0, 5) AS p0, round(q1, 5) AS p1"))
+
+
+_slots("ccb_plain_online", None)
+_slots("slates_plain_online", [[0, 1, 2], [3, 4]])
+
+_PLAIN = "--sgd -l 0.1 --power_t 0 --noconstant -b 14"
+
+
+def _named_actions(spark, sf):
+    """The same actions as ``_actions`` has, by name."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.array(features.feature("a", F.concat(F.lit("j"), j)), features.feature("o", F.concat_ws("_", j, F.col("k") % 8))))
+    return log(spark, sf).select("user_id", F.col("event_id").alias("seq"), F.array(features.feature("s", F.concat(F.lit("k"), F.col("k") % 8), 0.5)).alias("shared"), own.alias("actions"), F.col("a").alias("chosen"), "cost", "p", action_costs().alias("costs"))
+
+
+def _stacked(name: str, options: str, like: str, column: str) -> None:
+    """A stack's training on named features against the SQL of the same learner on numbered ones."""
+
+    def query(spark, sf):
+        rows = _named_actions(spark, sf)
+        out = Stack.parse(f"{options} {_PLAIN}").fit_events(rows, ["user_id"])
+        if column == "best":
+            return out.select(F.col("seq").alias("event_id"), F.col("best").cast("long").alias("best"))
+        return out.join(rows.select("seq", "chosen"), "seq").select(F.col("seq").alias("event_id"), r(F.get("pmf", F.col("chosen")), 5).alias("p"))
+
+    register(name, query, ORACLE_SQL[like])
+
+
+_stacked("stack_cb_explore_adf", "--cb_explore_adf --epsilon 0.05 --cb_type mtr", "cb_adf_mtr_epsilon_plain", "p")
+_stacked("stack_cb_softmax", "--cb_explore_adf --softmax --lambda 1 --cb_type ips", "cb_adf_ips_softmax_plain", "p")
+_stacked("stack_cb_squarecb", "--cb_explore_adf --squarecb --gamma_scale 10 --cb_type ips", "cb_adf_ips_squarecb_plain", "p")
+_stacked("stack_cb_first", "--cb_explore_adf --first 10 --cb_type dr", "cb_adf_dr_first_plain", "p")
+_stacked("stack_cb_sm", "--cb_explore_adf --softmax --cb_type sm", "cb_adf_sm_plain", "p")
+_stacked("stack_csoaa_ldf", "--csoaa_ldf --csoaa_type oaa", "csoaa_ldf_plain", "best")
+_stacked("stack_csoaa_ldf_mc", "--csoaa_ldf --csoaa_type mc", "csoaa_ldf_mc_plain", "best")
+_stacked("stack_wap_ldf", "--wap_ldf", "wap_ldf_plain", "best")
+
+
+def _stacked_classes(name: str, options: str, like: str, label) -> None:
+    def query(spark, sf):
+        typed = _typed(spark, sf).drop("idx", "val").join(log(spark, sf).select(F.col("event_id").alias("seq"), "k", "value", action_costs().alias("costs")), "seq")
+        f = F.array(features.feature("u", F.concat(F.lit("k"), F.col("k") % 16)), features.feature("v", F.concat(F.lit("b"), F.floor(F.col("value") / 25) % 16)))
+        rows = typed.select("user_id", "seq", "weight", f.alias("features"), F.expr(label).alias("y"))
+        out = Stack.parse(f"{options} {_PLAIN}").fit(rows, ["user_id"]).predictions
+        return out.select("user_id", F.col("seq").alias("event_id"), r("p").alias("p"))
+
+    register(name, query, ORACLE_SQL[like])
+
+
+_stacked_classes("stack_oaa", "--oaa 5", "oaa_plain_online", "y")
+_stacked_classes("stack_boosting", "--boosting 3", "boosting_plain_online", "CASE WHEN y = 1 THEN 1D ELSE -1D END")
+_stacked_classes("stack_csoaa", "--csoaa 5", "csoaa_plain_online", "costs")
+_stacked_classes("stack_plt", "--plt 4", "plt_plain_online", "y % 4")
+
 __all__ = ["QUERIES"]
