@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exploration import let
+
 #: What a logged probability of 0 or less is taken for.
 LEAST_PROBABILITY = 1e-3
 
@@ -51,6 +53,34 @@ def pmf_to_pdf(centre: Column, low: float, high: float, bandwidth: float) -> Col
     return F.filter(parts, lambda s: s["right"] > s["left"])
 
 
+def one_point(chosen: Column, classes: int) -> Column:
+    """All probability on one class (from 0)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == chosen, 1.0).otherwise(0.0))
+
+
+def spread_pmf(pmf: Column, low: float, high: float, bandwidth: int) -> Column:
+    """(left, right, density) of every bin of equal width: each bin's probability is spread evenly over
+    the bins up to ``bandwidth`` away that exist."""
+
+    def of(held: Column) -> Column:
+        n = F.size(held)
+        unit = (F.lit(high) - F.lit(low)) / n
+
+        def density(k: Column) -> Column:
+            first = F.greatest(k - bandwidth, F.lit(0))
+            near = F.transform(F.sequence(first, F.least(k + bandwidth, n - 1)), lambda j: F.get(held, j) / (F.least(j + bandwidth, n - 1) - F.greatest(j - bandwidth, F.lit(0)) + 1))
+            return F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / unit
+
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((F.lit(low) + k * unit).alias("left"), (F.lit(low) + (k + 1) * unit).alias("right"), density(k).alias("density")))
+
+    return let(pmf, of)
+
+
+def continuous_policy(chosen: Column, classes: int, low: float, high: float, bandwidth: int, epsilon: float) -> Column:
+    """The density that a tree's bin stands for: spread over the bandwidth, mixed with the uniform one."""
+    return mix_pdf(spread_pmf(one_point(chosen, classes), low, high, bandwidth), epsilon, low, high)
+
+
 def mix_pdf(segments: Column, epsilon: float, low: float, high: float) -> Column:
     return F.transform(segments, lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right"), (s["density"] * (1 - epsilon) + epsilon / (high - low)).alias("density")))
 

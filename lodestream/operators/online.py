@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 LEAST_SQUARE = 1.17549435e-38
 
 
+#: Other names of losses.
+ALIASES = {"absolute": "quantile", "pinball": "quantile", "classic": "squared", "log": "logistic"}
+
+
 def loss_value(name: str, p: float, y: float, tau: float = 0.5) -> float:
     if name == "squared":
         return (p - y) ** 2
@@ -33,6 +37,9 @@ def loss_value(name: str, p: float, y: float, tau: float = 0.5) -> float:
     if name == "quantile":
         e = y - p
         return tau * e if e > 0 else (tau - 1) * e
+    if name == "expectile":
+        e = y - p
+        return (tau if e > 0 else 1 - tau) * e * e
     if name == "poisson":
         return 2 * (y * (math.log(y + 1e-6) - p) - (y - math.exp(min(p, 44.0))))
     raise ValueError(name)
@@ -47,6 +54,8 @@ def loss_slope(name: str, p: float, y: float, tau: float = 0.5) -> float:
         return -y / (1 + math.exp(min(y * p, 500.0)))
     if name == "quantile":
         return -tau if y > p else (1 - tau) if y < p else 0.0
+    if name == "expectile":
+        return 2 * (tau if y > p else 1 - tau) * (p - y)
     if name == "poisson":
         return 2 * (math.exp(min(p, 44.0)) - y)
     raise ValueError(name)
@@ -82,6 +91,9 @@ def invariant_step(name: str, p: float, y: float, rate: float, per_update: float
             return 0.0
         speed = tau if e > 0 else 1 - tau
         return math.copysign(min(speed * rate, abs(e) / per_update), e)
+    if name == "expectile":
+        share = tau if y > p else 1 - tau
+        return (y - p) * -math.expm1(-2 * share * time) / per_update
     if name == "poisson":
         e = math.exp(min(p, 44.0))
         if y > 0:
@@ -150,6 +162,7 @@ class GD(Kernel):
 
     def __post_init__(self):
         n = 1 << self.bits
+        self.loss = ALIASES.get(self.loss, self.loss)
         self.w, self.adapt, self.norm = np.zeros(n), np.zeros(n), np.zeros(n)
         self.total_weight, self.norm_sum, self.t = 0.0, 0.0, self.initial_t
         self.seen_low, self.seen_high = 0.0, 0.0
@@ -469,7 +482,8 @@ class NeuralNet(Kernel):
 @dataclass
 class Factors(Kernel):
     """Matrix factorisation by descent: features of the first half of an example meet those of the
-    second in ``rank`` factors; ``split`` is the index that parts the two sides."""
+    second in ``rank`` factors; ``split`` is the index that parts the two sides. ``start`` makes the
+    first factors (rows, rank), small normal ones if it isn't given."""
 
     rank: int = 4
     rate: float = 0.05
@@ -477,10 +491,10 @@ class Factors(Kernel):
     split: int = 1 << 17
     seed: int = 0
     bits: int = 18
+    start: Callable[[int, int], np.ndarray] | None = None
 
     def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
-        self.v = rng.normal(size=(1 << self.bits, self.rank)) * 0.1
+        self.v = self.start(1 << self.bits, self.rank) if self.start else np.random.default_rng(self.seed).normal(size=(1 << self.bits, self.rank)) * 0.1
         self.w = np.zeros(1 << self.bits)
 
     def predict(self, idx, val):

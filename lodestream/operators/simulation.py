@@ -24,6 +24,24 @@ def cbify(df: DataFrame, label: str, costs: Column, epsilon: float = 0.05, seed:
     return drawn.withColumn("p", F.get("__pmf", F.col("chosen"))).withColumn("cost", F.when(F.col("chosen") == F.col(label), F.lit(loss0)).otherwise(F.lit(loss1))).drop("__pmf")
 
 
+def cbify_costs(df: DataFrame, costs: Column, policy: Column, draw: Column) -> DataFrame:
+    """Cost-sensitive rows as logged bandit events: an action drawn (by ``draw``, 0 to 1) from the
+    distribution that ``policy`` has over its own scores, its probability and its cost."""
+    drawn = df.withColumn("__pmf", policy).withColumn("chosen", X.sample(F.col("__pmf"), draw))
+    return drawn.withColumn("p", F.get("__pmf", F.col("chosen"))).withColumn("cost", F.get(costs, F.col("chosen"))).drop("__pmf")
+
+
+def cbify_regression(df: DataFrame, label: Column, bins: int, low: float, high: float, policy: Column, draw: Column, loss: str = "squared") -> DataFrame:
+    """Regression rows as bandit events over ``bins`` equal stretches from low to high: the cost of an
+    action is the loss of its middle, over the width (absolute) or its square (squared), or whether
+    the label is outside of it (zero_one)."""
+    unit = (high - low) / bins
+    middle = lambda j: low + (j + 0.5) * unit
+    far = lambda j: F.abs(label - middle(j))
+    cost = {"squared": lambda j: far(j) * far(j) / (high - low) ** 2, "absolute": lambda j: far(j) / (high - low), "zero_one": lambda j: F.when(far(j) <= unit / 2, 0.0).otherwise(1.0)}[loss]
+    return cbify_costs(df, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), cost), policy, draw)
+
+
 def corrupt(label: Column, classes: int, probability: float, kind: str, *keys: Column) -> Column:
     """Labels with noise: uniform, the next class, or always the first, with a probability by hash."""
     hit = X.uniform_draw(*keys, F.lit("corrupt")) < probability

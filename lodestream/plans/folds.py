@@ -10,7 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import asking, composed, events, features, online
+from ..functions import estimators as E
+from ..functions import exploration as X
+from ..functions.hashing import Merand48
+from ..operators import asking, composed, events, factors, features, online, simulation
 from .data import COST_SCALE, LOG_SQL, action_costs, log
 from .learning import _actions, _bandit, _stream, _typed
 from .queries import ORACLE_SQL, QUERIES, r
@@ -537,4 +540,187 @@ _stacked_classes("stack_boosting", "--boosting 3", "boosting_plain_online", "CAS
 _stacked_classes("stack_csoaa", "--csoaa 5", "csoaa_plain_online", "costs")
 _stacked_classes("stack_plt", "--plt 4", "plt_plain_online", "y % 4")
 
+
+# --- more losses and options of plain descent ------------------------------------------------------
+
+
+def _sgd(name: str, slope: str, loss: str, bound: str = "u * x + v", before: dict | None = None, label: str = "y", **more) -> None:
+    """Plain descent with a loss: ``bound`` is the prediction, ``before`` levels that it needs."""
+    state = {"u": (D0, "u - 0.1::DOUBLE * sl * x"), "v": (D0, "v - 0.1::DOUBLE * sl")} | more.pop("state", {})
+
+    def run(spark, sf):
+        rows = _stream(spark, sf).withColumn("y", F.expr(label))
+        make = lambda: online.GD(**({"loss": loss, "rate": 0.1, "power": 0.0, "adaptive": False, "normalized": False, "invariant": False, "bits": 1, "tau": 0.3} | more))
+        out = online.train(rows, online.Run(make), ["user_id"]).where("kind = 'prediction'")
+        return out.select(F.col("seq").alias("event_id"), (r("p") + 0.0).alias("p"))
+
+    register(name, run, fold_sql(f"x, {label.replace('D', '::DOUBLE')} AS y" if label != "y" else "x, y", state, [*([before] if before else []), {"p": bound}, {"sl": slope}], "event_id, round(p, 6) + 0.0 AS p"))
+
+
+_wide = "least(greatest(u * x + v, -50), 50)"
+_seen = {"state": {"lo": (D0, "lo2"), "hi": (D0, "hi2")}, "before": {"lo2": "least(lo, y)", "hi2": "greatest(hi, y)"}}
+_sgd("sgd_hinge_fold", "CASE WHEN y * p < 1 THEN -y ELSE 0 END", "hinge", _wide)
+_sgd("sgd_quantile_fold", "CASE WHEN y > p THEN -0.3::DOUBLE WHEN y < p THEN 0.7::DOUBLE ELSE 0 END", "pinball", _wide)
+_sgd("sgd_expectile_fold", "2 * CASE WHEN y > p THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END * (p - y)", "expectile", _wide)
+_sgd("sgd_poisson_fold", "2 * (exp(least(p, 44)) - y)", "poisson", _wide, label="y + 2")
+_sgd("sgd_squared_fold", "2 * (p - y)", "squared", "least(greatest(u * x + v, lo2), hi2)", **_seen)
+_sgd("sgd_power_fold", "-y / (1 + exp(y * p)) / sqrt(n + 2)", "logistic", _wide, power=0.5, initial_t=2.0)
+_sgd("sgd_l2_fold", "-y / (1 + exp(y * p))", "logistic", _wide, l2=0.05, state={"u": (D0, "u * (1 - 0.005::DOUBLE) - 0.1::DOUBLE * sl * x"), "v": (D0, "v * (1 - 0.005::DOUBLE) - 0.1::DOUBLE * sl")})
+_sgd("sgd_l1_fold", "-y / (1 + exp(y * p))", "logistic", "least(greatest(sign(u) * greatest(abs(u) - 0.005::DOUBLE, 0) * x + sign(v) * greatest(abs(v) - 0.005::DOUBLE, 0), -50), 50)", l1=0.05)
+
+_dense("binary_plain_fold", lambda: composed.Signed(online.GD(loss="logistic", rate=0.1, power=0.0, adaptive=False, normalized=False, invariant=False, bits=1)),
+       {"u": (D0, "u - 0.1::DOUBLE * sl * x"), "v": (D0, "v - 0.1::DOUBLE * sl")}, [{"raw": _wide}, {"p": "CASE WHEN raw > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END", "sl": "-y / (1 + exp(y * raw))"}])
+
+# Zeroth-order steps of a continuous action: cost (1) over the distance of the logged action.
+_dense("cbzo_plain_fold", lambda: composed.ZerothOrder(rate=0.01, low=-5, high=5, bits=1),
+       {"u": (D0, "u - 0.01::DOUBLE / gap * x"), "v": (D0, "v - 0.01::DOUBLE / gap")}, [{"p": "least(greatest(u * x + v, -5), 5)"}, {"gap": "CASE WHEN y - p < 0 THEN -1 ELSE 1 END * greatest(abs(y - p), 1e-6)"}])
+
+# Active learning: the generator's n-th draw against the probability that the label could matter.
+_room = "(8 * ln(t + 1) / t)"
+_active_q = f"CASE WHEN t < 2 OR gap <= sqrt({_room}) + {_room} THEN 1.0::DOUBLE ELSE least(1, greatest(pow(({_room} + sqrt({_room} * {_room} + 4 * gap * gap * {_room})) / (2 * gap * gap), 2), 1e-4)) END"
+_dense(
+    "active_plain_fold", lambda: composed.Active(bits=1, make=composed.plain()),
+    {"u": (D0, "u - CASE WHEN draw < q THEN 0.1::DOUBLE / q * sl * x ELSE 0 END"), "v": (D0, "v - CASE WHEN draw < q THEN 0.1::DOUBLE / q * sl ELSE 0 END"), "st": ("0::UHUGEINT", "st2")},
+    [
+        {"p": _wide, "t": "n", "st2": f"(st * {Merand48.A}::UHUGEINT + 2147483647::UHUGEINT) % 18446744073709551616::UHUGEINT"},
+        {"sl": "-y / (1 + exp(y * p))", "draw": "CAST((st2 // 33554432::UHUGEINT) % 8388608::UHUGEINT AS DOUBLE) / 8388608", "gap": "abs(p) / ((x * x + 1) * t)"},
+        {"q": _active_q},
+    ],
+)
+
+_multilabel = [
+    {"sc": f"[{_score('c')} FOR c IN range(5)]"},
+    {"p": "coalesce(list_sum([CASE WHEN sc[c + 1] > 0 THEN pow(2, c) ELSE 0 END FOR c IN range(5)]), 0)", "st": f"[{_logistic_step('(CASE WHEN c + 1 = y OR c = y % 5 THEN 1 ELSE -1 END)', 'sc[c + 1]')} FOR c IN range(5)]"},
+]
+
+
+def _multilabels(spark, sf):
+    rows = _typed(spark, sf).withColumn("y", F.array(F.col("y").cast("int"), (F.col("y") % 5 + 1).cast("int")))
+    out = online.train(rows, online.Run(lambda: composed.MultilabelOneAgainstAll(classes=5, bits=5, make=composed.plain())), ["user_id"]).where("kind = 'prediction'")
+    return out.select("user_id", F.col("seq").alias("event_id"), r("p").alias("p"))
+
+
+register("multilabel_plain_online", _multilabels, fold_sql(_TYPED, {"w": (_start(5), _moved("st"))}, _multilabel, "user_id, event_id, round(CAST(p AS DOUBLE), 6) AS p"))
+
+
+# --- factor models: first factors by a rule --------------------------------------------------------
+
+
+def _ruled(rows: int, columns: int):
+    return ((np.arange(rows * columns) * 7 % 11 - 5) / 50.0).reshape(rows, columns)
+
+
+def _vectors(count: int) -> str:
+    return f"[(i * 7 % 11 - 5) / 50.0::DOUBLE FOR i IN range({count})]"
+
+
+def _factor(name: str, make, state, levels, third: bool = False) -> None:
+    def run(spark, sf):
+        rows = _typed(spark, sf).withColumn("y", F.col("y") / 5)
+        if third:
+            rows = rows.withColumn("idx", F.concat("idx", F.array((32 + F.col("seq") % 8).cast("long")))).withColumn("val", F.expr("array(1D, 1D, 1D)"))
+        out = online.train(rows, online.Run(make), ["user_id"]).where("kind = 'prediction'")
+        return out.select("user_id", F.col("seq").alias("event_id"), r("p", 5).alias("p"))
+
+    register(name, run, fold_sql(f"{_TYPED}, CAST(32 + event_id % 8 AS INTEGER) AS i3", state, levels, "user_id, event_id, round(p, 5) AS p"))
+
+
+_near = "y / 5.0::DOUBLE"
+_dot = "list_sum([{v}[i1 * 2 + k + 1] * {v}[i2 * 2 + k + 1] FOR k IN range(2)])"
+_line = "list_transform(w, lambda z, j: CASE WHEN j - 1 = i1 OR j - 1 = i2 THEN z + {} ELSE z END)"
+_both = "list_transform(v, lambda z, j: CASE WHEN (j - 1) // 2 = i1 THEN z + {0} * v[i2 * 2 + (j - 1) % 2 + 1] WHEN (j - 1) // 2 = i2 THEN z + {0} * v[i1 * 2 + (j - 1) % 2 + 1] ELSE z END)"
+_factor("mf_plain_online", lambda: online.Factors(rank=2, split=16, bits=5, start=_ruled), {"w": (_start(1), _line.format("d")), "v": (_vectors(64), _both.format("d"))}, [{"p": f"w[i1 + 1] + w[i2 + 1] + {_dot.format(v='v')}"}, {"d": f"0.1::DOUBLE * ({_near} - p)"}])
+
+_one_side = "list_transform({v}, lambda z, j: CASE WHEN (j - 1) // 2 = {a} THEN z + {d} * {v}[{b} * 2 + (j - 1) % 2 + 1] ELSE z END)"
+_factor(
+    "split_factors_plain_online", lambda: factors.SplitFactors(rank=2, split=16, bits=5, start=_ruled), {"w": (_start(1), "w2"), "v": (_vectors(64), "v2")},
+    [
+        {"p": f"w[i1 + 1] + w[i2 + 1] + {_dot.format(v='v')}"},
+        {"w2": _line.format(f"0.1::DOUBLE * ({_near} - p)")},
+        {"d1": f"0.1::DOUBLE * ({_near} - w2[i1 + 1] - w2[i2 + 1] - {_dot.format(v='v')})"},
+        {"v1": _one_side.format(v="v", a="i1", b="i2", d="d1")},
+        {"d2": f"0.1::DOUBLE * ({_near} - w2[i1 + 1] - w2[i2 + 1] - {_dot.format(v='v1')})"},
+        {"v2": _one_side.format(v="v1", a="i2", b="i1", d="d2")},
+    ],
+)
+
+# Field-aware: three fields, each feature with two weights for each field.
+_at = lambda i, f: f"({i} * 6 + {f} * 2 + k + 1)"
+_meet = " + ".join(f"list_sum([v[{_at(f'i{a + 1}', b)}] * v[{_at(f'i{b + 1}', a)}] FOR k IN range(2)])" for a, b in ((0, 1), (0, 2), (1, 2)))
+_moves = " ".join(f"WHEN (j - 1) // 6 = i{a + 1} AND (j - 1) % 6 // 2 = {b} THEN z + d * v[i{b + 1} * 6 + {a} * 2 + (j - 1) % 2 + 1]" for a in range(3) for b in range(3) if a != b)
+_factor(
+    "field_factors_plain_online", lambda: factors.FieldFactors(bounds=(16, 32), rank=2, bits=6, start=_ruled),
+    {"w": (_start(2), "list_transform(w, lambda z, j: CASE WHEN j - 1 = i1 OR j - 1 = i2 OR j - 1 = i3 THEN z + d ELSE z END)"), "v": (_vectors(384), f"list_transform(v, lambda z, j: CASE {_moves} ELSE z END)")},
+    [{"p": f"w[i1 + 1] + w[i2 + 1] + w[i3 + 1] + {_meet}"}, {"d": f"0.1::DOUBLE * ({_near} - p)"}], third=True,
+)
+
+
+# --- a challenged baseline; continuous actions; supervised rows as bandits --------------------------
+
+
+def _challenged(spark, sf):
+    def run(rows):
+        learner = events.BaselineChallenger(composed.Policy(bits=6, make=composed.plain()), lambda stats: -1e9, tau=0.9)
+        out = []
+        for x in rows:
+            best, mean, n = learner.learn(_actions(x), x["a"], x["cost"], x["p"])
+            out.append({"event_id": x["event_id"], "best": best, "mean": round(mean, 5), "n": round(n, 5), "base_w": round(learner.stats["w"], 5), "base_wr": round(learner.stats["wr"], 5)})
+        return out
+
+    return _bandit(spark, sf, run, [("event_id", pa.int64()), ("best", pa.int64()), ("mean", pa.float64()), ("n", pa.float64()), ("base_w", pa.float64()), ("base_wr", pa.float64())])
+
+
+_more, _w = _step_level(0, "w", "a", "cost", "1 / lp / 5")
+_fading = {k: (D0, f"{k}2") for k in ("tot", "cnt", "bw", "bwr")}
+register(
+    "baseline_challenger_plain", _challenged,
+    fold_sql(
+        _CB, {"w": (_wide_start(), _w), "w_lo": (D0, "w_lo1"), "w_hi": (D0, "w_hi1")} | _fading,
+        [{"cs": _costs()}, {"best": "list_position(cs, list_min(cs)) - 1"}, {"pw": "CASE WHEN a = best THEN 1 / lp ELSE 0 END", "zw": "CASE WHEN a = 0 THEN 1 / lp ELSE 0 END"},
+         {"tot2": "0.9::DOUBLE * tot - pw * cost", "cnt2": "0.9::DOUBLE * cnt + pw", "bw2": "0.9::DOUBLE * bw + zw", "bwr2": "0.9::DOUBLE * bwr - zw * cost"}, *_more],
+        "event_id, best, round(CASE WHEN cnt2 = 0 THEN 0 ELSE tot2 / cnt2 END, 5) AS mean, round(cnt2, 5) AS n, round(bw2, 5) AS base_w, round(bwr2, 5) AS base_wr",
+    ),
+)
+
+
+def _pdf(spark, sf):
+    return log(spark, sf).select("event_id", F.posexplode(E.continuous_policy(F.col("k") % 8, 8, 0.0, 16.0, 1, 0.1)).alias("bin", "s")).select("event_id", F.col("bin").cast("long").alias("bin"), r("s.left").alias("left"), r("s.right").alias("right"), r("s.density").alias("density"))
+
+
+register("cats_pdf", _pdf, f"WITH {LOG_SQL} SELECT event_id, b AS bin, 2.0::DOUBLE * b AS left, 2.0::DOUBLE * b + 2 AS right, round(0.1 / 16 + CASE WHEN abs(b - k % 8) <= 1 THEN 0.9 / 2 / (least(k % 8 + 1, 7) - greatest(k % 8 - 1, 0) + 1) ELSE 0 END, 6) AS density FROM log, (SELECT unnest(range(8)) AS b)")
+
+
+def _spread(spark, sf):
+    q = (F.col("k") % 4) / 4.0
+    return log(spark, sf).select("event_id", F.posexplode(E.spread_pmf(F.array(q, F.lit(0.0), 1 - q, F.lit(0.0)), 0.0, 1.0, 1)).alias("bin", "s")).select("event_id", F.col("bin").cast("long").alias("bin"), r("s.density").alias("density"))
+
+
+register("pmf_to_pdf_bins", _spread, f"WITH {LOG_SQL}, q AS (SELECT event_id, (k % 4) / 4.0::DOUBLE AS q FROM log) SELECT event_id, b AS bin, round(4 * CASE b WHEN 0 THEN q / 2 WHEN 1 THEN q / 2 + (1 - q) / 3 ELSE (1 - q) / 3 END, 6) AS density FROM q, (SELECT unnest(range(4)) AS b)")
+
+_DRAW = "(event_id * 37 % 100 + 0.5) / 100.0"
+_DRAWN = "SELECT *, CASE WHEN draw < 0.02 + CASE WHEN best = 0 THEN 0.9 ELSE 0 END THEN 0 WHEN draw < 0.04 + CASE WHEN best <= 1 THEN 0.9 ELSE 0 END THEN 1 WHEN draw < 0.06 + CASE WHEN best <= 2 THEN 0.9 ELSE 0 END THEN 2 WHEN draw < 0.08 + CASE WHEN best <= 3 THEN 0.9 ELSE 0 END THEN 3 ELSE 4 END AS chosen FROM b"
+
+
+def _scores(j: str) -> str:
+    return f"((k * 3 + {j} * 29) % 53) / 53.0"
+
+
+def _cbify_costs(spark, sf):
+    e = log(spark, sf).withColumn("costs", action_costs()).withColumn("scores", F.array(*[F.expr(_scores(str(j))) for j in range(5)]))
+    out = simulation.cbify_costs(e, F.col("costs"), X.epsilon_greedy(F.col("scores"), 0.1), F.expr(_DRAW))
+    return out.select("event_id", F.col("chosen").cast("long").alias("chosen"), r("p").alias("p"), r("cost").alias("cost"))
+
+
+_best = f"list_position([{', '.join(_scores(str(j)) for j in range(5))}], list_min([{', '.join(_scores(str(j)) for j in range(5))}])) - 1"
+register("cbify_costs_logged", _cbify_costs, f"WITH {LOG_SQL}, b AS (SELECT event_id, k, {_DRAW} AS draw, {_best} AS best FROM log), d AS ({_DRAWN}) SELECT event_id, chosen, CASE WHEN chosen = best THEN 0.92::DOUBLE ELSE 0.02::DOUBLE END AS p, round(CAST(((k * (7 * (chosen + 3)) + event_id * (13 * (chosen + 1))) % 101) / 100.0 AS DOUBLE), 6) AS cost FROM d")
+
+
+def _cbify_regression(spark, sf):
+    e = log(spark, sf).withColumn("scores", F.array(*[F.expr(_scores(str(j))) for j in range(5)]))
+    out = simulation.cbify_regression(e, F.col("x"), 5, -2.0, 2.0, X.epsilon_greedy(F.col("scores"), 0.1), F.expr(_DRAW))
+    return out.select("event_id", F.col("chosen").cast("long").alias("chosen"), r("cost").alias("cost"))
+
+
+register("cbify_regression_logged", _cbify_regression, f"WITH {LOG_SQL}, b AS (SELECT event_id, k, x, {_DRAW} AS draw, {_best} AS best FROM log), d AS ({_DRAWN}) SELECT event_id, chosen, round((x - (-2 + (chosen + 0.5) * 0.8)) * (x - (-2 + (chosen + 0.5) * 0.8)) / 16, 6) AS cost FROM d")
+
 __all__ = ["QUERIES"]
