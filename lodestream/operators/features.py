@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.exploration import let
@@ -190,14 +193,40 @@ def marginal(df: DataFrame, by: list[str], order: list[str], label: str, numerat
     return df.withColumn("marginal", (numerator + F.coalesce(F.sum(y).over(w), F.lit(0.0))) / (denominator + F.coalesce(F.sum(n).over(w), F.lit(0.0))))
 
 
-def marginal_decayed(labels: Column, decay: float, numerator: float = 0.5, denominator: float = 1.0) -> Column:
-    """The same over an array of labels in order, older ones fading by (1 - decay): a fold inside the row."""
-
-    def step(s: Column, y: Column) -> Column:
-        return F.struct((s["num"] * (1 - decay) + y).alias("num"), (s["den"] * (1 - decay) + 1).alias("den"), F.array_append(s["out"], s["num"] / s["den"]).alias("out"))
-
-    start = F.struct(F.lit(numerator).alias("num"), F.lit(denominator).alias("den"), F.expr("CAST(array() AS array<double>)").alias("out"))
-    return F.aggregate(labels, start, step, lambda s: s["out"])
+def marginal_split(df: DataFrame, by: list[str], order: str, label: str, width: int, numerator: float = 0.5, denominator: float = 1.0) -> DataFrame:
+    """The same with the running sums of an id split over stretches of ``width`` values of a whole-number
+    ``order``: sums of stretches first, then those within one, so that no id is one task's work."""
+    cut = df.withColumn("__stretch", F.floor(F.col(order) / width))
+    sums = cut.groupBy(*by, "__stretch").agg(F.sum(label).alias("__s"), F.count(label).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__stretch", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
+    inside = Window.partitionBy(*by, "__stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own_s, own_n = F.coalesce(F.sum(label).over(inside), F.lit(0.0)), F.coalesce(F.count(label).over(inside), F.lit(0))
+    out = cut.withColumn("__own_s", own_s).withColumn("__own_n", own_n).join(sums, [*by, "__stretch"])
+    return out.withColumn("marginal", (numerator + F.col("__s") + F.col("__own_s")) / (denominator + F.col("__n") + F.col("__own_n"))).select(*df.columns, "marginal")
+
+
+def marginal_decayed(df: DataFrame, by: list[str], order: list[str], label: str, decay: float, numerator: float = 0.5, denominator: float = 1.0) -> DataFrame:
+    """``marginal`` from the earlier rows of the id, older ones fading by (1 - decay): one shuffle by id,
+    then a stream over sorted rows that holds two numbers, however many rows an id has."""
+    keep = 1 - decay
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(*by).alias("key"), F.struct(*by).alias("by"), F.col(label).cast("double").alias("y"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
+    rows = own.repartition("key").sortWithinPartitions("key", "by", *[f"o{k}" for k in range(len(order))]).select("row", "by", "y")
+
+    def run(batches):
+        last, num, den = None, numerator, denominator
+        for batch in batches:
+            out = np.empty(batch.num_rows)
+            for i, (key, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if key != last:
+                    last, num, den = key, numerator, denominator
+                out[i] = num / den
+                if y is not None:
+                    num, den = num * keep + y, den * keep + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "marginal"])
+
+    made = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("marginal", DoubleType())]))
+    return made.select("row.*", "marginal")
 
 
 def autolink(features: Column, prediction: Column, degree: int) -> Column:

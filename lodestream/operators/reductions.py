@@ -13,11 +13,17 @@ from pyspark.sql.window import Window
 from ..functions.exploration import let, total
 
 
+#: Most weights that are broadcast to score with.
+MOST_SENT = 2_000_000
+
+
 def linear_score(examples: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
     """(keys..., slots of ``weights``, score): sparse dot products of exploded features (ns, name, value)
-    with weights (ns, name, w, and any slot columns such as a class). The weights' side is what the
-    optimiser broadcasts if it is small; sums are combined before the shuffle by key."""
+    with weights (ns, name, w, and any slot columns such as a class). The weights are broadcast if
+    counted small: the constant is in every example, so that the other way one task would have it
+    from all of them. Sums are combined before the shuffle by key."""
     slots = [c for c in weights.columns if c not in ("ns", "name", "w")]
+    weights = F.broadcast(weights) if weights.count() <= MOST_SENT else weights
     return examples.join(weights, ["ns", "name"]).groupBy(*keys, *slots).agg(F.sum(F.col("value") * F.col("w")).alias("score"))
 
 

@@ -101,7 +101,8 @@ def gd_hashed_online(spark, sf):
     """Quality of documents from hashed words: shards by a hash of the id, averaged like a cluster's nodes."""
     words = table(spark, sf, "documents").select("doc_id", features.constant(features.bag_of("t", F.array_distinct(T.tokens(F.col("text"))))).alias("features"))
     rows = online.hashed(words.join(table(spark, sf, "labels").select("doc_id", (F.col("quality") * 2.0 - 1).alias("y")), "doc_id"), "features", bits=16)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("shard"), F.col("doc_id").alias("seq"), "idx", "val", "y", F.lit(1.0).alias("weight"))
+    shards = max(4, -(-rows.count() // 50_000))  # an example's features are held in its shard's task
+    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").alias("seq"), "idx", "val", "y", F.lit(1.0).alias("weight"))
     out = online.train(rows, online.Run(lambda: online.GD(loss="logistic", bits=16), passes=2), ["shard"]).where("kind = 'weight'")
     models = out.select(F.col("shard").alias("model"), F.lit("").alias("ns"), F.col("idx").cast("string").alias("name"), "w", F.col("state").alias("adapt"), F.lit(1).alias("examples"))
     return batch.merge(models.where("adapt > 0"), state="adapt").select(F.col("name").cast("long").alias("idx"), "w")
@@ -202,7 +203,9 @@ def large_action_space(spark, sf):
 def search_sequence(spark, sf):
     """Roles of conversation turns as sequences, labelled by learning to search; one policy for each of 8 groups."""
     roles = ("assistant", "system", "user")
-    c = table(spark, sf, "conversations").select(F.pmod(F.xxhash64("conv_id"), F.lit(8)).cast("int").alias("g"), "conv_id", "turn", "role", T.tokens(F.col("text")).alias("w"))
+    turns = table(spark, sf, "conversations")
+    groups = max(8, -(-turns.count() // 20_000))
+    c = turns.select(F.pmod(F.xxhash64("conv_id"), F.lit(groups)).cast("int").alias("g"), "conv_id", "turn", "role", T.tokens(F.col("text")).alias("w"))
 
     def fold(rows: pa.Table) -> pa.Table:
         from ..functions.hashing import murmur3_many
@@ -221,8 +224,11 @@ def search_sequence(spark, sf):
 
 @query()
 def lda_topics(spark, sf):
-    """Topics of each source's documents by online variational inference, one model a source."""
-    d = table(spark, sf, "documents").select("source", "doc_id", T.tokens(F.col("text")).alias("w"))
+    """Topics of each source's documents by online variational inference, one model a source, or a
+    shard of one where a source is large."""
+    docs = table(spark, sf, "documents")
+    sizes = docs.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / 20_000).alias("shards"))
+    d = docs.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("s"))).select("source", F.pmod(F.xxhash64("doc_id"), F.col("shards")).alias("shard"), "doc_id", T.tokens(F.col("text")).alias("w"))
 
     def fold(rows: pa.Table) -> pa.Table:
         from ..functions.hashing import murmur3_many
@@ -235,7 +241,7 @@ def lda_topics(spark, sf):
         _, theta = composed.lda(docs, 4, 1024)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "topic": pa.array(theta.argmax(1), pa.int64()), "share": pa.array(np.round(theta.max(1), 6))})
 
-    return d.groupBy("source").applyInArrow(fold, "doc_id long, topic long, share double")
+    return d.groupBy("source", "shard").applyInArrow(fold, "doc_id long, topic long, share double")
 
 
 __all__ = ["QUERIES"]

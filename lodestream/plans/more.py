@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import exploration as X
 from ..operators import features, reductions, simulation
@@ -16,13 +17,10 @@ s AS (SELECT user_id, k, 1.0::DOUBLE AS n, w::DOUBLE AS sw, (w * cost)::DOUBLE A
 UNION ALL SELECT o.user_id, o.k, 0.95::DOUBLE * s.n + 1, 0.95::DOUBLE * s.sw + o.w, 0.95::DOUBLE * s.swr + o.w * o.cost FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)
 SELECT user_id, round(arg_max(n, k), 6) AS n, round(arg_max(sw, k), 6) AS sum_w, round(arg_max(swr, k), 6) AS sum_wr FROM s GROUP BY user_id""")
 def dro_tau_fold(spark, sf):
-    one = reductions.event_rows(log(spark, sf).withColumn("w", 0.2 / F.col("p")), ["user_id"], ["event_id"], w="w", c="cost")
-
-    def step(s, x):
-        return F.struct((s["n"] * 0.95 + 1).alias("n"), (s["w"] * 0.95 + x["w"]).alias("w"), (s["wr"] * 0.95 + x["w"] * x["c"]).alias("wr"))
-
-    sums = F.aggregate(F.arrays_zip("w", "c"), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"), F.lit(0.0).alias("wr")), step)
-    return one.select("user_id", sums.alias("s")).select("user_id", r("s.n").alias("n"), r("s.w").alias("sum_w"), r("s.wr").alias("sum_wr"))
+    """Sums over a user's events that fade by 0.95 from each to the next: weights by how many come after."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
+    rows = log(spark, sf).select("user_id", (0.2 / F.col("p")).alias("w"), "cost", F.pow(F.lit(0.95), F.row_number().over(w) - 1).alias("fade"))
+    return rows.groupBy("user_id").agg(r(F.sum("fade")).alias("n"), r(F.sum(F.col("fade") * F.col("w"))).alias("sum_w"), r(F.sum(F.col("fade") * F.col("w") * F.col("cost"))).alias("sum_wr"))
 
 
 @query(f"""WITH {LOG_SQL}, m AS (SELECT event_id, (k % 5) - 2 AS margin FROM log), q AS (SELECT event_id, CAST(floor((5 - 1 - margin) / 2.0) AS INTEGER) AS j FROM m)

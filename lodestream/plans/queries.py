@@ -59,9 +59,13 @@ f AS (SELECT user_id, event_id, n, 0.5::DOUBLE AS num, 1.0::DOUBLE AS den, cost
  UNION ALL SELECT o.user_id, o.event_id, o.n, f.num * 0.9::DOUBLE + f.cost, f.den * 0.9::DOUBLE + 1, o.cost FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
 SELECT event_id, round(num / den, 6) AS marginal FROM f""")
 def marginal_decay_fold(spark, sf):
-    one = reductions.event_rows(log(spark, sf), ["user_id"], ["event_id"], event_id="event_id", cost="cost")
-    out = one.select("event_id", features.marginal_decayed(F.col("cost"), 0.1).alias("m"))
-    return out.select(F.explode(F.arrays_zip("event_id", "m")).alias("z")).select("z.event_id", r("z.m").alias("marginal"))
+    return features.marginal_decayed(log(spark, sf), ["user_id"], ["event_id"], "cost", 0.1).select("event_id", r("marginal").alias("marginal"))
+
+
+@query(_MARGINAL_SQL + " SELECT event_id, round(marginal, 6) AS marginal FROM m")
+def marginal_two_level(spark, sf):
+    """The running mean of an id split over stretches of events."""
+    return features.marginal_split(log(spark, sf), ["user_id"], "event_id", "cost", 500).select("event_id", r("marginal").alias("marginal"))
 
 
 @query(f"WITH {LOG_SQL} SELECT event_id, round(avg(cost) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS running_loss, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS seen FROM log")

@@ -280,11 +280,12 @@ class Stack:
         return Model(self, out, group)
 
     def _fit_batch(self, shown: DataFrame, seq: str, label: str, weight: Column) -> Model:
+        bits = self.bits()
         loss, l2, passes, memory = self.word("loss_function", "squared"), self.get("l2", 0), int(self.get("passes", 20)), int(self.get("mem", 15))
         self.check()
         rows = shown.select(F.col(seq).alias("id"), F.col(label).alias("y"), weight.alias("weight"), F.explode("features").alias("f")).select("id", "y", "weight", "f.ns", "f.name", "f.value")
         w, _, _ = batch.lbfgs(rows, loss, passes, memory, l2)
-        made = hashed(w.select(F.array(F.struct("ns", "name", F.lit(1.0).alias("value"))).alias("features"), "w"), "features", self.bits())
+        made = hashed(w.select(F.array(F.struct("ns", "name", F.lit(1.0).alias("value"))).alias("features"), "w"), "features", bits)
         out = made.select(F.lit("weight").alias("kind"), F.lit(None).cast("long").alias("seq"), F.get("idx", F.lit(0)).alias("idx"), F.lit(None).cast("double").alias("p"), "w", F.lit(None).cast("double").alias("state"))
         return Model(self, out, [])
 

@@ -55,7 +55,6 @@ def test_generator_is_reproducible():
         (lambda: reductions.wap_values(arr(0, 1, 3)), [0.0, 1.0, 2.0]),
         (lambda: reductions.mc_weights(arr(0, 1, 2))[0], [-1.0, 1.0, 1.0]),
         (lambda: reductions.mc_weights(arr(0, 1, 2))[1], [2.0, 1.0, 2.0]),
-        (lambda: features.marginal_decayed(arr(1, 0, 1), 0.0), [0.5, 0.75, 0.5]),
         (lambda: X.softmax(arr(0, 0), 1.0), [0.5, 0.5]),
         (lambda: X.synthetic_cover(arr(0, 10), 1.0, 10), [1.0, 0.0]),
     ],
