@@ -402,7 +402,66 @@ def test_queries_have_the_contracts_columns(spark, sf_dir):
         if name in ("op3_bpe", "op6_language_id", "op9_toxicity"):
             rows = out.collect()
             assert len(rows) == n
-            if name == "op3_bpe":
-                truth = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-                assert all(r["decoded_sha256"] == hashlib.sha256((truth[r["doc_id"]] or "").encode()).hexdigest() for r in rows)
-    _ = F
+
+
+def test_bpe_query_against_tiktoken(spark, sf_dir):
+    import tiktoken
+
+    from lodestream.llm import queries
+
+    tok = bpe.public_tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=tok.pattern, mergeable_ranks=tok.ranks, special_tokens={})
+    truth = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op3_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(truth)
+    for r in rows:
+        ids = enc.encode_ordinary(truth[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(truth[r["doc_id"]].encode()).hexdigest()
+
+
+def test_language_query_on_held_out_rows(spark):
+    import os
+
+    from lodestream.llm import queries
+
+    at = "/root/testdata/sf0.01"
+    if not os.path.isdir(at):
+        pytest.skip("no driver tables here")
+    lang = spark.read.parquet(f"{at}/documents.parquet").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "lang")
+    rows = queries.op6_language_id(spark, at).where("held_out").join(lang, "doc_id").collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """A Thue-Morse word and its complement have equal sums modulo powers of two for every base."""
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, f"{word}\n{other}")], "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in near_dedup.near_duplicates(df, words=2).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["__n_dup_lines"] for r in quality.score_quality(df).collect()} == {1: 0, 2: 0, 3: 0}
+    bench = spark.createDataFrame([(7, word)], "item_id long, text string")
+    assert {r["doc_id"]: r["__items"] for r in decontaminate.find_contamination(df, bench).collect()} == {1: [7], 2: [], 3: [7]}
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a block, one a prefix of the other, through the operators that compare documents."""
+    rows = [(6, LONG), (7, LONG[:200_000] + "!"), (8, "a short one of five words or so"), (9, LONG + " and")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in suffix_dedup.dedup_substrings(df, block_bytes=50_000).collect()}
+    assert got[6]["removed"] == [] or all(s["end"] - s["start"] >= 50 for s in got[6]["removed"])
+    cut = len(LONG[:200_000].encode())
+    assert got[7]["kept"] == b"!" and [(s["start"], s["end"]) for s in got[7]["removed"]] == [(0, cut)]
+    assert got[9]["n_bytes"] == len(LONG.encode()) + 4 and len(got[9]["kept"]) <= 4
+    sets = {i: shingles(t, 2) for i, t in rows}
+    near = {r["id"]: (r["n_shingles"], r["component"]) for r in near_dedup.near_duplicates(df, words=2).collect()}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert {i: n for i, (n, _) in near.items()} == {i: len(s) for i, s in sets.items()}
+    assert near[9][1] == (6 if linked(6, 9) else 9) and near[7][1] == (6 if linked(6, 7) else 7) and near[8][1] == 8
+
+
+def test_clashing_names(spark, docs):
+    """Columns with the names of results: the result takes the place, all others stay."""
+    net = language_id.fit(spark.createDataFrame([(k, "der die das" if k % 2 else "the of and", "de" if k % 2 else "en") for k in range(40)], "doc_id long, text string, lang string"))
+    out = language_id.identify(docs.withColumn("__lang", F.lit("mine")).withColumn("row", F.lit("r")), net)
+    assert out.columns.count("__lang") == 1 and {r["row"] for r in out.collect()} == {"r"} and "mine" not in {r["__lang"] for r in out.collect()}
