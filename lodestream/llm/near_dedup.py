@@ -226,6 +226,18 @@ def components(edges: DataFrame, rounds: int = 2) -> DataFrame:
             return labels.select(F.col("a").alias("c"), F.col("l").alias("component"))
 
 
+def _grown(joined: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(c, component) after more links: only the components that they join are labelled anew."""
+    if joined is None:
+        return components(found)
+    at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
+    over = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    top = components(C.cut(over, "near-edges", found.count())).select(F.col("c").alias("old"), F.col("component").alias("new"))
+    moved = joined.join(top, joined["component"] == top["old"], "left").select("c", F.coalesce("new", "component").alias("component"))
+    fresh = top.select(F.col("old").alias("c"), F.col("new").alias("component")).join(joined.select("c"), "c", "left_anti")
+    return C.cut(moved.unionByName(fresh), "near-labels", joined.count() + 2 * found.count())
+
+
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes in different components."""
     at = lambda side: joined.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
@@ -336,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # join components. What is left of crowded regions' after two turns is left to the tiles.
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("trees"), "a"))
     ranked = C.cut(pairs.withColumn("rank", rank).where("rank <= 8 OR alone = 1").select("a", "b", "rank"), "near-ranked", pairs.count(), 50_000)
-    links = joined = None
+    joined = None
     for first, last in ((1, 1), (2, 8), (9, 64), (65, None)):
         turn = ranked.where(F.col("rank") >= first if last is None else F.col("rank").between(first, last)).select("a", "b")
         turn = C.cut(turn if joined is None else _apart(turn, joined), "near-turn", turn.count(), 50_000)
@@ -344,21 +356,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         found = C.cut(_confirm(turn, texts, words, percent), "near-links", turn.count(), 1000)
         if joined is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            joined = components(links)
+            joined = _grown(joined, found)
     open_, info = _labelled(members.select("region", "c", "n"), joined)
     top = C.cut(_tops(open_, members, percent).join(ranked, ["a", "b"], "left_anti"), "near-turn", open_.count())
     found = C.cut(_confirm(top, texts, words, percent), "near-links", open_.count(), 1000)
     if not found.isEmpty():
-        links = links.unionByName(found)
-        joined = components(links)
+        joined = _grown(joined, found)
         open_, info = _labelled(open_.select("region", "c", "n"), joined)
     if not info.isEmpty():
         held = open_.select("c").distinct()
         sets = C.cut(_sets(texts, held, words), "near-sets", held.count(), 2000)
         more = C.cut(_tiles(open_, info, sets, percent), "near-links", open_.count(), 1000)
         if not more.isEmpty():
-            joined = components(links.unionByName(more))
+            joined = _grown(joined, more)
     roots = classes.select("d1", "d2", "n", "c").join(joined, "c", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "c").alias("component"))
     out = sketch.select("id", "d1", "d2", "n_shingles").join(roots, ["d1", "d2", "n_shingles"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
