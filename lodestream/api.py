@@ -54,3 +54,33 @@ class FittedClassifier(FittedRegressor):
         out = super().transform(df, key)
         score = F.coalesce("prediction", F.lit(0.0))
         return out.withColumn("probability", losses.link("logistic", score)).withColumn("prediction", F.when(score > 0, 1).otherwise(-1))
+
+
+@dataclass
+class MulticlassClassifier(Regressor):
+    """Classes of any type, learnt one against all; ``fit`` numbers them in sorted order."""
+
+    def fit(self, df: DataFrame) -> FittedMulticlass:
+        classes = [r[0] for r in df.select(self.label).where(F.col(self.label).isNotNull()).distinct().orderBy(self.label).collect()]
+        fitted = []
+        for k in classes:
+            one = df.withColumn(self.label, F.when(F.col(self.label) == F.lit(k), 1.0).otherwise(-1.0))
+            fitted.append(Classifier(self.options, self.label, self.namespaces, self.shards, self.order).fit(one))
+        return FittedMulticlass(self, classes, fitted)
+
+
+@dataclass
+class FittedMulticlass:
+    estimator: MulticlassClassifier
+    classes: list
+    models: list[FittedClassifier]
+
+    def transform(self, df: DataFrame, key: str) -> DataFrame:
+        """``prediction`` is the class with the highest score (the first of ties); ``scores`` are in the order of ``classes``."""
+        out = df
+        for k, model in enumerate(self.models):
+            own = FittedRegressor.transform(model, df.select(*df.columns), key).select(key, F.coalesce("prediction", F.lit(0.0)).alias(f"__{k}"))
+            out = out.join(own, key)
+        scores = F.array(*[F.col(f"__{k}") for k in range(len(self.models))])
+        best = F.get(F.array(*[F.lit(c) for c in self.classes]), F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+        return out.withColumn("scores", scores).withColumn("prediction", best).drop(*[f"__{k}" for k in range(len(self.models))])

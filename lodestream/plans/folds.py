@@ -74,7 +74,7 @@ _gd = [
     {"step": f"y * ({_root} - y * p) / per"},
 ]
 _dense(
-    "gd_logistic_fold", lambda: online.GD(loss="logistic", bits=1),
+    "gd_fold", lambda: online.GD(loss="logistic", bits=1),
     {"u": (D0, "u1 + step * m * ru * x"), "v": (D0, "v + step * m * rv"), "gu": (D0, "gu2"), "gv": (D0, "gv2"), "nu": (D0, "nu2"), "nv": (D0, "nv2"), "ns": (D0, "ns2"), "tw1": ("1.0::DOUBLE", "tw1 + 1")},
     _gd,
 )
@@ -97,14 +97,14 @@ _dense(
 
 _pistol_w = "CASE WHEN {m} * ({g} + {m}) > 0 THEN sqrt({g}) * 0.5::DOUBLE * {t} * exp(least({t} * {t} / (2 * {m} * ({g} + {m})), 500)) / ({m} * ({g} + {m})) ELSE 0.0::DOUBLE END"
 _dense(
-    "pistol_dense_fold", lambda: online.Pistol(bits=1),
+    "pistol_fold", lambda: online.Pistol(bits=1),
     {"tu": (D0, "tu - sl * x"), "tv": (D0, "tv - sl"), "gu": (D0, "gu + abs(sl * x)"), "gv": (D0, "gv + abs(sl)"), "mu": (D0, "mu2"), "mv": (D0, "1.0::DOUBLE")},
     [{"mu2": "greatest(mu, abs(x))"}, {"p": f"x * {_pistol_w.format(m='mu2', g='gu', t='tu')} + {_pistol_w.format(m='1.0::DOUBLE', g='gv', t='tv')}"}, {"sl": _SLOPE}],
 )
 
 _coin_w = "CASE WHEN {m} * {x} * ({m} * {x} + {g}) > 0 THEN (4 + {r}) / ({m} * {x} * ({m} * {x} + {g})) * {z} ELSE 0.0::DOUBLE END"
 _dense(
-    "coin_dense_fold", lambda: online.Coin(bits=1),
+    "coin_fold", lambda: online.Coin(bits=1),
     {"zu": (D0, "zu - sl * x"), "zv": (D0, "zv - sl"), "gu": (D0, "gu + abs(sl * x)"), "gv": (D0, "gv + abs(sl)"), "mu": (D0, "greatest(mu, abs(sl))"), "mv": (D0, "greatest(mv, abs(sl))"), "xu": (D0, "xu2"), "xv": (D0, "1.0::DOUBLE"), "ru": (D0, "ru + greatest(-sl * x * wu, -0.5::DOUBLE * ru)"), "rv": (D0, "rv + greatest(-sl * wv, -0.5::DOUBLE * rv)"), "norm": (D0, "norm2")},
     [
         {"xu2": "greatest(xu, abs(x))"},
@@ -125,7 +125,7 @@ def _free_state(k: str, g: str) -> tuple[dict, dict]:
 _cu, _su = _free_state("u", "(sl * x)")
 _cv, _sv = _free_state("v", "sl")
 _dense(
-    "freegrad_dense_fold", lambda: online.FreeGrad(bits=1), _su | _sv,
+    "freegrad_fold", lambda: online.FreeGrad(bits=1), _su | _sv,
     [{"p": f"x * {_free_w.format(h='hu', v='vu', g='gu', t='tu')} + {_free_w.format(h='hv', v='vv', g='gv', t='tv')}"}, {"sl": _SLOPE}, _cu | _cv],
 )
 
@@ -723,4 +723,34 @@ def _cbify_regression(spark, sf):
 
 register("cbify_regression_logged", _cbify_regression, f"WITH {LOG_SQL}, b AS (SELECT event_id, k, x, {_DRAW} AS draw, {_best} AS best FROM log), d AS ({_DRAWN}) SELECT event_id, chosen, round((x - (-2 + (chosen + 0.5) * 0.8)) * (x - (-2 + (chosen + 0.5) * 0.8)) / 16, 6) AS cost FROM d")
 
+
+# Continuous actions by a tree of eight bins: seven nodes of sixteen weights, learnt from the leaves up.
+_cats: list[dict[str, str]] = [
+    {"bin": "least(greatest(CAST(floor(k / 100.0::DOUBLE * 8) AS INTEGER), 0), 7)", "sc": "[w[m * 16 + i1 + 1] FOR m IN range(7)]"},
+    {"lo": "greatest(bin - 1, 0)", "hi": "least(bin + 1, 7)"},
+    {"up3": "[CASE WHEN m BETWEEN lo AND hi THEN cost / greatest(lp * 0.125::DOUBLE * (hi - lo + 1), 1e-6) ELSE 0.0::DOUBLE END FOR m IN range(8)]"},
+]
+for _level, _first in ((2, 3), (1, 1), (0, 0)):
+    _below, _count = f"up{_level + 1}", 1 << _level
+    _y = f"(CASE WHEN {_below}[2 * m + 2] < {_below}[2 * m + 1] THEN 1 ELSE -1 END)"
+    _cats += [
+        {f"st{_level}": f"[0.1::DOUBLE * abs({_below}[2 * m + 1] - {_below}[2 * m + 2]) * ({_y} / (1 + exp({_y} * sc[m + {_first} + 1]))) FOR m IN range({_count})]"},
+        {f"up{_level}": f"[CASE WHEN sc[m + {_first} + 1] + st{_level}[m + 1] > 0 THEN {_below}[2 * m + 2] ELSE {_below}[2 * m + 1] END FOR m IN range({_count})]"},
+    ]
+_cats += [{"st": "list_concat(st0, list_concat(st1, st2))", "n1": "CASE WHEN sc[1] > 0 THEN 2 ELSE 1 END"}, {"n2": "2 * n1 + CASE WHEN sc[n1 + 1] > 0 THEN 2 ELSE 1 END"}, {"n3": "2 * n2 + CASE WHEN sc[n2 + 1] > 0 THEN 2 ELSE 1 END"}]
+
+
+def _cats_tree(spark, sf):
+    def run(rows):
+        tree = composed.CatsTree(bins=8, bits=4, make=composed.plain())
+        return [{"event_id": x["event_id"], "p": round(float(tree.learn_logged(np.array([x["k"] % 16], np.int64), np.ones(1), x["k"] / 100, x["cost"], x["p"])), 6)} for x in rows]
+
+    return _bandit(spark, sf, run, [("event_id", pa.int64()), ("p", pa.float64())])
+
+
+register(
+    "cats_tree_plain", _cats_tree,
+    fold_sql("k, cost, p AS lp, k % 16 AS i1", {"w": ("list_transform(range(112), lambda z: 0.0::DOUBLE)", "list_transform(w, lambda z, j: CASE WHEN (j - 1) % 16 = i1 THEN z + st[(j - 1) // 16 + 1] ELSE z END)")}, _cats, "event_id, round((n3 - 7 + 0.5) / 8, 6) AS p"),
+)
+
 __all__ = ["QUERIES"]

@@ -199,3 +199,13 @@ def test_aliases_of_losses():
         e = 1e-5
         slope = (online.loss_value("expectile", p + e, y, 0.3) - online.loss_value("expectile", p - e, y, 0.3)) / (2 * e)
         assert slope == pytest.approx(online.loss_slope("expectile", p, y, 0.3), rel=1e-4)
+
+
+def test_multiclass_estimator(spark):
+    from lodestream.api import MulticlassClassifier
+
+    rows = [(k, "xyz"[k % 3], "abc"[k % 3]) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, f string, label string")
+    model = MulticlassClassifier("-b 10", namespaces={"n": ["f"]}, shards=1, order="id").fit(df)
+    out = model.transform(df, "id").collect()
+    assert all(r["prediction"] == r["label"] and len(r["scores"]) == 3 for r in out)
