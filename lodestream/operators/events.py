@@ -4,6 +4,7 @@ action that is challenged. Each is a fold of a group, like the kernels of ``onli
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -202,3 +203,104 @@ def learn_slots(policy: Policy, actions, slots, outcomes, pools=None):
         if not pools:
             left.remove(taken)
     return out
+
+
+class Score:
+    """Fading-free sums of importance-weighted rewards with bounds that hold at all times."""
+
+    def __init__(self, alpha: float = 0.05):
+        self.alpha, self.n, self.total, self.squares = alpha, 0, 0.0, 0.0
+
+    def add(self, ratio: float, cost: float) -> None:
+        self.n, self.total, self.squares = self.n + 1, self.total - ratio * cost, self.squares + (ratio * cost) ** 2
+
+    def bounds(self) -> tuple[float, float]:
+        if self.n < 2:
+            return -math.inf, math.inf
+        mean = self.total / self.n
+        var = max(self.squares / self.n - mean * mean, 0.0)
+        # The deviation grows with the logarithm of the time, so that looking at every event is allowed.
+        width = math.sqrt(2 * (var + 1 / self.n) * (math.log(2 / self.alpha) + math.log(math.log(max(self.n, 3)) + 1)) / self.n)
+        return mean - width, mean + width
+
+
+class InteractionSearch:
+    """Which interactions a policy should have: a champion set of namespace pairs, and challengers that
+    differ from it by one pair. Each challenger runs for a lease of events and is then exchanged for
+    the next in the queue, its next lease being twice as long; one whose lower bound passes the
+    champion's upper bound becomes the champion, and the queue is made anew around it."""
+
+    def __init__(self, make: Callable[[], Policy], spaces: list[str], challengers: int = 3, lease: int = 100, alpha: float = 0.05, bits: int = 16):
+        self.make, self.spaces, self.alpha, self.first_lease, self.mask = make, sorted(spaces), alpha, lease, (1 << bits) - 1
+        self.many = challengers
+        self._crown(frozenset(), make(), Score(alpha))
+
+    def _crown(self, pairs, policy, score) -> None:
+        self.champion = pairs
+        self.live = {pairs: [policy, score, math.inf]}
+        every = [(a, b) for i, a in enumerate(self.spaces) for b in self.spaces[i:]]
+        self.queue = sorted((pairs ^ {x} for x in every), key=lambda c: (len(c) < len(pairs), sorted(c)))
+        self.leases = dict.fromkeys(self.queue, self.first_lease)
+        self._fill()
+
+    def _fill(self) -> None:
+        while self.queue and len(self.live) <= self.many:
+            config = self.queue.pop(0)
+            self.live[config] = [self.make(), Score(self.alpha), self.leases[config]]
+
+    def expand(self, action: dict, pairs):
+        """Features of an action (namespace -> indices, values) with the products of some pairs."""
+        idx, val = [i for i, _ in action.values()], [v for _, v in action.values()]
+        for a, b in sorted(pairs):
+            if a in action and b in action:
+                (i, v), (j, w) = action[a], action[b]
+                idx.append((((i[:, None] * 16777619) ^ j[None, :]) & self.mask).ravel())
+                val.append(np.outer(v, w).ravel())
+        return np.concatenate(idx), np.concatenate(val)
+
+    def learn(self, actions: list[dict], chosen: int, cost: float, p: float):
+        """Returns the champion's pairs and the distribution that it had."""
+        champion, shown = self.champion, None
+        for config, live in self.live.items():
+            pmf = live[0].learn([self.expand(a, config) for a in actions], chosen, cost, p)
+            live[1].add(float(pmf[chosen]) / max(p, 1e-3), cost)
+            live[2] -= 1
+            if config == champion:
+                shown = pmf
+        top = self.live[champion][1].bounds()[1]
+        for config, (policy, score, _) in list(self.live.items()):
+            if config != champion and score.bounds()[0] > top:
+                self._crown(config, policy, score)
+                return champion, shown
+        for config, (_, _, left) in list(self.live.items()):
+            if left <= 0 and self.queue:
+                del self.live[config]
+                self.leases[config] *= 2
+                self.queue.append(config)
+        self._fill()
+        return champion, shown
+
+
+class EpsilonDecay:
+    """Policies of one kind started one after the other, each with an epsilon that falls as it grows
+    older; when a younger one is surely better than the champion, all before it are dropped and new
+    ones are started."""
+
+    def __init__(self, make: Callable[[], Policy], models: int = 3, epsilon: float = 1.0, alpha: float = 0.05):
+        self.make, self.epsilon, self.alpha = make, epsilon, alpha
+        self.live = [(make(), Score(alpha), [0]) for _ in range(models)]
+
+    def learn(self, actions, chosen: int, cost: float, p: float):
+        """Returns the distribution of the champion, which is the oldest."""
+        shown = None
+        for k, (policy, score, age) in enumerate(self.live):
+            policy.epsilon = self.epsilon * (age[0] + 1) ** (-1 / 3)
+            pmf = policy.learn(actions, chosen, cost, p)
+            score.add(float(pmf[chosen]) / max(p, 1e-3), cost)
+            age[0] += 1
+            shown = pmf if k == 0 else shown
+        top = self.live[0][1].bounds()[1]
+        better = next((k for k in range(len(self.live) - 1, 0, -1) if self.live[k][1].bounds()[0] > top), 0)
+        if better:
+            self.live = self.live[better:] + [(self.make(), Score(self.alpha), [0]) for _ in range(better)]
+        return shown

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +22,12 @@ def progressive_mean(stream: DataFrame, key: str, label: str, order: str, numera
 
     def step(k: tuple, frames, state: GroupState):
         num, den = state.get if state.exists else (numerator, denominator)
-        for frame in frames:
-            frame = frame.sort_values(order)
-            out = []
-            for y in frame[label]:
-                out.append(num / den)
-                num, den = num + y, den + 1
-            yield pd.DataFrame({key: k[0], order: frame[order].to_numpy(), "prediction": out, "loss": [(p - y) ** 2 for p, y in zip(out, frame[label], strict=True)]})
+        frame, out = pd.concat(list(frames)).sort_values(order), []
+        for y in frame[label]:
+            out.append(num / den)
+            num, den = num + y, den + 1
         state.update((num, den))
+        yield pd.DataFrame({key: k[0], order: frame[order].to_numpy(), "prediction": out, "loss": [(p - y) ** 2 for p, y in zip(out, frame[label], strict=True)]})
 
     schema = f"`{key}` {kind}, `{order}` {stream.schema[order].dataType.simpleString()}, prediction double, loss double"
     return stream.groupBy(key).applyInPandasWithState(step, schema, "num double, den double", "append", GroupStateTimeout.NoTimeout)
@@ -49,6 +50,26 @@ def learn_in_batches(stream: DataFrame, make: Callable[[], online.Kernel], group
     return stream.writeStream.foreachBatch(each)
 
 
+def learn_by_key(stream: DataFrame, key: str, order: str, make: Callable[[], online.Kernel]) -> DataFrame:
+    """(key, order, prediction): a learner for each key whose state goes on from micro-batch to
+    micro-batch; each example (idx, val, y, weight) is predicted, then learnt, in order within a
+    micro-batch. A key's learner is kept in the state store, so give it few bits."""
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(k: tuple, frames, state: GroupState):
+        model = pickle.loads(zlib.decompress(state.get[0])) if state.exists else make()
+        frame = pd.concat(list(frames)).sort_values(order)
+        out = []
+        for idx, val, y, weight in zip(frame["idx"], frame["val"], frame["y"], frame["weight"], strict=True):
+            i, v = np.asarray(idx, np.int64), np.asarray(val, np.float64)
+            out.append(model.predict(i, v) if y is None or y != y else model.learn(i, v, y, weight))
+        state.update((zlib.compress(pickle.dumps(model), 1),))
+        yield pd.DataFrame({key: k[0], order: frame[order].to_numpy(), "prediction": np.array(out, np.float64)})
+
+    schema = f"`{key}` {kind}, `{order}` {stream.schema[order].dataType.simpleString()}, prediction double"
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "model binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def send(stream: DataFrame, deliver: Callable[[DataFrame, int], None]):
     """Examples handed on to another service, once for each micro-batch."""
     return stream.writeStream.foreachBatch(lambda batch, number: deliver(batch, number))

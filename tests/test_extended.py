@@ -209,3 +209,46 @@ def test_multiclass_estimator(spark):
     model = MulticlassClassifier("-b 10", namespaces={"n": ["f"]}, shards=1, order="id").fit(df)
     out = model.transform(df, "id").collect()
     assert all(r["prediction"] == r["label"] and len(r["scores"]) == 3 for r in out)
+
+
+def test_search_for_interactions():
+    """A reward that only the product of two namespaces tells."""
+    search = events.InteractionSearch(lambda: composed.Policy(bits=10, epsilon=0.1), ["a", "u"], challengers=3, lease=300, bits=10)
+    for _ in range(2500):
+        u = int(rng.integers(2))
+        actions = [{"a": (np.array([k]), np.ones(1)), "u": (np.array([10 + u]), np.ones(1))} for k in range(2)]
+        chosen = int(rng.integers(2))
+        search.learn(actions, chosen, float(chosen != u), 0.5)
+    assert ("a", "u") in search.champion
+    pmf = search.live[search.champion][0].distribution([search.expand(a, search.champion) for a in actions])
+    assert int(np.argmax(pmf)) == u
+    i, v = search.expand({"a": (np.array([1, 2]), np.array([2.0, 3.0])), "u": (np.array([5]), np.array([4.0]))}, {("a", "u")})
+    assert v.tolist() == [2.0, 3.0, 4.0, 8.0, 12.0]
+
+
+def test_epsilon_decay():
+    decay, last = events.EpsilonDecay(lambda: composed.Policy(bits=4), models=2), None
+    for _ in range(400):
+        chosen = int(rng.integers(2))
+        last = decay.learn([(np.array([k]), np.ones(1)) for k in range(2)], chosen, float(chosen), 0.5)
+    assert last[0] > 0.8 and last.sum() == pytest.approx(1)
+
+
+def test_streamed_learners_go_on(spark, tmp_path):
+    """Two micro-batches give what one fold gives."""
+    from lodestream.streaming import progressive
+
+    rows = [(k % 2, k, [0, 1], [float(rng.normal()), 1.0], 1.0 if k % 3 else -1.0, 1.0) for k in range(80)]
+    schema = "u int, n long, idx array<long>, val array<double>, y double, weight double"
+    for part, some in enumerate((rows[:50], rows[50:])):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = progressive.learn_by_key(stream, "u", "n", lambda: online.GD(loss="logistic", bits=1))
+    query = out.writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r["n"]: r["prediction"] for r in spark.table("streamed").collect()}
+    for u in (0, 1):
+        model = online.GD(loss="logistic", bits=1)
+        for v, n, i, x, y, w in rows:
+            if v == u:
+                assert got[n] == pytest.approx(model.learn(np.array(i), np.array(x), y, w))
