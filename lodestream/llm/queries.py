@@ -94,6 +94,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *cols, failed.alias("base_failed"), (~failed & F.col("__ok")).alias("kept"), F.col("__coverage").alias("coverage"))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 says of the fixed patterns, which SQL can say too."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 says without the method's verdict."""
+    return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -105,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "base_secrets": base_secrets,
+    "base_quality": base_quality,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,4 +168,22 @@ items AS (SELECT id, count(*) AS n_items, string_agg(CAST(item AS VARCHAR), ','
 SELECT dw.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (id) LEFT JOIN items USING (id)""",
+    "base_secrets": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pat AS (SELECT * FROM (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), (1, 'access', '(AKIA[A-Z0-9]+)', 20), (2, 'hex', '([0-9a-f]+)', 24)) v(rank, kind, re, least)),
+m AS (SELECT doc_id, rank, kind, least, regexp_extract_all(t, re) AS own, regexp_extract_all(t, re, 1) AS val, string_split_regex(t, re) AS gap FROM t, pat),
+k AS (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM m WHERE len(own) > 0),
+p AS (SELECT doc_id, rank, kind, coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(own[1:i - 1], lambda x: length(x))), 0) AS a, length(own[i]) AS n FROM k WHERE length(val[i]) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) AS s FROM p GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)""",
+    "base_quality": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+grams AS (SELECT doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 3)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+inside AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS pos FROM again) GROUP BY doc_id),
+out AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words FROM w JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM out""",
 }
