@@ -4,8 +4,8 @@ Each shard (a slice of the corpus of bounded size, made where the rows are read)
 suffix array over its word sequence, and every suffix of every test item is looked up in it by
 binary search. Words are coded by the test vocabulary; a training suffix that opens with no
 word of it can match nothing and stays out of the array (a sparse suffix array; no match is
-lost). The range of equal keys gives every place where a whole window stands, and places whose
-windows follow each other make up the longest verbatim stretches. Nothing is shuffled; the test
+lost). The range of equal keys gives every place where a whole window stands, and places whose windows follow each
+other make up the longest verbatim matches (``longest_matches`` has them with their locations). Nothing is shuffled; the test
 set goes out in blocks of at most ``block_words`` words, one pass over the texts for each block,
 so that what is broadcast has a bound however large the test set is.
 """
@@ -45,20 +45,22 @@ class TestBlock:
     sizes: np.ndarray  # words in each window
     items: list  # for each window, positions in ids
     ids: list
+    places: np.ndarray  # (n, 3): window, position in ids, first word in the item; sorted by window
 
 
 def _block(ids: list, texts: list, window: int) -> TestBlock:
     hashes, first, _ = words_of(pa.array(texts, pa.string()))
     vocabulary = np.unique(hashes)
     codes = np.searchsorted(vocabulary, hashes).astype(np.uint32) + 1
-    found: dict[bytes, set[int]] = {}
+    found: dict[bytes, list[tuple[int, int]]] = {}
     for i in range(len(ids)):
         own = codes[first[i] : first[i + 1]]
         for at in range(max(1, len(own) - window + 1) if len(own) else 0):
-            found.setdefault(_padded(own[at : at + window], window), set()).add(i)
+            found.setdefault(_padded(own[at : at + window], window), []).append((i, at))
     order = sorted(found)
     keys = np.frombuffer(b"".join(order), ">u4").reshape(-1, window)
-    return TestBlock(vocabulary, keys.astype(np.uint32), (keys > 0).sum(1), [sorted(found[k]) for k in order], ids)
+    places = np.array([(k, i, at) for k, key in enumerate(order) for i, at in found[key]], np.int64).reshape(-1, 3)
+    return TestBlock(vocabulary, keys.astype(np.uint32), (keys > 0).sum(1), [sorted({i for i, _ in found[k]}) for k in order], ids, places)
 
 
 def _padded(codes: np.ndarray, window: int) -> bytes:
@@ -252,3 +254,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without those in which a window of a test item stands."""
     found = find_contamination(docs, benchmark, text_col, item_col, window=window)
     return found.where(F.size("__spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _maximal(where: np.ndarray, which: np.ndarray, block: TestBlock) -> np.ndarray:
+    """(item, first word in the item, first word here, words) of the matches that can't be longer, from
+    the windows found in one row: places on one diagonal that follow each other are one match."""
+    begin = np.searchsorted(block.places[:, 0], which)
+    many = np.searchsorted(block.places[:, 0], which, "right") - begin
+    at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    q, item, pos, size = np.repeat(where, many), block.places[at, 1], block.places[at, 2], np.repeat(block.sizes[which], many)
+    order = np.lexsort((q, q - pos, item))
+    q, item, pos, size = q[order], item[order], pos[order], size[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (item[1:] != item[:-1]) | (q[1:] - pos[1:] != q[:-1] - pos[:-1]) | (q[1:] != q[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(q)) - 1
+    return np.stack([item[first], pos[first], q[first], q[last] + size[last] - q[first]], 1)
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 1 << 21) -> DataFrame:
+    """(id, item, item_start, start, n_words): every verbatim match of ``window`` words or more (or of a
+    whole item of fewer) that can't be extended to either side, in words; one row for each place of
+    an item and of a document. Rows without a match give none; null texts match nothing."""
+    C.small_batches(docs.sparkSession)
+    kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    bench = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
+    out = None
+    for ids, texts in _blocks(bench, block_words):
+        held = docs.sparkSession.sparkContext.broadcast(_block(ids, texts, window))
+        one = src.mapInArrow(_matching(held), f"id {kinds[0]}, item {kinds[1]}, item_start int, start int, n_words int")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _matching(held):
+    def run(batches):
+        block = held.value
+        kind = pa.array(block.ids[:1]).type if block.ids else pa.int64()
+        for batch in batches:
+            for part, text in C.pieces(batch, batch.column(1)) if batch.num_rows else ():
+                first, _, where, which = shard_matches(text, block)
+                row = np.searchsorted(first, where, "right") - 1
+                for i in np.unique(row):
+                    own = row == i
+                    m = _maximal(where[own] - first[i], which[own], block)
+                    ids = pa.array([block.ids[k] for k in m[:, 0]], kind)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i] * len(m))), ids, *(pa.array(m[:, k], pa.int32()) for k in (1, 2, 3))], ["id", "item", "item_start", "start", "n_words"])
+
+    return run

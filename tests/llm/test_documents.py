@@ -284,6 +284,32 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_longest_matches(spark):
+    made = random.Random(2)
+    word = lambda: made.choice("abcde")
+    items = [(k, " ".join(word() for _ in range(made.choice((2, 8, 14))))) for k in range(6)]
+    texts = [(k, " ".join(word() for _ in range(120)) + " " + made.choice(items)[1] + " z") for k in range(20)] + [(99, None)]
+    want = set()
+    for i, t in texts:
+        w = (t or "").split()
+        for k, item in items:
+            v = item.split()
+            least = min(4, len(v))
+            for p in range(len(v)):
+                for q in range(len(w)):
+                    if (p and q and v[p - 1] == w[q - 1]) or v[p] != w[q]:
+                        continue
+                    n = 0
+                    while p + n < len(v) and q + n < len(w) and v[p + n] == w[q + n]:
+                        n += 1
+                    if n >= least:
+                        want.add((i, k, p, q, n))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (1 << 20, 8):
+        got = [tuple(r) for r in decontaminate.longest_matches(docs, bench, window=4, block_words=block_words).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_toxicity(spark, docs, none):
     made = [(k, prose(40) + (" vile scum " + prose(20) + " rotten scum" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
     df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
