@@ -250,7 +250,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_co
     ids = [tokenizer.encode_word(w) for w in words]
     held = spark.sparkContext.broadcast((tokenizer, words, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.array([i for x in ids for i in x], np.int32)))
     at, rest = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c != text_col]
-    blocks = C.bucketed(docs.mapInArrow(_explode(held, at, rest), "block long, codes binary, carried binary, n_tail long, lengths binary, words binary"), "block", "bpe-blocks", docs, text_col)
+    schema = "block long, codes binary, carried binary, n_tail long, lengths binary, words binary"
+    blocks = C.bucketed(docs, text_col, lambda d: d.mapInArrow(_explode(held, at, rest), schema), "block", "bpe-blocks")
     total = blocks.agg(F.sum("n_tail").alias("words"), F.count("*").alias("blocks")).first()
     salts = max(1, -(-total["blocks"] // BLOCKS_PER_GROUP))
     ranges = max(1, -(-(total["words"] or 0) // (salts * WORDS_PER_GROUP)))

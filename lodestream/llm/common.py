@@ -66,16 +66,18 @@ def cut(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int =
     return spark.read.schema(df.schema).parquet(at)
 
 
-#: Bytes of text whose blocks share a bucket.
-BUCKET_BYTES = 256 << 20
+#: Bytes of text whose blocks share a bucket, and that a task makes blocks of at least.
+BUCKET_BYTES, TASK_BYTES = 256 << 20, 4 << 20
 
 
-def bucketed(blocks: DataFrame, key: str, name: str, docs: DataFrame, text_col: str) -> DataFrame:
-    """``blocks`` as a table in the shared folder, bucketed by ``key``: what is grouped by the key
-    meets it without moving it. There are as many buckets as ``docs``' texts fill, and no fewer than
-    shuffle partitions. The catalog forgets the table at once; its files stay like those of ``cut``."""
-    spark = blocks.sparkSession
+def bucketed(docs: DataFrame, text_col: str, blocks: Callable[[DataFrame], DataFrame], key: str, name: str) -> DataFrame:
+    """What ``blocks`` makes of ``docs``, as a table in the shared folder bucketed by ``key``: what is
+    grouped by the key meets it without moving it. There are as many buckets as the texts fill, and no
+    fewer than shuffle partitions. The catalog forgets the table at once; its files stay like those of
+    ``cut``. Small partitions of ``docs`` are joined first, so that small tables get few files."""
+    spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    blocks = blocks(docs.coalesce(max(1, -(-n_bytes // TASK_BYTES))))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
     own = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     blocks.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark).rstrip('/')}/{own}").option("compression", "none").saveAsTable(own)

@@ -122,7 +122,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(n, "hi", "lo", "id", "fp").sortWithinPartitions("hi", "lo", "id", "fp")
     stream = _stream(min_docs)
-    hits = C.cut(ranged.mapInArrow(lambda batches: stream(_once(batches)), f"hi long, lo long, id {id_type}, fp long, at array<int>, sure boolean, docs long"), "line-hits")
+    hits = C.cut(ranged.mapInArrow(lambda batches: stream(_once(batches)), f"hi long, lo long, id {id_type}, fp long, at array<int>, sure boolean, docs long"), "line-hits", docs.count(), 2000)
     enough = hits.where("docs IS NOT NULL").groupBy("hi", "lo").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     rows = hits.where("docs IS NULL")
     unsure = rows.where("NOT sure").join(F.broadcast(enough), ["hi", "lo"], "left_semi")  # two rows a partition at most

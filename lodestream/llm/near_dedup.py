@@ -331,10 +331,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be of a whole-number type")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = C.cut(_sketch(src, words, trees * depth), "near-sketch")
+    sketch = C.cut(_sketch(src, words, trees * depth), "near-sketch", docs.count(), 2000)
     classes = sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("c"), F.first("sig").alias("sig"))
     classes = C.cut(classes, "near-classes", sketch.count(), 4000)
-    met = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, near, percent), "near-neighbours")
+    met = C.cut(_neighbours(classes.select("c", "n", "sig"), trees, depth, least, near, percent), "near-neighbours", trees * classes.count(), 50_000)
     found = met.where("region IS NULL")
     pairs = C.cut(found.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("n").alias("alone")), "near-pairs", found.count(), 50_000)
     members = met.where("region IS NOT NULL").select("region", F.col("a").alias("c"), "n").distinct()

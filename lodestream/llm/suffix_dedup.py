@@ -177,7 +177,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
                 block += 1
 
     C.small_batches(spark)
-    return C.bucketed(src.mapInArrow(run, "block long, n_bytes long, head binary, data binary"), "block", "suffix-blocks", docs, text_col)
+    return C.bucketed(src, "text", lambda d: d.mapInArrow(run, "block long, n_bytes long, head binary, data binary"), "block", "suffix-blocks")
 
 
 def _open(head: bytes, data: bytes, length: int) -> tuple[pa.RecordBatch, _Block]:
