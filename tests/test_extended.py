@@ -252,3 +252,16 @@ def test_streamed_learners_go_on(spark, tmp_path):
         for v, n, i, x, y, w in rows:
             if v == u:
                 assert got[n] == pytest.approx(model.learn(np.array(i), np.array(x), y, w))
+
+
+def test_values_by_event_time(spark, tmp_path):
+    from lodestream.streaming import progressive
+
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", float(h), 2.0) for h in range(3) for m in (5, 35)]
+    df = spark.createDataFrame(rows, "ts string, cost double, ratio double").select(F.to_timestamp("ts").alias("ts"), "cost", "ratio")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = progressive.windowed_value(stream, "ts", "cost", "ratio")
+    query = out.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r["n"], r["ips"]) for r in spark.table("windows").collect()) == [(2, 0.0), (2, 2.0), (2, 4.0)]
