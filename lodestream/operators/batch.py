@@ -28,18 +28,19 @@ def ftrl_weight(z: Column, n: Column, alpha: float, beta: float, l1: float, l2:
     return F.when(F.abs(z) <= l1, F.lit(0.0)).otherwise(-F.signum(z) * (F.abs(z) - l1) / (l2 + (beta + F.sqrt(n)) / alpha))
 
 
-def lbfgs(examples: DataFrame, loss: str = "logistic", passes: int = 20, memory: int = 15, l2: float = 0.0, tolerance: float = 1e-3, key: str = "id", label: str = "y", weight: str = "weight", cut=None):
+def lbfgs(examples: DataFrame, loss: str = "logistic", passes: int = 20, memory: int = 15, l2: float = 0.0, tolerance: float = 1e-3, key: str = "id", label: str = "y", weight: str = "weight", cut=None, prior: DataFrame | None = None):
     """Weights (ns, name, w) by limited-memory BFGS with backtracking; losses and gradients are
     aggregations, vectors are DataFrames keyed by feature and only scalars reach the driver.
 
-    ``cut(df)`` writes a vector to a shared folder between passes, which bounds the lineage."""
+    ``cut(df)`` writes a vector to a shared folder between passes, which bounds the lineage. ``prior``
+    (ns, name, w0, strength) are weights of an earlier model that these are drawn to, each by its strength."""
     spark = examples.sparkSession
     cut = cut or (lambda df: df.checkpoint())
     zero = examples.select(*KEYS).distinct().withColumn("w", F.lit(0.0))
     w = cut(zero)
-    total = lambda w: _objective(examples, w, loss, l2, key, label, weight)
+    total = lambda w: _objective(examples, w, loss, l2, key, label, weight) + _distance(w, prior)
     history: list[tuple[DataFrame, float]] = []
-    value, g = total(w), cut(_regularised(gradient(examples, w, loss, key, label, weight), w, l2))
+    value, g = total(w), cut(regularised(gradient(examples, w, loss, key, label, weight), w, l2, prior))
     for _ in range(passes):
         direction, alphas = g.select(*KEYS, F.col("g").alias("d"), "h"), []
         for sy, rho in reversed(history):
@@ -62,7 +63,7 @@ def lbfgs(examples: DataFrame, loss: str = "logistic", passes: int = 20, memory:
             step /= 2
         else:
             break
-        ng = cut(_regularised(gradient(examples, new, loss, key, label, weight), new, l2))
+        ng = cut(regularised(gradient(examples, new, loss, key, label, weight), new, l2, prior))
         sy = cut(new.alias("n").join(w.alias("o"), KEYS).join(ng.alias("gn"), KEYS).join(g.alias("go"), KEYS).select(*KEYS, (F.col("n.w") - F.col("o.w")).alias("s"), (F.col("gn.g") - F.col("go.g")).alias("yy")))
         curve = sy.agg(F.sum(F.col("s") * F.col("yy"))).first()[0] or 0.0
         done = abs(value - new_value) <= tolerance * max(abs(value), 1e-12)
@@ -82,8 +83,27 @@ def _objective(examples, w, loss, l2, key, label, weight) -> float:
     return (data or 0.0) + (0.5 * l2 * (w.agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0) if l2 else 0.0)
 
 
-def _regularised(g: DataFrame, w: DataFrame, l2: float) -> DataFrame:
-    return g.join(w, KEYS).select(*KEYS, (F.col("g") + l2 * F.col("w")).alias("g"), (F.col("h") + l2).alias("h")) if l2 else g
+def regularised(g: DataFrame, w: DataFrame, l2: float = 0.0, prior: DataFrame | None = None) -> DataFrame:
+    """Gradient and diagonal with the pull of l2 to 0, and of a prior to its weights."""
+    if l2:
+        g = g.join(w, KEYS).select(*KEYS, (F.col("g") + l2 * F.col("w")).alias("g"), (F.col("h") + l2).alias("h"))
+    if prior is not None:
+        pull = F.coalesce(F.col("strength") * (F.col("w") - F.col("w0")), F.lit(0.0))
+        g = g.join(w, KEYS).join(prior.select(*KEYS, "w0", "strength"), KEYS, "left").select(*KEYS, (F.col("g") + pull).alias("g"), (F.col("h") + F.coalesce("strength", F.lit(0.0))).alias("h"))
+    return g
+
+
+def _distance(w: DataFrame, prior: DataFrame | None) -> float:
+    if prior is None:
+        return 0.0
+    return 0.5 * (w.join(prior.select(*KEYS, "w0", "strength"), KEYS).agg(F.sum(F.col("strength") * (F.col("w") - F.col("w0")) ** 2)).first()[0] or 0.0)
+
+
+def prior_of(examples: DataFrame, weights: DataFrame, loss: str = "logistic", l2: float = 0.0, key: str = "id", label: str = "y", weight: str = "weight") -> DataFrame:
+    """(ns, name, w0, strength): a model as the prior of the next one, each weight as strong as the
+    curvature that its data gives it (diagonal), plus l2."""
+    g = gradient(examples, weights, loss, key, label, weight)
+    return g.join(weights, KEYS).select(*KEYS, F.col("w").alias("w0"), (F.col("h") + l2).alias("strength"))
 
 
 def merge(models: DataFrame, keys: list[str] = KEYS, state: str | None = None) -> DataFrame:

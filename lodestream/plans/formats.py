@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import features, online
+from ..operators import batch, features, online
 from ..sources import examples as S
 from ..sources import sinks
-from .data import COSTS_SQL, LOG_SQL, action_costs, log, table
+from .data import ACTIONS, COSTS_SQL, LOG_SQL, action_costs, log, table
 from .folds import D0, fold_sql, lets, register
 from .learning import _stream
-from .queries import query, r
-from .stack import Stack
+from .queries import ORACLE_SQL, query, r
+from .stack import Stack, fit_many
 
 # --- examples from text, JSON, decision logs, CSV -------------------------------------------------
 
@@ -235,6 +235,22 @@ def example_text_lines(spark, sf):
     return ex.select("event_id", sinks.example_line("y", "p", "tag").alias("value"))
 
 
+@query(f"""WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), t AS (SELECT * FROM {lets('b', [*murmur_levels('ns', chr(39) + 'maker' + chr(39), '0'), *murmur_levels('h', 'p_brand', 'ns')])})
+SELECT 'maker' AS ns, p_brand AS name, CAST(h & 262143::UBIGINT AS BIGINT) AS idx, CASE WHEN n > 7 THEN n / 2.0::DOUBLE ELSE 0.0::DOUBLE END AS w, n AS examples FROM t""")
+def audited_model(spark, sf):
+    """A hashed model's weights under the data's names; weights that the model lacks are 0."""
+    ex = table(spark, sf, "part").select(F.array(features.feature("maker", F.col("p_brand"))).alias("features"))
+    rows = online.hashed(_brand_weights(spark, sf).where("w > 3.5"), "features").select(F.get("idx", F.lit(0)).alias("idx"), "w")
+    return sinks.audit_model(ex, rows)
+
+
+@query(f"WITH {LOG_SQL} SELECT event_id, round(x, 6) AS p, 't' || event_id AS tag FROM log")
+def typed_predictions(spark, sf):
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    rows = log(spark, sf).select("event_id", r("x").alias("p"), F.concat(F.lit("t"), F.col("event_id")).alias("tag"))
+    return sinks.save_predictions(rows, f"{at.rstrip('/')}/predictions-{uuid.uuid4().hex}")
+
+
 @query(f"WITH {COSTS_SQL} SELECT event_id, j, round(c, 6) AS c FROM costs WHERE c >= 0.5")
 def exploded_action_costs(spark, sf):
     return log(spark, sf).select("event_id", F.posexplode(action_costs()).alias("j", "c")).select("event_id", F.col("j").cast("long").alias("j"), r("c").alias("c")).where("c >= 0.5")
@@ -315,3 +331,44 @@ s AS (SELECT o.*, {D0} AS u, {D0} AS v FROM o WHERE n = 1
  UNION ALL SELECT o.*, b.u, b.v FROM (SELECT user_id, n, u - 0.1::DOUBLE * sl * x AS u, v - 0.1::DOUBLE * sl AS v FROM (SELECT *, -y / (1 + exp(y * (u * x + v))) AS sl FROM s)) b JOIN o ON o.user_id = b.user_id AND o.n = b.n + 1)
 SELECT user_id, rep AS passes, 0 AS idx, round(u, 5) AS w FROM s WHERE rep > 0 AND i = 1 AND round(u, 5) <> 0 UNION ALL SELECT user_id, rep, 1, round(v, 5) FROM s WHERE rep > 0 AND i = 1 AND round(v, 5) <> 0"""
 register("weights_per_pass", _per_pass, _REPEATED)
+
+
+# --- a model as the prior of the next; several models at once -------------------------------------
+
+
+def _weighted(spark, sf):
+    f = F.array(features.feature("a", F.col("event_type"), F.col("x")), features.feature("b", F.lit("one")))
+    ex = log(spark, sf).select(F.col("event_id").alias("id"), "y", F.lit(1.0).alias("weight"), F.explode(f).alias("f")).select("id", "y", "weight", "f.ns", "f.name", "f.value")
+    return ex, ex.select("ns", "name").distinct().withColumn("w", F.length("name") / 10.0 - 0.4)
+
+
+_AT = """f AS (SELECT event_id, y, 'a' AS ns, event_type AS name, x AS value FROM log UNION ALL SELECT event_id, y, 'b', 'one', 1.0 FROM log),
+w AS (SELECT DISTINCT ns, name, length(name) / 10.0::DOUBLE - 0.4 AS w FROM f), s AS (SELECT event_id, sum(value * w) AS p FROM f JOIN w USING (ns, name) GROUP BY event_id),
+g AS (SELECT ns, name, sum(-y / (1 + exp(y * p)) * value) AS g, sum(abs(-y / (1 + exp(y * p))) * value * value) AS h FROM f JOIN s USING (event_id) GROUP BY ns, name)"""
+
+
+@query(f"WITH {LOG_SQL}, {_AT} SELECT ns, name, round(g + 0.5 * w + CASE WHEN ns = 'a' THEN length(name) * (w - 0.1) ELSE 0 END, 4) AS g, round(h + 0.5 + CASE WHEN ns = 'a' THEN length(name) ELSE 0 END, 4) AS h FROM g JOIN w USING (ns, name)")
+def prior_gradient(spark, sf):
+    """A full gradient with the pull of l2 and of an earlier model's weights, each by its strength."""
+    ex, w = _weighted(spark, sf)
+    prior = w.where("ns = 'a'").select("ns", "name", F.lit(0.1).alias("w0"), F.length("name").cast("double").alias("strength"))
+    out = batch.regularised(batch.gradient(ex, w), w, 0.5, prior)
+    return out.select("ns", "name", r("g", 4).alias("g"), r("h", 4).alias("h"))
+
+
+@query(f"WITH {LOG_SQL}, {_AT} SELECT ns, name, round(w, 6) AS w0, round(h + 0.25, 4) AS strength FROM g JOIN w USING (ns, name)")
+def model_as_prior(spark, sf):
+    ex, w = _weighted(spark, sf)
+    return batch.prior_of(ex, w, l2=0.25).select("ns", "name", r("w0").alias("w0"), r("strength", 4).alias("strength"))
+
+
+def _several(spark, sf):
+    f = F.array(features.feature("u", F.concat(F.lit("k"), F.col("k") % 16)), features.feature("v", F.concat(F.lit("b"), F.floor(F.col("value") / 25) % 16)))
+    label = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("event_type")).cast("double")
+    rows = log(spark, sf).select("user_id", F.col("event_id").alias("seq"), F.lit(1.0).alias("weight"), f.alias("features"), label.alias("y"))
+    stacks = {name: Stack.parse(f"--oaa 5 --sgd -l {rate} --power_t 0 --noconstant -b 14") for name, rate in (("fast", 0.1), ("slow", 0.05))}
+    return fit_many(stacks, rows, ["user_id"]).select("model", "user_id", F.col("seq").alias("event_id"), r("p").alias("p"))
+
+
+_OAA = ORACLE_SQL["oaa_plain_online"]
+register("several_models", _several, f"SELECT 'fast' AS model, * FROM ({_OAA}) UNION ALL SELECT 'slow', * FROM ({_OAA.replace('0.1::DOUBLE * (', '0.05::DOUBLE * (')})")

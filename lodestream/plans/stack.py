@@ -352,6 +352,15 @@ def _learn_event(name, learner, parts, x, count, bits):
     return [(0, np.argmax(pmf), pmf)]
 
 
+def fit_many(stacks: dict[str, Stack], examples: DataFrame, group: list[str]) -> DataFrame:
+    """(model, group..., seq, p): several stacks trained on the same examples, by name."""
+    out = None
+    for name, stack in stacks.items():
+        one = stack.fit(examples, group).predictions.select(F.lit(name).alias("model"), *group, "seq", "p")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _by_space(values: list[str], spaces: list[str]) -> list[tuple[str, int]]:
     """``a2`` is 2 for namespaces that begin with a; a bare number is for all."""
     out: dict[str, int] = {}

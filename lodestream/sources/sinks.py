@@ -76,6 +76,23 @@ def audit(examples: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "ns", "name", "value", F.coalesce("w", F.lit(0.0)).alias("w"), product.alias("product")).sortWithinPartitions(key, F.desc(F.abs("product")), "ns", "name")
 
 
+def audit_model(examples: DataFrame, weights: DataFrame, bits: int = 18) -> DataFrame:
+    """(ns, name, idx, w, examples): the weights under the names that the data has for them, and in how
+    many examples each stands. Hash collisions show as several names with one index."""
+    from ..operators.online import hashed
+
+    names = examples.select(F.explode("features").alias("f")).groupBy("f.ns", "f.name").agg(F.count("*").alias("examples"))
+    indexed = hashed(names.select("*", F.array(F.struct("ns", "name", F.lit(1.0).alias("value"))).alias("__f")), "__f", bits)
+    found = indexed.select("ns", "name", F.get("idx", F.lit(0)).alias("idx"), "examples")
+    return found.join(weights.select("idx", "w"), "idx", "left").select("ns", "name", "idx", F.coalesce("w", F.lit(0.0)).alias("w"), "examples")
+
+
+def save_predictions(predictions: DataFrame, path: str) -> DataFrame:
+    """Predictions as typed columns (Parquet) in place of text lines, and what reads them back."""
+    predictions.write.mode("overwrite").parquet(path)
+    return predictions.sparkSession.read.schema(predictions.schema).parquet(path)
+
+
 def initial_weights(names: DataFrame, kind: str = "zero", value: float = 0.0, seed: int = 0, index: str = "idx") -> DataFrame:
     """Weights before learning: a constant, uniform, normal or truncated normal, by a hash of the index."""
     u = lambda salt: (F.pmod(F.xxhash64(F.col(index), F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)

@@ -265,3 +265,16 @@ def test_values_by_event_time(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["n"], r["ips"]) for r in spark.table("windows").collect()) == [(2, 0.0), (2, 2.0), (2, 4.0)]
+
+
+def test_a_prior_holds_weights(spark):
+    from lodestream.operators import batch
+
+    rows = [(k, 1.0 if k % 3 else -1.0, 1.0, "a", "x", 1.0) for k in range(60)]
+    ex = spark.createDataFrame(rows, "id long, y double, weight double, ns string, name string, value double")
+    free = batch.lbfgs(ex, passes=6)[0].first()["w"]
+    prior = spark.createDataFrame([("a", "x", -2.0, 1e4)], "ns string, name string, w0 double, strength double")
+    held = batch.lbfgs(ex, passes=6, prior=prior)[0].first()["w"]
+    assert free > 0.5 and abs(held + 2) < 0.05
+    own = batch.prior_of(ex, spark.createDataFrame([("a", "x", 0.5)], "ns string, name string, w double")).first()
+    assert own["w0"] == 0.5 and own["strength"] > 0

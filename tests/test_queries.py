@@ -4,7 +4,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from lodestream.plans import learning, more  # noqa: E402, F401
+from lodestream.plans import folds, formats, learning, more  # noqa: E402, F401
 from lodestream.plans.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
