@@ -6,6 +6,8 @@ with their default bases the same learners are registered in ``learning``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -724,6 +726,22 @@ def _cbify_regression(spark, sf):
 register("cbify_regression_logged", _cbify_regression, f"WITH {LOG_SQL}, b AS (SELECT event_id, k, x, {_DRAW} AS draw, {_best} AS best FROM log), d AS ({_DRAWN}) SELECT event_id, chosen, round((x - (-2 + (chosen + 0.5) * 0.8)) * (x - (-2 + (chosen + 0.5) * 0.8)) / 16, 6) AS cost FROM d")
 
 
+# Bootstrap: three replicas see an example a Poisson(1) number of times, from one generator in turn.
+_next = lambda s: f"({s} * {Merand48.A}::UHUGEINT + 2147483647::UHUGEINT) % 18446744073709551616::UHUGEINT"
+_below_sums = "[" + ", ".join(f"{sum(1 / math.factorial(j) for j in range(k + 1)) * math.exp(-1)!r}::DOUBLE" for k in range(12)) + "]"
+_boot: list[dict[str, str]] = [{"sc": f"[{_score('c')} FOR c IN range(3)]", "yy": "CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END", "s1": _next("st")}, {"s2": _next("s1")}, {"s3": _next("s2")}]
+_boot += [{"times": "[len(list_filter(" + _below_sums + ", lambda z: CAST((q // 33554432::UHUGEINT) % 8388608::UHUGEINT AS DOUBLE) / 8388608 > z)) FOR q IN [s1, s2, s3]]"}]
+_boot += [{"p": "list_sum([greatest(least(z, 50), -50) FOR z IN sc]) / 3", "step": f"[times[c + 1] * {_logistic_step('yy', 'sc[c + 1]')} FOR c IN range(3)]"}]
+
+
+def _bootstrapped(spark, sf):
+    rows = _typed(spark, sf).withColumn("y", F.when(F.col("y") == 1, 1.0).otherwise(-1.0))
+    out = online.train(rows, online.Run(lambda: composed.Bootstrap(replicas=3, loss="logistic", bits=5, make=composed.plain())), ["user_id"]).where("kind = 'prediction'")
+    return out.select("user_id", F.col("seq").alias("event_id"), r("p", 5).alias("p"))
+
+
+register("bootstrap_plain_online", _bootstrapped, fold_sql(_TYPED, {"w": (_start(3), _moved("step")), "st": ("0::UHUGEINT", "s3")}, _boot, "user_id, event_id, round(p, 5) AS p"))
+
 # Continuous actions by a tree of eight bins: seven nodes of sixteen weights, learnt from the leaves up.
 _cats: list[dict[str, str]] = [
     {"bin": "least(greatest(CAST(floor(k / 100.0::DOUBLE * 8) AS INTEGER), 0), 7)", "sc": "[w[m * 16 + i1 + 1] FOR m IN range(7)]"},
